@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import StructType
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -40,6 +41,14 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def widened(schema: StructType, **more: str) -> StructType:
+    """The schema with further columns (name=type)."""
+    out = StructType(list(schema.fields))
+    for name, kind in more.items():
+        out.add(name, kind)
+    return out
+
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

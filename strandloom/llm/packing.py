@@ -26,7 +26,7 @@ from .columnar import slices, texts
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 6_000_000  # ids that a shard keeps in memory, 24 MB
-MEMO_WORDS = 250_000  # words whose ids a worker remembers
+MEMO_WORDS = 500_000  # words whose ids a worker remembers
 UNDERFULL = 15 / 16
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -36,35 +36,69 @@ class Encoder:
     """Ids of whole texts as little-endian uint32, by way of the ids of their blank-separated words.
 
     The tokenizer drops white space before it merges, so a text's ids are those of its words in a row. Its idea of white space and that of
-    str.split differ in four control characters only; texts with one of these are encoded whole.
+    str.split differ in four control characters only; texts with one of these are encoded whole. Most words hold nothing but Latin letters,
+    digits and ASCII signs: those are cut into the tokenizer's own units here and only merged by its model, many in one call. All
+    other words go through the whole tokenizer.
     """
 
     odd = re.compile("[\x1c-\x1f]")
+    plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")  # no apostrophe
+    unit = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
     def __init__(self, path: str, end_id: int | None = END_ID, memo: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most, self.memo = Tokenizer.from_file(path), memo, {}
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
-    def _encode(self, words: list[str]) -> list[bytes]:
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.alphabet[32] = " "  # between units
+
+    def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        easy, rest = [], []
+        for w in words:
+            (easy if self.plain.fullmatch(w) and "<|" not in w else rest).append(w)
+        self.memo.update(zip(rest, self._whole(rest), strict=True))
+        if easy:
+            units = [self.unit.findall(w.lower()) for w in easy]
+            line = " ".join([" ".join(u) for u in units]).encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.merger.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids])[np.cumsum([len(u) for u in units]) - 1] + 1
+            raw, at = ids.tobytes(), 0
+            for w, stop in zip(easy, (4 * stops).tolist(), strict=True):
+                self.memo[w] = raw[at:stop]
+                at = stop
+
     def __call__(self, batch: list[str]) -> list[bytes]:
-        out = []
-        for text in batch:
-            if self.odd.search(text):
-                out.append(self._encode([text])[0] + self.end)
-                continue
-            words = text.split()
-            if new := list(set(words).difference(self.memo)):
-                if len(self.memo) + len(new) > self.most:
-                    self.memo = {}
-                    new = list(set(words))
-                self.memo.update(zip(new, self._encode(new), strict=True))
-            out.append(b"".join(map(self.memo.__getitem__, words)) + self.end)
-        return out
+        words = [None if self.odd.search(text) else text.split() for text in batch]
+        new = set().union(*(w for w in words if w is not None)).difference(self.memo)
+        if len(self.memo) + len(new) > self.most:
+            self.memo = {}
+            new = set().union(*(w for w in words if w is not None))
+        if new:
+            self._learn(list(new))
+        find = self.memo.__getitem__
+        return [(self._whole([text])[0] if w is None else b"".join(map(find, w))) + self.end for text, w in zip(batch, words, strict=True)]
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """One for each worker process, so later tasks find its words known."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 class OpenWindows:
@@ -156,7 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(tokenizer_path, end_id)
+        encode = encoder(tokenizer_path, end_id)
         sequence = TaskContext.get().partitionId() << 36  # a partition has fewer sequences than that
 
         def rows(windows: list, known: list) -> Iterator[pa.RecordBatch]:
@@ -181,7 +215,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         known: list[tuple[int | None, bytes]] = []
         pieces: list[tuple[int, int, int]] = []
         held = 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch.column("text"))), strict=True):
                 n = len(ids) // 4
                 full = n - n % window if n > window else 0
