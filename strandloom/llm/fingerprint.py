@@ -25,79 +25,51 @@ from pyspark.sql import functions as F
 from .columnar import mix, slices, texts, widened
 
 COORDINATES = 128
-MEMO = 150_000  # (word, weight) pairs whose ranks a worker remembers: 768 bytes each
-BLOCK = 4096  # words of a text ranked at once
+BLOCK = 4096  # words ranked at once
+
+_x = np.linspace(0, 40, 400_001)
+# what Gamma(2, 1) draws for 12 bits
+QUANTILE = np.interp((np.arange(4096) + 0.5) / 4096, 1 - (1 + _x) * np.exp(-_x), _x).astype(np.float32)
 
 
 class Sampler:
-    def __init__(self, coordinates: int = COORDINATES, memo: int = MEMO):
-        self.k, self.most = coordinates, memo
-        self.salt = mix(np.arange(1, 4 * coordinates + 1, dtype=np.uint64)).reshape(4, -1)
+    def __init__(self, coordinates: int = COORDINATES):
+        self.k = coordinates
+        self.salt = mix(np.arange(1, coordinates + 1, dtype=np.uint64))
         self.every = np.arange(coordinates)
-        self.clear(memo)
-
-    def clear(self, room: int) -> None:
-        self.memo: dict[tuple[str, int], int] = {}
-        self.rank = np.empty((room, self.k), np.float32)
-        self.code = np.empty((room, self.k), np.uint16)
 
     def draw(self, items: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
         """ln a and the code of the sample, for each (word, weight) and coordinate."""
-        h = np.array([xxhash.xxh64_intdigest(w.encode()) for w, _ in items], np.uint64)[:, None]
+        h = np.array([xxhash.xxh64_intdigest(w) for w, _ in items], np.uint64)[:, None]
         log_w = np.log(np.array([n for _, n in items], np.float32))[:, None]
+        bits = mix(h ^ self.salt)
 
-        def uniform(bits: np.ndarray) -> np.ndarray:
-            return (bits.astype(np.uint32).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32)
+        def uniform(shift: int, size: int) -> np.ndarray:
+            low = (bits >> np.uint64(shift)).astype(np.uint32) & np.uint32((1 << size) - 1)
+            return (low.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-size)
 
-        def pair(i: int) -> tuple[np.ndarray, np.ndarray]:
-            x = mix(h ^ self.salt[i])
-            return uniform(x >> np.uint64(32)), uniform(x & np.uint64(0xFFFFFFFF))
-
-        r = -np.log(np.multiply(*pair(0)))
-        log_c = np.log(-np.log(np.multiply(*pair(1))))
-        b = np.minimum(uniform(mix(h ^ self.salt[2]) >> np.uint64(32)), np.float32(1 - 2**-23))
+        r = QUANTILE[(bits & np.uint64(4095)).astype(np.intp)]
+        b = uniform(12, 12)
+        log_c = np.log(-np.log(uniform(24, 20) * uniform(44, 20)))
         t = np.floor(log_w / r + b)
         code = ((h & np.uint64(0xFFFF)).astype(np.int64) + t.astype(np.int64) * 40503) & 0xFFFF
         return log_c - r * (t - b + 1), np.maximum(code, 1).astype(np.uint16)
 
     def signatures(self, batch: list[str]) -> np.ndarray:
-        """(n, coordinates) codes; zeros for a text without words."""
-        bags = [Counter(text.split()) for text in batch]
+        """(n, coordinates) codes; zeros for a text without words. The draws of a (word, weight) are made once for the batch."""
+        place: dict[tuple[str, int], int] = {}
+        at = [np.array([place.setdefault(x, len(place)) for x in Counter(text.split()).items()], np.intp) for text in batch]
+        items = list(place)
+        rank, code = np.empty((len(items), self.k), np.float32), np.empty((len(items), self.k), np.uint16)
+        for i in range(0, len(items), BLOCK):
+            rank[i : i + BLOCK], code[i : i + BLOCK] = self.draw(items[i : i + BLOCK])
         out = np.zeros((len(batch), self.k), np.uint16)
-        for i, bag in enumerate(bags):
-            items = list(bag.items())
-            best = None
-            for at in range(0, len(items), BLOCK):
-                rank, code = self.look(items[at : at + BLOCK])
-                if best is not None:
-                    rank, code = np.vstack([best[0], rank]), np.vstack([best[1], code])
-                low = rank.argmin(0)
-                best = rank[low, self.every], code[low, self.every]
-            if best is not None:
-                out[i] = best[1]
+        for i, rows in enumerate(at):
+            if len(rows):
+                low = rank.take(rows, 0).argmin(0)
+                out[i] = code[rows[low], self.every]
         return out
 
-    def look(self, items: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        at = list(map(self.memo.get, items))
-        if None in at:
-            new = [x for x, i in zip(items, at, strict=True) if i is None]
-            if len(self.memo) + len(new) > self.most:
-                self.memo = {}
-                new = items
-            first = len(self.memo)
-            self.rank[first : first + len(new)], self.code[first : first + len(new)] = self.draw(new)
-            self.memo.update(zip(new, range(first, first + len(new)), strict=True))
-            at = list(map(self.memo.get, items))
-        return self.rank.take(at, 0), self.code.take(at, 0)
-
-
-_samplers: dict[int, Sampler] = {}
-
-
-def sampler(coordinates: int = COORDINATES) -> Sampler:
-    """One for each worker process, so later tasks find it warm."""
-    return _samplers.setdefault(coordinates, Sampler(coordinates))
-
 
 def written(signatures: np.ndarray) -> list[str]:
     return [row.astype(">u2").tobytes().hex() for row in signatures]
@@ -113,8 +85,8 @@ def fingerprint_documents(docs: DataFrame, coordinates: int = COORDINATES) -> Da
     kept = docs.drop("fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = written(sampler(coordinates).signatures(texts(batch.column("text"))))
+        for batch in slices(batches, limit=1 << 20):
+            found = written(Sampler(coordinates).signatures(texts(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "fingerprint"])
 
     return kept.mapInArrow(run, widened(kept.schema, fingerprint="string"))
@@ -157,20 +129,20 @@ def compare_with_following(docs: DataFrame, partitions: int, coordinates: int =
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = sampler(coordinates)
-        held: tuple[list, list[str], np.ndarray] | None = None  # the last row, which still waits for its next one
-        for batch in slices(batches, limit=2 << 20):
+        sample = Sampler(coordinates)
+        held: tuple[list, list[str]] | None = None  # the last row, which still waits for its next one
+        for batch in slices(batches, limit=1 << 20):
             copies = batch.column("copy").to_pylist()
             if True in copies:  # one row is enough
                 batch = batch.slice(0, copies.index(True) + 1)
             ids, said = batch.column("doc_id").to_pylist(), texts(batch.column("text"))
-            own = sample.signatures(said)
             if held is not None:
-                ids, said, own = held[0] + ids, held[1] + said, np.vstack([held[2], own])
-            held = ids[-1:], said[-1:], own[-1:]
-            if len(ids) > 1:
-                changed = [edited(a, b) for a, b in zip(said, said[1:], strict=False)]
-                other = sample.signatures(changed)
+                ids, said = held[0] + ids, held[1] + said
+            changed = [edited(a, b) for a, b in zip(said, said[1:], strict=False)]
+            found = sample.signatures(said + changed)
+            own, other = found[: len(said)], found[len(said) :]
+            held = ids[-1:], said[-1:]
+            if changed:
                 columns = [ids[:-1], [len(x) for x in said[:-1]], [hashlib.sha256(x.encode()).hexdigest() for x in changed], written(own[:-1]), written(other), likeness(own[:-1], other), likeness(own[:-1], own[1:])]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
             if True in copies:
