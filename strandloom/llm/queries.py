@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cnn, fingerprint, lines, toxicity
+from . import chat, cnn, fingerprint, lines, minhash, neighbours, pieces, toxicity
 from .packing import pack_documents
 
 
@@ -45,6 +45,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of_id(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, threshold=0.85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines that aren't blank, those deleted, and a digest of the text that stays."""
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -61,13 +66,29 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its ids' number and digest, whether both libraries agree on them, and whether they decode to the text."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    found = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    # a text's own markers read as blanks
+    exact = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return found.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "parity", exact.alias("decodes"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprint": op2_fingerprint,
     "op4_toxicity": op4_toxicity,
+    "op5_minhash": op5_minhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_neighbours": op9_neighbours,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
