@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cnn, fingerprint, lines, minhash, neighbours, pieces, toxicity
+from . import chat, cnn, fingerprint, lines, minhash, neighbours, pieces, suffixes, toxicity
 from .packing import pack_documents
 
 
@@ -40,6 +40,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_following(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.measure_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), bucket_of_id(4) != 2)
     return scored.select("doc_id", (bucket_of_id(4) == 2).alias("held_out"), "score", "predicted")
@@ -82,6 +86,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprint": op2_fingerprint,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_minhash": op5_minhash,
     "op6_line_dedup": op6_line_dedup,
