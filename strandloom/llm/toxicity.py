@@ -27,9 +27,10 @@ from .columnar import M1, RangeHash, mix, slices, utf8
 
 BUCKETS_LOG2 = 20
 MAX_TRAINING = 8000
+TRAINING_SLICE = 250
 STEM = 4  # bytes of a longer word that count as a feature of their own, so unseen endings don't hide a known stem
 LEAST_DOCS = 3  # a word seen in fewer training documents has no weight
-STEPS, RATE, PENALTY = 160, 0.15, 2e-5
+STEPS, RATE, PENALTY = 150, 0.15, 5e-5
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -109,34 +110,46 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
         return model
     y = np.asarray(labels, np.float64)
     n = len(y)
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    words = read(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    pairs = np.unique(words.doc[words.sentence] * (1 << BUCKETS_LOG2) + words.bucket)  # a word once for each document
-    bucket, doc = pairs & ((1 << BUCKETS_LOG2) - 1), pairs >> BUCKETS_LOG2
-    seen = np.bincount(bucket, minlength=1 << BUCKETS_LOG2)
+    size = 1 << BUCKETS_LOG2
+    parts, sentence_doc, begun = [], [], 0
+    seen, hits = np.zeros(size, np.int64), np.zeros(size)
+    for first in range(0, n, TRAINING_SLICE):  # what is kept of a slice is a few numbers a word
+        some = texts[first : first + TRAINING_SLICE]
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in some]))).astype(np.int64)
+        words = read(np.frombuffer(b"".join(some), np.uint8), offsets)
+        parts.append((words.bucket.astype(np.int32), (words.sentence + begun).astype(np.int32)))
+        sentence_doc.append((words.doc + first).astype(np.int32))
+        pairs = np.unique(words.doc[words.sentence] * (1 << BUCKETS_LOG2) + words.bucket)  # a word once for each document
+        seen += np.bincount(pairs & (size - 1), minlength=size)
+        hits += np.bincount(pairs & (size - 1), y[first + (pairs >> BUCKETS_LOG2)], size)
+        begun += len(words.doc)
+    buckets, sentences, owner = np.concatenate([b for b, _ in parts]), np.concatenate([s for _, s in parts]), np.concatenate(sentence_doc)
+    parts.clear()
     known = np.flatnonzero(seen >= LEAST_DOCS)
-    place = np.full(1 << BUCKETS_LOG2, -1)
+    place = np.full(size, -1)
     place[known] = np.arange(len(known))
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     # start from how much likelier a word makes the label, less two deviations of chance
-    hits, docs_with = np.bincount(bucket, y[doc], 1 << BUCKETS_LOG2)[known], seen[known]
+    hits, docs_with = hits[known], seen[known]
     low = np.maximum(0, (hits - 2 * np.sqrt(docs_with * rate * (1 - rate))) / docs_with)
     w = np.log(np.clip(low, rate, 0.99) / rate)
-    use = place[words.bucket] >= 0
-    at, sentence = place[words.bucket][use], words.sentence[use]
-    per_doc = np.bincount(words.doc, minlength=n).mean()
+    at = place[buckets].astype(np.int32)
+    sentence = sentences[at >= 0]
+    at = at[at >= 0]
+    del buckets, sentences
+    per_doc = len(owner) / n
     params = np.append(w, np.log(rate / per_doc))
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
-        z = params[-1] + np.bincount(sentence, params[at], len(words.doc))
-        total = np.bincount(words.doc, np.logaddexp(0, z), n)
+        z = params[-1] + np.bincount(sentence, params[at], len(owner))
+        total = np.bincount(owner, np.logaddexp(0, z), n)
         slope = ((1 - y) - y / np.maximum(np.expm1(np.minimum(total, 50)), 0.02)) / n
-        by_sentence = slope[words.doc] * sigmoid(z)
+        by_sentence = slope[owner] * sigmoid(z)
         g = np.append(np.bincount(at, by_sentence[sentence], len(known)), by_sentence.sum())
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
-        size = RATE * 0.5 * (1 + np.cos(np.pi * step / STEPS))
-        scale = size / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+        pace = RATE * 0.5 * (1 + np.cos(np.pi * step / STEPS))
+        scale = pace / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         params -= scale * m / (1 - 0.9**step)
         params[:-1] = np.sign(params[:-1]) * np.maximum(0, np.abs(params[:-1]) - scale[:-1] * PENALTY)
     model.weights[known] = params[:-1]
