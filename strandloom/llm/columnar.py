@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql.types import StructType
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -41,6 +43,28 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The same rows with `text` compressed (binary), for a shuffle: a third less than what the shuffle's own codec makes of it."""
+    names = docs.columns
+    schema = StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType) for f in docs.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches):
+            small = pa.array([None if x is None else press(x) for x in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if n == "text" else batch.column(n) for n in names], names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of packed rows, some at a time, with their texts as strings again."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, limit=1 << 20):
+        full = pa.array([None if x is None else expand(x) for x in batch.column("text").to_pylist()], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([full if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+
 def widened(schema: StructType, **more: str) -> StructType:
     """The schema with further columns (name=type)."""
     out = StructType(list(schema.fields))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import RangeHash, mix, slices, utf8, widened
+from .columnar import RangeHash, mix, packed, slices, unpacked, utf8, widened
 from .shared import stored
 from .winnow import owned_runs
 
@@ -153,12 +153,12 @@ BLOCKS = "key long, start int, owner long, number int, core long, skip int, left
 
 
 def cut_blocks(asked: DataFrame, length: int) -> DataFrame:
-    """Blocks of the windows of places (at, most, least, owner, several) in `asked` (key, text, places)."""
+    """Blocks of the windows of places (at, most, least, owner, several) in `asked` (key, packed text, places)."""
     schema = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("owner", pa.int64()), ("number", pa.int32()), ("core", pa.int64()), ("skip", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("several", pa.bool_())])
     inner = length - BLOCK + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(unpacked(batches)):
             data, offsets = utf8(batch.column("text"))
             lists = batch.column("places")
             places = lists.flatten()
@@ -245,7 +245,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, most_blocks: int = M
     settled = unlike.join(covers.where("several").select("owner", "cover"), ["owner", "cover"]).select("key", start.alias("start"), last.alias("last"))
     places = covers.select("one.key", F.struct("one.at", "one.most", "one.least", "owner", "several").alias("place")).groupBy("key").agg(F.collect_list("place").alias("places"))
     # rows that are alike in key and text are one place here; what they repeat is settled above
-    asked = docs.join(places, "key")
+    asked = packed(docs).join(places, "key")
     blocks = stored(cut_blocks(asked.select("key", "text", "places"), length).distinct())
     sizes = blocks.groupBy(*GROUP).count()
     few = blocks.join(sizes.where((F.col("count") > 1) & (F.col("count") <= most_blocks)).drop("count"), [*GROUP])
@@ -265,16 +265,16 @@ def merged(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
 
 
 def with_runs(docs: DataFrame, length: int, most_blocks: int) -> DataFrame:
-    """`docs` with `runs`, null where nothing is repeated."""
+    """`docs` with `runs`, null where nothing is repeated, and packed texts."""
     found = repeated_windows(docs.select(row_key().alias("key"), "text"), length, most_blocks).groupBy(F.col("key").alias("at_key")).agg(F.collect_set(F.struct("start", "last")).alias("runs"))
-    return docs.withColumn("key", row_key()).join(found, F.col("key") == F.col("at_key"), "left").drop("key", "at_key")
+    return packed(docs.withColumn("key", row_key())).join(found, F.col("key") == F.col("at_key"), "left").drop("key", "at_key")
 
 
 def measure_repeats(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(unpacked(batches)):
             data, offsets = utf8(batch.column("text"))
             rows = []
             for i, runs in enumerate(batch.column("runs").to_pylist()):
@@ -311,7 +311,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST_
     schema = widened(docs.schema, n_removed="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(unpacked(batches)):
             data, offsets = utf8(batch.column("text"))
             new, gone = [], []
             for i, (runs, null) in enumerate(zip(batch.column("runs").to_pylist(), batch.column("text").is_null().to_pylist(), strict=True)):
@@ -319,7 +319,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST_
                 said = cut_text(text, merged([(r["start"], r["last"]) for r in runs or ()], length))
                 new.append(None if null else said)
                 gone.append(len(text) - len(said.encode()))
-            columns = [pa.array(new, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
+            columns = [pa.array(new, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], [*names, "n_removed"])
 
     return with_runs(docs, length, most_blocks).mapInArrow(run, schema)
