@@ -26,7 +26,7 @@ from .columnar import slices, texts
 
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 6_000_000  # ids that a shard keeps in memory, 24 MB
-MEMO_WORDS = 500_000  # words whose ids a worker remembers
+MEMO_WORDS = 300_000  # words whose ids a task remembers
 UNDERFULL = 15 / 16
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -91,16 +91,6 @@ class Encoder:
         return [(self._whole([text])[0] if w is None else b"".join(map(find, w))) + self.end for text, w in zip(batch, words, strict=True)]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, end_id: int | None) -> Encoder:
-    """One for each worker process, so later tasks find its words known."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
-
-
 class OpenWindows:
     """Open windows by free space. tree[i] says whether any leaf below node i has a window; leaf `size + c` stands for c free places."""
 
@@ -190,7 +180,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path, end_id)
+        encode = Encoder(tokenizer_path, end_id)  # of this task: a reused worker keeps nothing
         sequence = TaskContext.get().partitionId() << 36  # a partition has fewer sequences than that
 
         def rows(windows: list, known: list) -> Iterator[pa.RecordBatch]:

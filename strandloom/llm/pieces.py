@@ -28,7 +28,7 @@ from .columnar import slices, texts, widened
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the file format
 UNIGRAM, BPE = 1, 2
-MEMO = 400_000
+MEMO = 300_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -167,22 +167,12 @@ class PieceEncoder:
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def piece_encoder(path: str) -> PieceEncoder:
-    """One for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
-
-
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """`docs` with `ids` (binary, little-endian uint32), `n_ids` and `parity`."""
     kept = docs.drop("ids", "n_ids", "parity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(model_path)
+        encoder = PieceEncoder(model_path)
         for batch in slices(batches, limit=1 << 20):
             found = encoder.encode(texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.binary()), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([p for _, p in found], pa.bool_())], [*batch.schema.names, "ids", "n_ids", "parity"])
@@ -195,7 +185,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     kept = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(model_path)
+        encoder = PieceEncoder(model_path)
         for batch in slices(batches, "ids"):
             found = [encoder.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded"])
