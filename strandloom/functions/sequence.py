@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASES = "ACGT"
@@ -18,36 +18,42 @@ def reverse_complement(sequence: Column) -> Column:
     return F.translate(F.reverse(sequence), "ACGT", "TGCA")
 
 
-def at(sequence: Column, position: Column, size: int = 1) -> Column:
-    return F.substr(sequence, (position + 1).cast("int"), F.lit(size))
+def per_base(rows: DataFrame, strings: dict[str, tuple[str, int]]) -> DataFrame:
+    """One row for each letter of the strings: the other columns, `pos`, and for each name the letter of a string column `shift` places on (null
+    beyond the ends). Strings become arrays first: a substring at a position of a string walks there from its start, an array doesn't."""
+    used = {c for c, _ in strings.values()}
+    rest = [c for c in rows.columns if c not in used]
+    first = next(iter(strings.values()))[0]
 
+    def shifted(column: str, by: int) -> Column:
+        letters = F.split(column, "")
+        if by < 0:
+            return F.concat(F.array_repeat(F.lit(None).cast("string"), -by), letters)
+        return F.slice(letters, by + 1, F.length(column)) if by else letters
 
-def is_donor(sequence: Column, position: Column) -> Column:
-    return at(sequence, position, 2) == "GT"
+    zipped = rows.where(F.length(first) > 0).select(*rest, F.length(first).alias("n_"), *(shifted(c, by).alias(name) for name, (c, by) in strings.items()))
+    return zipped.select(*rest, "n_", F.posexplode(F.arrays_zip(*strings)).alias("pos", "b_")).where("pos < n_").select(*rest, F.col("pos").cast("long").alias("pos"), *(F.col(f"b_.{n}").alias(n) for n in strings))
 
 
-def is_acceptor(sequence: Column, position: Column) -> Column:
-    """The G of AG: nothing at position 0."""
-    return (position > 0) & (F.substr(sequence, position.cast("int"), F.lit(2)) == "AG")
+def around(rows: DataFrame, column: str = "sequence", before: int = 2, after: int = 2) -> DataFrame:
+    """Letters of a sequence with their neighbours: base, p1, p2, ... before and n1, n2, ... after it."""
+    return per_base(rows, {"base": (column, 0)} | {f"p{i}": (column, -i) for i in range(1, before + 1)} | {f"n{i}": (column, i) for i in range(1, after + 1)})
 
 
-def is_start(sequence: Column, position: Column) -> Column:
-    return at(sequence, position, 3) == "ATG"
-
-
-def is_stop(sequence: Column, position: Column) -> Column:
-    """At the last base of TAA, TAG or TGA."""
-    return (position >= 2) & F.substr(sequence, (position - 1).cast("int"), F.lit(3)).isin("TAA", "TAG", "TGA")
+# motifs at a letter, as conditions on the columns of around()
+IS_DONOR = "base = 'G' and n1 = 'T'"
+IS_ACCEPTOR = "p1 = 'A' and base = 'G'"
+IS_START = "base = 'A' and n1 = 'T' and n2 = 'G'"
+IS_STOP = "p2 = 'T' and ((p1 = 'A' and base in ('A', 'G')) or (p1 = 'G' and base = 'A'))"
 
 
 def base_code(base: Column) -> Column:
     return F.instr(F.lit(BASES), base) - 1
 
 
-def context_code(sequence: Column, position: Column, size: int = 5) -> Column:
-    """Base-4 code of the `size` bases before a position; null where there are fewer."""
-    digits = F.translate(F.substr(sequence, (position - size + 1).cast("int"), F.lit(size)), BASES, "0123")
-    return F.when(position >= size, F.conv(digits, 4, 10).cast("int"))
+def context_code(size: int) -> Column:
+    """Base-4 code of the letters p<size> .. p1; null where one is missing."""
+    return sum((base_code(F.col(f"p{i}")) * 4 ** (i - 1) for i in range(1, size + 1)), F.lit(0))
 
 
 def window_at(sequence: Column, position: Column, radius: int = 60) -> Column:
@@ -56,12 +62,6 @@ def window_at(sequence: Column, position: Column, radius: int = 60) -> Column:
     return F.substr(F.concat(pad, sequence, pad), (position + 1).cast("int"), F.lit(2 * radius + 1))
 
 
-def positions(sequence: Column, first: int = 0) -> Column:
-    """Array of the positions from `first` on; empty if there are none."""
-    n = F.length(sequence)
-    return F.when(n > first, F.sequence(F.lit(first), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def revcomp_interval(start: Column, end: Column, length: Column) -> tuple[Column, Column]:
     """1-based closed interval of the other strand in forward coordinates."""
     return length - end + 1, length - start + 1

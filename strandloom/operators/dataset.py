@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import is_acceptor, is_donor, is_start, positions, reverse_complement, window_at
+from ..functions.sequence import IS_ACCEPTOR, IS_DONOR, IS_START, around, reverse_complement, window_at
 from .intervals import passes_site_filters, transcripts
 
-# fixed values: words in a sequence's header that mark an organelle
-ORGANELLES = ("mitochondrion", "mitochondrial", "chloroplast", "plastid", "apicoplast")
+# fixed values: parts of words in a sequence's header that mark an organelle
+ORGANELLES = ("mitochond", "chloroplast", "plastid", "apicoplast", "kinetoplast")
 
 
 def is_organelle(header: Column) -> Column:
@@ -44,8 +44,10 @@ def choose_test(counts: DataFrame, share: float = 0.1, most: float = 0.25) -> Da
 
 def rank_assembly(reports: DataFrame) -> DataFrame:
     """The best annotated assembly of each taxon: refseq before genbank, then category, level and accession."""
-    category = F.when(F.col("category") == "reference genome", 0).when(F.col("category") == "representative genome", 1).otherwise(2)
-    level = F.when(F.col("level") == "Complete Genome", 0).when(F.col("level") == "Chromosome", 1).when(F.col("level") == "Scaffold", 2).otherwise(3)
+    # fixed values: the order of categories and levels
+    kinds, levels = ("reference genome", "representative genome"), ("complete genome", "chromosome", "scaffold", "contig")
+    place = lambda c, known: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), F.lower(F.coalesce(c, F.lit("")))), F.lit(0)), F.lit(len(known) + 1))
+    category, level = place(F.col("category"), kinds), place(F.col("level"), levels)
     w = Window.partitionBy("taxon").orderBy(F.when(F.col("source") == "refseq", 0).otherwise(1), category, level, "accession")
     return reports.where("annotated").withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").drop("rank_")
 
@@ -74,12 +76,11 @@ def start_sites(features: DataFrame) -> DataFrame:
 
 def splice_candidates(sequences: DataFrame) -> DataFrame:
     """(scaffold, pos) with GT here or AG ending here, without a scaffold's two end bases."""
-    p = F.filter(positions(F.col("sequence"), 1), lambda i: (i < F.length("sequence") - 1) & (is_donor(F.col("sequence"), i) | is_acceptor(F.col("sequence"), i)))
-    return sequences.select("scaffold", F.explode(p).alias("pos"))
+    return around(sequences.select("scaffold", "sequence"), before=1, after=1).where("p1 is not null and n1 is not null").where(f"({IS_DONOR}) or ({IS_ACCEPTOR})").select("scaffold", "pos")
 
 
 def start_candidates(sequences: DataFrame) -> DataFrame:
-    return sequences.select("scaffold", F.explode(F.filter(positions(F.col("sequence")), lambda i: is_start(F.col("sequence"), i))).alias("pos"))
+    return around(sequences.select("scaffold", "sequence"), before=0).where(IS_START).select("scaffold", "pos")
 
 
 def sample_negatives(candidates: DataFrame, sites: DataFrame, ratio: int = 5, seed: int = 7) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import topology as t
-from ..functions.sequence import is_acceptor, is_donor, is_start
+from ..functions.sequence import IS_ACCEPTOR, IS_DONOR, IS_START, IS_STOP
 
 QUARTER, HALF = float(np.log(0.25)), float(np.log(0.5))
 
@@ -85,16 +85,15 @@ def matrix(model: Model, sequence: str, donor=None, acceptor=None, start=None) -
     return out
 
 
-def signal_columns(seq: Column, pos: Column, score: Column, scale: float = 1.0, bias: float = 0.0) -> dict[str, Column]:
-    """donor, acceptor and start emissions at a position as columns."""
+def signal_columns(score: Column, scale: float = 1.0, bias: float = 0.0) -> dict[str, Column]:
+    """donor, acceptor and start emissions as columns over the rows of around()."""
     value = scale * F.coalesce(score, F.lit(0.0)) + bias
     never = F.lit(t.NEG_INF)
-    return {"donor": F.when(is_donor(seq, pos), value).otherwise(never), "acceptor": F.when(is_acceptor(seq, pos), value).otherwise(never), "start": F.when(is_start(seq, pos), value).otherwise(never)}
+    return {k: F.when(F.expr(c), value).otherwise(never) for k, c in (("donor", IS_DONOR), ("acceptor", IS_ACCEPTOR), ("start", IS_START))}
 
 
-def deterministic(seq: Column, pos: Column) -> dict[str, Column]:
-    """The codon states that need no score."""
-    base = F.substr(seq, (pos + 1).cast("int"), F.lit(1))
+def deterministic() -> dict[str, Column]:
+    """The codon states that need no score, over the rows of around()."""
     never, sure = F.lit(t.NEG_INF), F.lit(0.0)
-    stop = (pos >= 2) & F.substr(seq, (pos - 1).cast("int"), F.lit(3)).isin("TAA", "TAG", "TGA")
-    return {"start_2": F.when(base == "T", sure).otherwise(never), "start_3": F.when(base == "G", sure).otherwise(never), "stop_1": F.when(base == "T", sure).otherwise(never), "stop_2": F.when(base.isin("A", "G"), F.ln(F.lit(0.5))).otherwise(never), "stop_3": F.when(stop, sure).otherwise(never)}
+    known = {"start_2": "base = 'T'", "start_3": "base = 'G'", "stop_1": "base = 'T'", "stop_3": IS_STOP}
+    return {k: F.when(F.expr(c), sure).otherwise(never) for k, c in known.items()} | {"stop_2": F.when(F.expr("base in ('A', 'G')"), F.ln(F.lit(0.5))).otherwise(never)}

@@ -7,21 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import topology as t
+from ..functions.sequence import per_base
 from .intervals import nearest, state_runs
 
 WINDOW = 300
 
 
-def per_base(paths: DataFrame, *columns: str) -> DataFrame:
-    """One row for each base with the given string columns cut to a letter; the other columns are kept."""
-    rest = [c for c in paths.columns if c not in columns]
-    n = F.length(columns[0])
-    return paths.where(n > 0).select(*rest, *columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("pos")).select(*rest, "pos", *(F.substr(c, F.col("pos") + 1, F.lit(1)).alias(c) for c in columns))
-
-
 def confusion(paths: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., pred, gold, cnt): every metric below comes from these at most 441 rows, so paths are read once."""
-    return per_base(paths.select(*(by or []), "pred", "gold"), "pred", "gold").groupBy(*(by or []), "pred", "gold").agg(F.count(F.lit(1)).alias("cnt"))
+    return per_base(paths.select(*(by or []), "pred", "gold"), {"pred": ("pred", 0), "gold": ("gold", 0)}).groupBy(*(by or []), "pred", "gold").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def count_where(condition: Column) -> Column:
@@ -58,8 +52,8 @@ def boundary_metrics(cells: DataFrame) -> DataFrame:
 def illegal_transitions(paths: DataFrame, column: str) -> DataFrame:
     """One row: adjacent pairs of states that aren't edges."""
     legal = [t.letter(a) + t.letter(b) for a, b in t.EDGES]
-    pairs = paths.where(F.length(column) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length(column) - 1), lambda i: F.substr(F.col(column), i, F.lit(2)))).alias("pair"))
-    return pairs.agg(F.count_if(~F.col("pair").isin(legal)).alias("illegal"))
+    pairs = per_base(paths.select(column), {"s": (column, 0), "next": (column, 1)}).where("next is not null")
+    return pairs.agg(F.count_if(~F.concat("s", "next").isin(legal)).alias("illegal"))
 
 
 def error_runs(paths: DataFrame, key: str) -> DataFrame:
@@ -110,7 +104,7 @@ def splice_grid(current: tuple[float, float, float, float] = (1.0, 0.0, 1.0, 0.0
 
 def start_grid() -> list[tuple[float, float]]:
     """(scale, bias) of 4 x 8 start candidates."""
-    return [(s, float(b)) for s in (0.5, 0.75, 1.0, 1.25) for b in range(-8, 0)]
+    return [(s, float(b)) for s in (0.5, 0.75, 1.0, 1.25) for b in range(-6, 2)]
 
 
 def grid_search(intervals: DataFrame, model, candidates: list[dict[str, float]], kind: str, penalty: float = 0.0, longest: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def gene_records(paths: DataFrame, strand: str) -> DataFrame:
     n = F.length("path")
     g = paths.where(n > 0).withColumn("n", n).withColumn("g", F.explode(state_runs(F.col("path"), GENE)))
     size = F.col("g.end") - F.col("g.start")
-    g = g.withColumn("part", F.substr("path", F.col("g.start") + 1, size))
+    g = g.withColumn("part", F.substr("path", F.col("g.start") + 1, size)).withColumn("letters", F.split("part", ""))
     minus = F.lit(strand == "-")
     fwd_start, fwd_end = F.when(minus, F.col("n") - F.col("g.end")).otherwise(F.col("g.start")), F.when(minus, F.col("n") - F.col("g.start")).otherwise(F.col("g.end"))
 
@@ -38,7 +38,7 @@ def gene_records(paths: DataFrame, strand: str) -> DataFrame:
 
     at = F.sequence(F.lit(0), size - 1)
     position = lambda i: F.when(minus, F.col("n") - F.col("g.start") - i).otherwise(F.col("g.start") + i + 1)
-    sure = F.array_sort(F.transform(at, lambda i: F.struct(position(i).alias("position"), label_of(F.substr("part", i + 1, F.lit(1))).alias("state"), F.element_at("confidence", F.col("g.start") + i + 1).alias("confidence"))))
+    sure = F.array_sort(F.transform(at, lambda i: F.struct(position(i).alias("position"), label_of(F.get("letters", i)).alias("state"), F.element_at("confidence", F.col("g.start") + i + 1).alias("confidence"))))
     return g.select("species", "scaffold", F.lit(strand).alias("strand"), fwd_start.alias("fwd_start"), fwd_end.alias("fwd_end"), (fwd_start + 1).alias("start"), fwd_end.alias("end"), placed(CODING).alias("exons"), placed(INTRONIC).alias("introns"), F.size(state_runs(F.col("part"), BODY)).alias("intron_count"), F.substr("seq", F.col("g.start") + 1, size).alias("sequence"), sure.alias("confidence"), F.col("g.start").alias("path_start"), F.col("g.end").alias("path_end"))
 
 

@@ -6,32 +6,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import topology as t
-from ..functions.sequence import BASES, base_code, context_code
+from ..functions.sequence import base_code, context_code, per_base
 from .intervals import state_runs
 
 FAMILIES = {"intergenic": (t.INTERGENIC,), "intron": tuple(t.INTRON), "exon_1": (t.EXON[0],), "exon_2": (t.EXON[1],), "exon_3": (t.EXON[2],)}
 
 
-def _per_base(intervals: DataFrame, first: int) -> DataFrame:
-    n = F.length("states")
-    return intervals.where(n > first).select("*", F.explode(F.sequence(F.lit(first), n - 1)).alias("i"))
-
-
 def bigram_counts(intervals: DataFrame) -> DataFrame:
     """(from_state, to_state, cnt) inside intervals, plus START to each first and each last state to END; never across intervals."""
-    some = intervals.where(F.length("states") > 0)
-    pairs = some.select(F.explode(F.array(F.struct(F.lit(t.START).alias("f"), t.code_of(F.substr("states", F.lit(1), F.lit(1))).alias("t")), F.struct(t.code_of(F.right("states", F.lit(1))).alias("f"), F.lit(t.END).alias("t")))).alias("p")).select("p.f", "p.t")
-    inner = _per_base(some, 1).select(t.code_of(F.substr("states", F.col("i"), F.lit(1))).alias("f"), t.code_of(F.substr("states", F.col("i") + 1, F.lit(1))).alias("t"))
-    return pairs.unionByName(inner).groupBy(F.col("f").alias("from_state"), F.col("t").alias("to_state")).agg(F.count(F.lit(1)).alias("cnt"))
+    some = intervals.where(F.length("states") > 0).select("states")
+    first = some.select(F.lit(t.START).alias("f"), t.code_of(F.left("states", F.lit(1))).alias("t"))
+    inner = per_base(some, {"s": ("states", 0), "next": ("states", 1)}).select(t.code_of(F.col("s")).alias("f"), F.coalesce(t.code_of(F.col("next")), F.lit(t.END)).alias("t"))
+    return first.unionByName(inner).groupBy(F.col("f").alias("from_state"), F.col("t").alias("to_state")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def outgoing_counts(intervals: DataFrame) -> DataFrame:
     """(state, cnt): START once for each interval, every state once for each base."""
-    some = intervals.where(F.length("states") > 0)
-    bases = _per_base(some, 0).select(t.code_of(F.substr("states", F.col("i") + 1, F.lit(1))).alias("state"))
+    some = intervals.where(F.length("states") > 0).select("states")
+    bases = per_base(some, {"s": ("states", 0)}).select(t.code_of(F.col("s")).alias("state"))
     return some.select(F.lit(t.START).alias("state")).unionByName(bases).groupBy("state").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _contexts(intervals: DataFrame, order: int) -> DataFrame:
+    return per_base(intervals.select("seq", "states"), {"base": ("seq", 0), "s": ("states", 0)} | {f"p{i}": ("seq", -i) for i in range(1, order + 1)})
+
+
 def transition_log_probs(counts: DataFrame, alpha: float = 0.02) -> DataFrame:
     """(from_state, to_state, cnt, log_p) of the legal edges; others are impossible and have no row."""
     legal = F.broadcast(t.edges(counts.sparkSession))  # 32 rows
@@ -44,18 +43,18 @@ def transition_log_probs(counts: DataFrame, alpha: float = 0.02) -> DataFrame:
 
 def markov_counts(intervals: DataFrame, codes, order: int) -> DataFrame:
     """(ctx, base, cnt) of the bases in the given states, from the first position with a whole context."""
-    return _per_base(intervals, order).where(t.one_of(F.substr("states", F.col("i") + 1, F.lit(1)), codes)).groupBy(context_code(F.col("seq"), F.col("i"), order).alias("ctx"), base_code(F.substr("seq", F.col("i") + 1, F.lit(1))).alias("base")).agg(F.count(F.lit(1)).alias("cnt"))
+    rows = _contexts(intervals, order).where(t.one_of(F.col("s"), codes)).select(context_code(order).alias("ctx"), base_code(F.col("base")).alias("base"))
+    return rows.where("ctx is not null").groupBy("ctx", "base").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def family_counts(intervals: DataFrame) -> DataFrame:
     """(family, ctx, base, cnt) for all five tables in one scan and one aggregation."""
-    state = F.substr("states", F.col("i") + 1, F.lit(1))
-    family = F.when(t.one_of(state, FAMILIES["intergenic"]), "intergenic").when(t.one_of(state, FAMILIES["intron"]), "intron")
-    for name in ("exon_1", "exon_2", "exon_3"):
-        family = family.when(t.one_of(state, FAMILIES[name]), name)
-    rows = _per_base(intervals, 1).select(family.alias("family"), "seq", "i").where("family is not null")
-    ctx = F.when(F.col("family").startswith("exon"), context_code(F.col("seq"), F.col("i"), 5)).otherwise(context_code(F.col("seq"), F.col("i"), 1))
-    return rows.select("family", ctx.alias("ctx"), base_code(F.substr("seq", F.col("i") + 1, F.lit(1))).alias("base")).where("ctx is not null").groupBy("family", "ctx", "base").agg(F.count(F.lit(1)).alias("cnt"))
+    family = F.lit(None).cast("string")
+    for name, codes in FAMILIES.items():
+        family = F.when(t.one_of(F.col("s"), codes), name).otherwise(family)
+    rows = _contexts(intervals, 5).withColumn("family", family).where("family is not null")
+    ctx = F.when(F.col("family").startswith("exon"), context_code(5)).otherwise(context_code(1))
+    return rows.select("family", ctx.alias("ctx"), base_code(F.col("base")).alias("base")).where("ctx is not null").groupBy("family", "ctx", "base").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def markov_log_probs(counts: DataFrame, order: int, alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
