@@ -18,6 +18,18 @@ from .emission import Model, matrix
 INNER = range(t.INTERGENIC, t.END)
 BEFORE = {s: [a for a, b in t.EDGES if b == s and a in INNER] for s in INNER}  # ascending, so ties go to the smaller state
 AFTER = {s: [b for a, b in t.EDGES if a == s and b in INNER] for s in INNER}
+WIDTH = 3  # no state has more legal neighbours inside
+
+
+def _padded(neighbours: dict[int, list[int]]) -> np.ndarray:
+    """(21, WIDTH) neighbours in ascending order; the rest points to START, which nothing reaches."""
+    out = np.full((21, WIDTH), t.START)
+    for s, own in neighbours.items():
+        out[s, : len(own)] = own
+    return out
+
+
+SOURCES, TARGETS = _padded(BEFORE), _padded(AFTER)
 BATCH_BASES = 400_000
 UNLIMITED = np.iinfo(np.int64).max
 
@@ -44,33 +56,37 @@ def viterbi(model: Model, emissions: list[np.ndarray], penalty: float = 0.0, sho
     score = model.trans[t.START][None, :] + e[0]
     score[:, [t.START, t.END]] = t.NEG_INF
     back = np.zeros((steps, n, 21), np.int8)
+    bounded = shortest > 0 or longest < UNLIMITED or pmf is not None
+    intron, acceptor = list(t.INTRON), list(t.ACCEPTOR)
     body = np.zeros((n, 21), np.int64)
-    body[:, list(t.INTRON)] = 1
+    body[:, intron] = 1
     last = score.copy()
+    cost = trans[SOURCES, np.arange(21)[:, None]]
+    cost[SOURCES == t.START] = t.NEG_INF
+    entry = int(np.flatnonzero(SOURCES[t.START_CODON[0]] == t.INTERGENIC)[0])
+    loops = SOURCES[intron] == np.array(intron)[:, None]
     with np.errstate(invalid="ignore"):
         for i in range(1, steps):
-            new, new_body = np.full((n, 21), t.NEG_INF), np.zeros((n, 21), np.int64)
-            for s, sources in BEFORE.items():
-                for p in sources:
-                    value = score[:, p] + trans[p, s]
-                    if p == t.INTERGENIC and s == t.START_CODON[0]:
-                        value = value - penalty
-                    value = value + e[i, :, s]
-                    if p in t.INTRON:
-                        if p == s:
-                            value = np.where(body[:, p] < longest, value, t.NEG_INF)
-                        else:
-                            value = np.where(body[:, p] >= shortest, value, t.NEG_INF)
-                            if pmf is not None:
-                                value = value + pmf[np.minimum(body[:, p], len(pmf) - 1)]
-                    better = value > new[:, s]
-                    new[better, s] = value[better]
-                    back[i, better, s] = p
-                    if s in t.INTRON:
-                        new_body[better, s] = body[better, p] + 1 if p == s else 1
-            score, body = new, new_body
+            value = score[:, SOURCES] + cost
+            if penalty:
+                value[:, t.START_CODON[0], entry] -= penalty
+            value += e[i][:, :, None]
+            if bounded:
+                here = body[:, intron]
+                value[:, intron] = np.where(loops & (here >= longest)[:, :, None], t.NEG_INF, value[:, intron])
+                leave = np.where(here >= shortest, 0.0 if pmf is None else pmf[np.minimum(here, len(pmf) - 1)], t.NEG_INF)
+                value[:, acceptor, 0] += leave
+            pick = value.argmax(2)
+            score = np.take_along_axis(value, pick[:, :, None], 2)[:, :, 0]
+            chosen = np.where(score > t.NEG_INF, SOURCES[np.arange(21), pick], t.START)
+            back[i] = chosen
+            if bounded:
+                stay = chosen[:, intron] == intron
+                grown = np.where(stay, body[:, intron] + 1, 1)
+                body[:, intron] = np.where(chosen[:, intron] == t.START, 0, grown)
             ending = sizes == i + 1
-            last[ending] = score[ending]
+            if ending.any():
+                last[ending] = score[ending]
     final = last + model.trans[:, t.END][None, :]
     final[:, [t.START, t.END]] = t.NEG_INF
     end = np.where(np.isfinite(final).any(1), final.argmax(1), t.START)
@@ -83,13 +99,6 @@ def viterbi(model: Model, emissions: list[np.ndarray], penalty: float = 0.0, sho
     return [paths[: sizes[k], k] for k in range(n)]
 
 
-def _logsum(parts: list[np.ndarray]) -> np.ndarray:
-    out = parts[0]
-    for p in parts[1:]:
-        out = np.logaddexp(out, p)
-    return out
-
-
 def posteriors(model: Model, emissions: list[np.ndarray], penalty: float = 0.0) -> list[np.ndarray]:
     """(T, 21) log posteriors; no length model. An impossible sequence gives NaN."""
     if not emissions:
@@ -101,15 +110,15 @@ def posteriors(model: Model, emissions: list[np.ndarray], penalty: float = 0.0)
     forward, backward = np.full(e.shape, t.NEG_INF), np.full(e.shape, t.NEG_INF)
     inner = list(INNER)
     forward[0][:, inner] = (model.trans[t.START] + e[0])[:, inner]
+    into, out_of = trans[SOURCES, np.arange(21)[:, None]], trans[np.arange(21)[:, None], TARGETS]
+    into[SOURCES == t.START], out_of[TARGETS == t.START] = t.NEG_INF, t.NEG_INF
     with np.errstate(invalid="ignore", divide="ignore"):
         for i in range(1, steps):
-            for s, sources in BEFORE.items():
-                forward[i, :, s] = _logsum([forward[i - 1, :, p] + trans[p, s] for p in sources]) + e[i, :, s]
+            forward[i] = np.logaddexp.reduce(forward[i - 1][:, SOURCES] + into, axis=2) + e[i]
         ends = model.trans[:, t.END]
         for i in range(steps - 1, -1, -1):
-            for p, targets in AFTER.items():
-                if i + 1 < steps and targets:
-                    backward[i, :, p] = _logsum([trans[p, s] + e[i + 1, :, s] + backward[i + 1, :, s] for s in targets])
+            if i + 1 < steps:
+                backward[i] = np.logaddexp.reduce((e[i + 1] + backward[i + 1])[:, TARGETS] + out_of, axis=2)
             closing = sizes == i + 1
             backward[i][np.ix_(closing, inner)] = ends[inner]
         out = []
