@@ -151,7 +151,7 @@ def as_map(rows) -> dict[int, float] | None:
 
 def decode(rows: DataFrame, model: Model, penalty: float = 0.0, shortest: int = 0, longest: int = UNLIMITED, pmf: list[float] | None = None, with_confidence: bool = True, genes: bool = False) -> DataFrame:
     """`rows` (key, seq, donor, acceptor, start: arrays of struct<pos, score>, or null for none loaded) with `path` (letters),
-    `confidence` (array, if asked for) and `score` of the whole path. One row is an interval: it isn't split. No shuffle."""
+    `confidence` (array, if asked for) and `score` of the whole path. One row is an interval: it isn't split."""
     lengths = None if pmf is None else np.asarray(pmf, float)
     extra = ", path string, score double, confidence array<double>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + extra
@@ -187,4 +187,6 @@ def decode(rows: DataFrame, model: Model, penalty: float = 0.0, shortest: int =
                 yield solve(batch.take(pa.array(order[at : at + many])))
                 at += many
 
-    return rows.mapInArrow(run, schema)
+    # a scan of few files would leave the work to few tasks; decoding costs far more than this shuffle
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts).mapInArrow(run, schema)
