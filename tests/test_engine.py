@@ -1,0 +1,132 @@
+import math
+
+import numpy as np
+
+from strandloom import topology as t
+from strandloom.operators import evaluate, genes, intervals, labels, model
+from strandloom.sources import files
+
+
+def lines(spark, text):
+    return spark.createDataFrame([("f", i, v) for i, v in enumerate(text.split("\n"))], "file string, line_no int, value string")
+
+
+def test_fasta(spark):
+    rows = lines(spark, ">chr1 first chromosome\nACgtN\nTA\n>chr2 second chromosome\nccGG")
+    records = files.fasta_records(rows)
+    assert [r.sequence for r in records.orderBy("ord").collect()] == ["ACGTATA", "CCGG"]
+    assert files.fasta_length(rows).first().length == 11
+    assert [(r.name, r.start, r.end) for r in files.fasta_ranges(records).orderBy("ord").collect()] == [("chr1", 0, 7), ("chr2", 7, 11)]
+    assert {r.name: r.offset for r in files.fasta_offsets(files.fasta_ranges(records)).collect()} == {"chr1": 0, "chr2": 7}
+
+
+STRAND = [("s", "gene1", "-", 10, 18), ("s", "gene1", "-", 41, 49)]
+
+
+def test_minus_strand_gene(spark):
+    seq = spark.createDataFrame([("x", "s", "ACGT" * 15)], "species string, scaffold string, sequence string")
+    f = spark.createDataFrame(STRAND, "scaffold string, parent string, strand string, start0 long, end0 long")
+    from pyspark.sql import functions as F
+
+    from strandloom.functions.sequence import reverse_complement
+
+    turned = seq.withColumn("sequence", reverse_complement(F.col("sequence")))
+    minus = labels.labelled(turned, intervals.mirror_features(f, seq), "-").first().states
+    assert len(minus) == 60 and minus.index(t.letter(2)) == 10 and minus.index(t.letter(19)) == 49
+    assert minus.count(t.letter(2)) == 1 and sum(minus.count(t.letter(c)) for c in t.DONOR) == 1 and sum(minus.count(t.letter(c)) for c in t.ACCEPTOR) == 1
+    assert all((ord(a) - 65, ord(b) - 65) in t.LEGAL for a, b in zip(minus, minus[1:], strict=False))
+    plus = labels.labelled(seq, f, "+").first()
+    assert set(plus.states) == {t.letter(1)} and "1" not in plus.regions
+
+
+def loop_labels(regions):
+    """The same labels base by base."""
+    out, frame, phase, n, i = [1] * len(regions), 0, 0, len(regions), 0
+    get = lambda k: regions[k] if 0 <= k < n else 0
+    while i < n:
+        if regions[i] in (0, 3):
+            frame = 0
+        elif regions[i] == 1:
+            three = get(i + 1) == 1 and get(i + 2) == 1 and i + 2 < n
+            if get(i - 1) in (0, 3) and three:
+                out[i : i + 3], frame, i = [2, 3, 4], 0, i + 3
+                continue
+            if three and get(i + 3) in (0, 3):
+                out[i : i + 3], i = [17, 18, 19], i + 3
+                continue
+            out[i], frame = 5 + frame, (frame + 1) % 3
+        else:
+            donor = i == 0 or regions[i - 1] == 1
+            if donor:
+                phase = frame + 1
+            out[i] = 1 if not phase else 7 + phase if donor else 13 + phase if get(i + 1) == 1 else 10 + phase
+        i += 1
+    return out
+
+
+def test_labels_by_runs():
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        regions = np.repeat(rng.integers(0, 4, 8), rng.integers(1, 8, 8)).astype(np.uint8)
+        assert labels.label_regions(regions).tolist() == loop_labels(regions.tolist())
+
+
+def test_transition_counts(spark):
+    iv = spark.createDataFrame([(t.letters([1, 2, 3]),), (t.letters([1, 1, 2]),)], "states string")
+    counts = model.bigram_counts(iv)
+    got = {(r.from_state, r.to_state): r.cnt for r in counts.collect()}
+    assert got == {(0, 1): 2, (1, 2): 2, (2, 3): 1, (3, 20): 1, (2, 20): 1, (1, 1): 1}
+    logp = {(r.from_state, r.to_state): r.log_p for r in model.transition_log_probs(counts, 1.0).collect()}
+    assert abs(logp[1, 2] - math.log(3 / 6)) < 1e-12 and abs(logp[1, 20] - math.log(1 / 6)) < 1e-12 and (1, 17) not in logp
+    assert {r.state: r.cnt for r in model.outgoing_counts(iv).collect()} == {0: 2, 1: 3, 2: 2, 3: 1}
+
+
+def test_markov_counts(spark):
+    iv = spark.createDataFrame([("ACGTA", t.letters([1, 1, 11, 1, 1]))], "seq string, states string")
+    assert {(r.ctx, r.base): r.cnt for r in model.markov_counts(iv, [1], 1).collect()} == {(0, 1): 1, (2, 3): 1, (3, 0): 1}
+    iv = spark.createDataFrame([("ACGTACG", t.letters([1, 1, 1, 1, 1, 5, 1]))], "seq string, states string")
+    assert [(r.ctx, r.base, r.cnt) for r in model.markov_counts(iv, [5], 5).collect()] == [(0 * 256 + 1 * 64 + 2 * 16 + 3 * 4 + 0, 1, 1)]
+
+
+def fold(rows):
+    """The merge with a stack."""
+    kept = []
+    for g in sorted(rows, key=lambda g: (g[0], g[1])):
+        drop = False
+        while kept and kept[-1][1] > g[0]:
+            if g[2] > kept[-1][2]:
+                kept.pop()
+            else:
+                drop = True
+                break
+        if not drop:
+            kept.append(g)
+    return sorted(kept)
+
+
+def test_strand_merge(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in range(40):
+        starts = rng.choice(100, 12, replace=False)
+        rows += [("x", s, int(a), int(a + rng.integers(1, 30)), "+", float(rng.integers(0, 6))) for a in starts]
+    df = spark.createDataFrame(rows, "species string, scaffold int, fwd_start int, fwd_end int, strand string, score double")
+    got = {}
+    for r in genes.merge_strands(df).collect():
+        got.setdefault(r.scaffold, []).append((r.fwd_start, r.fwd_end, r.score))
+    for s in range(40):
+        assert sorted(got[s]) == fold([(r[2], r[3], r[5]) for r in rows if r[1] == s])
+
+
+def test_offset_edges(spark):
+    offs = [0, 2, -3, 9, 10, -30, 31, 100, 101, 300, 301, None]
+    p = spark.createDataFrame([(o,) for o in offs], "offset int")
+    r = evaluate.offset_report(p, p).first()
+    assert (r.exact, r.within_window, r.spurious, r.d_1_2, r.d_3, r.d_4_9, r.d_10_30, r.d_31_100, r.d_101_window, r.missed) == (1, 9, 2, 1, 1, 1, 2, 2, 2, 2)
+    assert r.median_abs == sorted([2, 3, 9, 10, 30, 31, 100, 101, 300])[4]
+
+
+def test_entry_without_optional_parts():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
