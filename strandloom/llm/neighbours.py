@@ -28,7 +28,8 @@ from .shared import stored
 
 SAMPLE = 16_384
 MOST_LISTS, ROWS_PER_LIST = 1024, 800
-PROBE_SHARE, LEAST_PROBES = 0.3, 8
+# share of the lists that a query visits: on vectors without clear clusters 0.3 finds 0.76 of the true ten, 0.5 finds 0.91, 0.7 finds 0.97
+PROBE_SHARE, LEAST_PROBES = 0.7, 8
 SUBSPACES, CODEWORDS = 16, 256
 RERANK = 100
 BUCKET_ROWS, QUERY_ROWS = 4096, 1024
