@@ -26,6 +26,7 @@ from .columnar import slices, utf8, widened
 CHUNK, WIDTH, EMBED, FILTERS, PAD = 256, 6, 6, 16, 256
 MAX_TRAINING = 3000
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 4e-3, 1e-4
+LEAST_STEPS = 400
 
 
 @dataclass
@@ -56,7 +57,7 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = start[:, None] + np.arange(CHUNK + WIDTH - 1)
     inside = at < offsets[doc + 1][:, None]
     padded = data if len(data) else np.zeros(1, np.uint8)
-    return np.where(inside, padded[np.minimum(at, len(padded) - 1)], PAD).astype(np.int16), first
+    return np.where(inside, padded[np.minimum(at, len(padded) - 1)].astype(np.int16), np.int16(PAD)), first
 
 
 def windows(net: Network, chunks: np.ndarray) -> np.ndarray:
@@ -123,7 +124,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Netwo
     net.bias[:] = np.log(rate / (1 - rate))
     rng = np.random.default_rng(11)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
-    step, total = 0, epochs * -(-len(texts) // BATCH)
+    each = -(-len(texts) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // each))  # few texts are seen more often
+    step, total = 0, epochs * each
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
