@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of runs of lines; a document of which every line goes is dropped."""
-    return as_documents(lines.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines"))
+    """Deletes later copies of runs of lines and of single lines of 50 words or more; a document of which every line goes is dropped."""
+    return as_documents(lines.dedup_lines(docs, long_words=lines.LONG_WORDS).where("n_removed = 0 or n_removed < n_lines"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ that the windows it owns cover. Places with the same cover match in all their wi
 windows compared one by one, which extends the match to both sides as far as it goes. Overlapping matches make up the maximal runs.
 The first place, in the order of doc_id and line, is kept; the lines of later ones are deleted.
 
+With `long_words` each line of at least so many words is a window of its own as well, and so, with `short_texts`, are all the lines of a
+document that has fewer than `min_lines`; both meet their first place as the fingerprints do.
+
 Nothing is paired: places meet their first occurrence by aggregation, so a line that a third of all documents hold costs one row of
 each partition. Texts are shuffled once, to meet their deletions.
 
@@ -29,6 +32,10 @@ from .shared import stored
 from .winnow import owned_runs
 
 MIN_LINES = 2
+LONG_WORDS = 50
+
+# windows of their own never share a fingerprint with others
+LONG, SHORT = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -49,30 +56,62 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return doc, start, end
 
 
-def post_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The fingerprints of `docs` (doc_id, text_key, text) with what they cover."""
+def word_counts(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The number of runs of bytes that aren't blank in each line."""
+    ink = ~BLANK[data]
+    begins = ink & np.append(True, ~ink[:-1])
+    first = offsets[offsets < len(data)]
+    begins[first] = ink[first]
+    before = np.concatenate(([0], np.cumsum(begins)))
+    return before[end] - before[start]
+
+
+def post_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None, short_texts: bool = False) -> DataFrame:
+    """The fingerprints of `docs` (doc_id, text_key, text) with what they cover. A window of its own has `last` so that it ends at last + min_lines."""
     schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "text_key", "owner", "first", "last", "fingerprint", "cover")), ("windows", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
             doc, start, end = line_spans(data, offsets)
+            if not len(doc):
+                continue
+            of_bytes = RangeHash(data)
+            lines = of_bytes.of(start, end)
+            first_line = np.searchsorted(doc, np.arange(len(offsets)))  # a document's first line here
+            # hashes of runs of lines, from a prefix sum over the lines' hashes as over bytes
+            prefix = LineHash(lines)
+
+            def rows(owner, first, last, fingerprint, cover, counts, windows):
+                base = first_line[doc[owner]]
+                of = pa.array(doc[owner])
+                return pa.record_batch([batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(owner - base), pa.array(first - base), pa.array(last - base), pa.array(fingerprint.view(np.int64)), pa.array(cover.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(windows, pa.int64()))], schema=schema)
+
+            def alone(first, end_line, salt):
+                """Windows of their own: the second hash is of the latter half of the bytes, with their number."""
+                lo, hi = start[first], end[end_line - 1]
+                cover = mix(of_bytes.of((lo + hi) // 2, hi) + (hi - lo).astype(np.uint64))
+                return rows(first, first, end_line - min_lines, mix(prefix.of(first, end_line) ^ np.uint64(salt)), cover, np.zeros(len(first), np.int64), np.zeros(0, np.int64))
+
+            if long_words is not None:
+                at = np.flatnonzero(word_counts(data, offsets, start, end) >= long_words)
+                if len(at):
+                    yield alone(at, at + 1, LONG)
+            if short_texts:
+                size = np.diff(first_line)
+                few = np.flatnonzero((size > 0) & (size < min_lines))
+                if len(few):
+                    yield alone(first_line[few], first_line[few] + size[few], SHORT)
             if len(doc) < min_lines:
                 continue
-            lines = RangeHash(data).of(start, end)
             usable = doc[min_lines - 1 :] == doc[: len(doc) - min_lines + 1]
             owner, first, last = owned_runs(lines, min_lines, usable)
             if not len(owner):
                 continue
-            # hashes of runs of lines, from a prefix sum over the lines' hashes as over bytes
-            prefix = LineHash(lines)
             cover = prefix.of(first, last + min_lines)
             counts = last - first + 1
             each = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-            windows = prefix.of(each, each + min_lines).view(np.int64)
-            base = np.searchsorted(doc, np.arange(len(offsets)))[doc[owner]]  # a document's first line here
-            of = pa.array(doc[owner])
-            yield pa.record_batch([batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array(owner - base), pa.array(first - base), pa.array(last - base), pa.array(lines[owner].view(np.int64)), pa.array(cover.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(windows))], schema=schema)
+            yield rows(owner, first, last, lines[owner], cover, counts, prefix.of(each, each + min_lines).view(np.int64))
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, POSTS)
 
@@ -115,11 +154,11 @@ def delete_lines(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int, in
     return "\n".join(kept), n, len(gone)
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None, short_texts: bool = False) -> DataFrame:
     """`docs` with later copies of runs of lines deleted from `text`, and n_lines and n_removed (lines that aren't blank)."""
     docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumn("text_key", F.xxhash64(F.lit(6), F.coalesce("text", F.lit(""))))
-    posts = stored(post_lines(keyed, min_lines))
+    posts = stored(post_lines(keyed, min_lines, long_words, short_texts))
     ranges = later_lines(posts, min_lines).groupBy(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_text")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     met = keyed.join(ranges, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")), "left").drop("at_doc", "at_text", "text_key")
     names = docs.columns

@@ -60,6 +60,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_line_dedup, with later copies of single lines of 50 words or more, and of texts of one line."""
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), long_words=lines.LONG_WORDS, short_texts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cnn.classify_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), bucket_of_id(3) != 1)
     return scored.select("doc_id", (bucket_of_id(3) == 1).alias("held_out"), "score", "predicted")
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_minhash": op5_minhash,
     "op6_line_dedup": op6_line_dedup,
+    "op6_single_lines": op6_single_lines,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_neighbours": op9_neighbours,
@@ -123,4 +130,23 @@ ORACLE_SQL: dict[str, str] = {
                  from n left join gone on n.ink and n.place = gone.place and n.k = gone.k group by n.place)
         select x.doc_id, kept.n_lines, kept.n_removed, kept.kept_sha256
         from documents x join o on x.doc_id is not distinct from o.doc_id and coalesce(x.text, '') = o.text join kept using (place)""",
+    "op6_single_lines": r"""
+        with d as (select distinct doc_id, coalesce(text, '') as text from documents),
+        o as (select *, row_number() over (order by doc_id nulls last, text) as place from d),
+        s as (select doc_id, text, place, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from o),
+        m as (select *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '' as ink from s),
+        n as (select *, sum(case when ink then 1 else 0 end) over (partition by place order by i) as k from m),
+        w as (select place, k, line as a, lead(line) over (partition by place order by k) as b from n where ink),
+        f as (select place, k, row_number() over (partition by a, b order by place, k) as nth from w where b is not null),
+        l as (select place, k, row_number() over (partition by line order by place, k) as nth from n
+              where ink and len(regexp_extract_all(line, '[^ \t\n\v\f\r]+')) >= 50),
+        u as (select place, row_number() over (partition by line order by place) as nth
+              from (select place, any_value(line) as line from n where ink group by place having count(*) = 1)),
+        gone as (select distinct place, k from (select place, k from f where nth > 1 union all select place, k + 1 from f where nth > 1
+                 union all select place, k from l where nth > 1 union all select place, 1 from u where nth > 1)),
+        kept as (select n.place, count(*) filter (where n.ink) as n_lines, count(gone.k) as n_removed,
+                        sha256(coalesce(string_agg(n.line, chr(10) order by n.i) filter (where gone.k is null), '')) as kept_sha256
+                 from n left join gone on n.ink and n.place = gone.place and n.k = gone.k group by n.place)
+        select x.doc_id, kept.n_lines, kept.n_removed, kept.kept_sha256
+        from documents x join o on x.doc_id is not distinct from o.doc_id and coalesce(x.text, '') = o.text join kept using (place)""",
 }

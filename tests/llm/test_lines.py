@@ -57,3 +57,39 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_single_lines(spark):
+    """Long lines between unlike neighbours, and texts of one line: the SQL's own rule, in plain Python."""
+    rng = random.Random(6)
+    long = [" ".join(rng.choice(["é", "wood", "a\tb"]) + str(k) for k in range(n)) for n in (49, 50, 60, 70)]
+    rows = [(i, "\n".join(rng.choice([*long, "x", "y", "z" + str(i), " "]) for _ in range(rng.randint(1, 5)))) for i in range(80)]
+    rows += [(100, long[2]), (101, long[2] + "\n"), (102, "x"), (103, "x\n\n"), (104, None), (105, "u" + str(5)), (105, "u" + str(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, want = set(), []
+    for i, text in sorted({(i, t or "") for i, t in rows}):
+        lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
+        windows = [(k, k + 2, tuple(lines[k : k + 2])) for k in range(len(lines) - 1)]
+        windows += [(k, k + 1, x) for k, x in enumerate(lines) if len(x.split()) >= 50] + ([(0, 1, ("all", lines[0]))] if len(lines) == 1 else [])
+        gone = set()
+        for a, b, key in windows:
+            gone |= set(range(a, b)) if key in seen else set()
+            seen.add(key)
+        want += [(i, delete_lines(text, [(k, k + 1) for k in gone])[0])] * max(1, sum(r == (i, text) for r in rows))
+    got = dedup_lines(docs, long_words=50, short_texts=True).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted(want)
+    assert sum(r.n_removed for r in got) > sum(r.n_removed for r in dedup_lines(docs).collect())
+
+
+def test_single_lines_sql(spark, tmp_path):
+    import duckdb
+
+    from strandloom.llm.queries import ORACLE_SQL, QUERIES
+
+    rng = random.Random(8)
+    long = " ".join("w" + str(k) for k in range(55))
+    rows = [(i, "\n".join(rng.choice([long, "x", "y" + str(i)]) for _ in range(rng.randint(1, 4)))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    base = duckdb.connect()
+    base.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, QUERIES["op6_single_lines"](spark, str(tmp_path)).collect())) == sorted(base.execute(ORACLE_SQL["op6_single_lines"]).fetchall())
