@@ -2,8 +2,9 @@
 
 Centroids and codebooks are fitted on a bounded sample (`SAMPLE` rows in the order of a hash of vec_id); every row is indexed: its list is
 that of the nearest centroid, its code quantises what is left. A query visits its `probes` nearest lists (more, if those hold too few rows),
-ranks each list's codes by a table of distances from its own residual to all codewords, and reranks the best `rerank` of each bucket by
-the exact distance of the original vectors.
+ranks each list's codes by a table of distances from its own residual to all codewords, and takes the exact distance of the original vectors for
+the best `rerank` of each bucket. With every code lies the length of what it leaves out, so a row's exact distance is at least the table's less that
+length: every further row that this bound doesn't put behind the k-th exact distance is reranked too. Inside a bucket nothing is lost to the codes.
 
 Lists are dealt out in buckets of bounded size, and so are the queries that visit them, so neither a hot list nor many queries for one gather
 in a task; a bucket meets a block of queries by key. Only the lists' sizes (at most `MOST_LISTS` numbers) reach the driver.
@@ -66,10 +67,13 @@ class Index:
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
         return cls(centers, spans, [k_means(rest[:, a:b], CODEWORDS, 6, 2 + i) for i, (a, b) in enumerate(spans)])
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, code and length of the code's error of every row."""
         at = nearest(x, self.centers).argmin(1)
         rest = x - self.centers[at]
-        return at, np.stack([nearest(rest[:, a:b], book).argmin(1) for (a, b), book in zip(self.spans, self.books, strict=True)], 1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, a:b], book).argmin(1) for (a, b), book in zip(self.spans, self.books, strict=True)], 1).astype(np.uint8)
+        told = np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], 1)
+        return at, codes, np.sqrt(((rest - told) ** 2).sum(1))
 
     def table(self, query: np.ndarray, at: int) -> np.ndarray:
         """(subspaces, CODEWORDS) squared distances from the query's residual to the codewords."""
@@ -111,10 +115,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int | None
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, codes = index.encode(matrix(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "list", "code"])
+                at, codes, errors = index.encode(matrix(batch.column("v")))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.float64())], ["vec_id", "v", "list", "code", "error"])
 
-    indexed = stored(table.mapInArrow(encode, "vec_id long, v array<double>, list int, code binary"))
+    indexed = stored(table.mapInArrow(encode, "vec_id long, v array<double>, list int, code binary, error double"))
     rows = dict.fromkeys(range(lists), 0) | {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}
     in_list = np.array([rows[i] for i in range(lists)])
 
@@ -138,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int | None
         return F.explode(F.sequence(F.lit(0), F.col(size) - 1))
 
     left = visiting.join(plan, "list").select("query_id", "q", "list", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), every("buckets").alias("bucket"))
-    right = indexed.join(plan, "list").select("vec_id", "v", "code", "list", F.pmod(F.xxhash64("vec_id"), "buckets").cast("int").alias("bucket"), every("blocks").alias("block"))
+    right = indexed.join(plan, "list").select("vec_id", "v", "code", "error", "list", F.pmod(F.xxhash64("vec_id"), "buckets").cast("int").alias("bucket"), every("blocks").alias("block"))
 
     def meet(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -146,15 +150,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int | None
             there = there.sort_values("vec_id")
             ids, x = there["vec_id"].to_numpy(), np.stack(there["v"].to_numpy())
             codes = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(len(ids), -1).T.astype(np.intp)
-            at = int(there["list"].iloc[0])
+            errors, at, most = there["error"].to_numpy(), int(there["list"].iloc[0]), max(rerank, k)
+            size = np.sqrt((x * x).sum(1)).max()
             for query, q in zip(asking["query_id"].to_numpy(), asking["q"].to_numpy(), strict=True):
                 table = index.table(q, at)
                 far = sum(table[i][c] for i, c in enumerate(codes))
-                if len(far) > rerank:
-                    low = np.partition(far, rerank)[rerank]
-                    near = np.concatenate([np.flatnonzero(far < low), np.flatnonzero(far == low)])[: rerank + 1]  # +1: the query itself
-                else:
-                    near = np.arange(len(far))
+                near = np.arange(len(far))
+                if len(far) > most + 1:
+                    first = np.argpartition(far, most)[: most + 1]  # +1: the query itself
+                    kth = np.partition(((x[first[ids[first] != query]] - q) ** 2).sum(1), k - 1)[k - 1]
+                    # what rounding may add is far below the slack
+                    near = near[~(np.sqrt(far) - errors > np.sqrt(kth) + 1e-9 * (size + np.sqrt(q @ q)))]
                 near = near[ids[near] != query]
                 exact = np.sqrt(((x[near] - q) ** 2).sum(1))
                 best = np.lexsort((ids[near], exact))[:k]

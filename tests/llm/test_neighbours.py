@@ -50,3 +50,14 @@ def test_odd_rows(spark):
     got = run(spark, rows)
     assert got == {0: [(1, 5, 0.0), (2, 6, 1.0)], 5: [(1, 0, 0.0), (2, 6, 1.0)]}
     assert run(spark, []) == {} and run(spark, [(0, [1.0], "a")]) == {}
+
+
+def test_near_copies(spark):
+    """A group of many near copies, whose codes can't rank them."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 16)).astype(np.float32)
+    vectors[:1500] = vectors[0] + rng.normal(0, 1e-4, (1500, 16)).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = run(spark, [(*r, "x") for r in rows])
+    want = brute(rows, set(range(0, 1500, 50)), 10)
+    assert all([i for _, i, _ in got[q]] == [i for _, i in near] for q, near in want.items())
