@@ -184,3 +184,21 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
     return float(np.exp((a + b) / 2))
+
+
+def fit_temperature_of(rows: DataFrame, logit: str, label: str, rounds: int = 7, steps: int = 20) -> float:
+    """As fit_temperature, over all rows that have both columns, by aggregation: every scan sums the loss of a grid over ln T, which the next one
+    refines between the neighbours of the best. The loss is convex in 1 / T, so the least one lies there."""
+    z, y = F.col(logit), F.col(label)
+    # ln(1 + e^z) without overflow
+    total = lambda log_t: F.sum(F.greatest(z * float(np.exp(-log_t)), F.lit(0.0)) + F.log1p(F.exp(-F.abs(z * float(np.exp(-log_t))))) - y * z * float(np.exp(-log_t)))
+    used = rows.where(z.isNotNull() & ~F.isnan(z) & y.isNotNull()).select(z.cast("double").alias(logit), y.cast("double").alias(label))
+    a, b = -5.0, 5.0
+    for _ in range(rounds):
+        grid = np.linspace(a, b, steps + 1)
+        sums = used.agg(*(total(g).alias(f"s{i}") for i, g in enumerate(grid))).first()
+        if sums[0] is None:
+            return float("nan")
+        best = int(np.argmin(sums))
+        a, b = grid[max(best - 1, 0)], grid[min(best + 1, steps)]
+    return float(np.exp((a + b) / 2))

@@ -293,9 +293,11 @@ def ml_train(spark, sf):
 
 @query("agg_fit_temperature")
 def agg_fit_temperature(spark, sf):
-    """The temperature for a bounded sample of events as logits."""
-    rows = adapters.events(spark, sf).orderBy("event_id").limit(5000).select("value", F.col("event_type").isin("purchase", "click").cast("int").alias("y")).toPandas()
-    return spark.createDataFrame([(round(evaluate.fit_temperature(rows["value"].to_numpy() - rows["value"].mean(), rows["y"].to_numpy()), 3),)], "temperature double")
+    """The temperature for all events as logits: their values less the mean."""
+    rows = adapters.events(spark, sf).select("value", F.col("event_type").isin("purchase", "click").cast("int").alias("y")).where("value is not null and not isnan(value) and y is not null")
+    mean = rows.agg(F.avg("value")).first()[0]
+    logits = rows.select((F.col("value") - F.lit(mean)).alias("logit"), "y")
+    return spark.createDataFrame([(round(evaluate.fit_temperature_of(logits, "logit", "y"), 3),)], "temperature double")
 
 
 @query("svc_cli_train")

@@ -130,3 +130,15 @@ def test_entry_without_optional_parts():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_temperature_of_all_events(spark, tmp_path):
+    from strandloom.plans.queries import QUERIES
+
+    rng = np.random.default_rng(9)
+    value = rng.normal(size=9000)
+    purchase = rng.random(9000) < 1 / (1 + np.exp(-value * np.where(np.arange(9000) < 5000, 2.0, 0.4)))
+    spark.createDataFrame([(i, float(v), "purchase" if p else "view") for i, (v, p) in enumerate(zip(value, purchase, strict=True))], "event_id long, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["agg_fit_temperature"](spark, str(tmp_path)).first()[0]
+    assert abs(got - evaluate.fit_temperature(value - value.mean(), purchase)) < 1e-3
+    assert abs(got - evaluate.fit_temperature(value[:5000] - value[:5000].mean(), purchase[:5000])) > 0.05
