@@ -11,6 +11,7 @@ from ..functions.sequence import per_base
 from .intervals import nearest, state_runs
 
 WINDOW = 300
+GROUP = 64  # candidates of a grid search that are decoded together
 
 
 def confusion(paths: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -108,14 +109,14 @@ def start_grid() -> list[tuple[float, float]]:
 
 
 def grid_search(intervals: DataFrame, model, candidates: list[dict[str, float]], kind: str, penalty: float = 0.0, longest: int | None = None) -> DataFrame:
-    """(candidate, objective) of every candidate, the best first; ties go to the earlier one. `intervals` (seq, donor, acceptor, start, gold) meet all
-    candidates inside one Arrow pass, which returns a row of counts for each candidate and batch."""
+    """(candidate, objective) of every candidate, the best first; ties go to the earlier one. `intervals` (seq, donor, acceptor, start, gold) meet the
+    candidates in groups of `GROUP`, which are dealt over all cores and decoded in lockstep; a row of counts returns for each candidate and interval."""
     from collections.abc import Iterator
     from dataclasses import replace
 
     import pyarrow as pa
 
-    from .decode import UNLIMITED, viterbi
+    from .decode import BATCH_BASES, UNLIMITED, viterbi
     from .emission import matrix
 
     sets = {"intron": t.INTRONIC, "donor": tuple(t.DONOR), "acceptor": tuple(t.ACCEPTOR), "start": t.START_CODON[:1]}
@@ -123,23 +124,30 @@ def grid_search(intervals: DataFrame, model, candidates: list[dict[str, float]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for r in batch.to_pylist() if r["seq"]]
-            if not rows:
-                continue
-            gold = np.concatenate([np.frombuffer(r["gold"].encode(), np.uint8).astype(int) - 65 for r in rows])
             out = []
-            for i, c in enumerate(candidates):
-                own = replace(model, **c)
-                paths = viterbi(own, [matrix(own, r["seq"], *({x["pos"]: x["score"] for x in r[k] or ()} for k in ("donor", "acceptor", "start"))) for r in rows], penalty, longest=longest or UNLIMITED)
-                pred = np.concatenate(paths).astype(int)
-                counts = []
-                for name, codes in sets.items():
-                    p, g = np.isin(pred, codes), np.isin(gold, codes)
-                    counts += [int((p & g & ((pred == gold) | (name == "intron"))).sum()), int(p.sum()), int(g.sum())]
-                out.append((i, *counts))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["candidate", *names])
-
-    cells = intervals.mapInArrow(run, "candidate long, " + ", ".join(f"{n} long" for n in names)).groupBy("candidate").agg(*(F.sum(n).alias(n) for n in names))
+            for r in batch.to_pylist():
+                if not r["seq"]:
+                    continue
+                gold = np.frombuffer(r["gold"].encode(), np.uint8).astype(int) - 65
+                loaded = [{x["pos"]: x["score"] for x in r[k] or ()} for k in ("donor", "acceptor", "start")]
+                own, many = range(r["group"] * GROUP, min(len(candidates), (r["group"] + 1) * GROUP)), max(1, BATCH_BASES // len(gold))
+                for at in range(own.start, own.stop, many):
+                    some = range(at, min(own.stop, at + many))
+                    # only emissions depend on the calibration
+                    paths = viterbi(model, [matrix(replace(model, **candidates[i]), r["seq"], *loaded) for i in some], penalty, longest=longest or UNLIMITED)
+                    for i, path in zip(some, paths, strict=True):
+                        pred, counts = path.astype(int), []
+                        for name, codes in sets.items():
+                            p, g = np.isin(pred, codes), np.isin(gold, codes)
+                            counts += [int((p & g & ((pred == gold) | (name == "intron"))).sum()), int(p.sum()), int(g.sum())]
+                        out.append((i, *counts))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["candidate", *names])
+
+    session = intervals.sparkSession
+    parts = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    dealt = intervals.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit((len(candidates) - 1) // GROUP)))).repartition(parts)
+    cells = dealt.mapInArrow(run, "candidate long, " + ", ".join(f"{n} long" for n in names)).groupBy("candidate").agg(*(F.sum(n).alias(n) for n in names))
     f1 = lambda k: ratio(2 * F.col(f"{k}_hit"), F.col(f"{k}_pred") + F.col(f"{k}_gold"))
     value = f1("start") if kind == "start" else objective(f1("intron"), f1("donor"), f1("acceptor"))
     return cells.select("candidate", value.alias("objective")).orderBy(F.desc("objective"), "candidate")

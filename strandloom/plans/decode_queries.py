@@ -146,12 +146,24 @@ def svc_cli_validate(spark, sf):
     return m.select("species", "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(n) for n, c in evaluate.rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).items()))
 
 
+def tuning_intervals(spark, sf) -> DataFrame:
+    """64 evenly spread ones of all usable intervals, of any length; only their keys are ranked."""
+    iv = training(spark, sf).select("scaffold", F.col("start").alias("at"), "seq", F.col("states").alias("gold"))
+    chosen = evaluate.even_sample(iv.select("scaffold", "at"), 64, ["scaffold", "at"])
+    return with_scores(iv.join(F.broadcast(chosen), ["scaffold", "at"], "left_semi"), "seq").select("seq", "donor", "acceptor", "start", "gold")  # chosen: 64 rows
+
+
+@query("agg_grid_search_splice")
+def agg_grid_search_splice(spark, sf):
+    """Splice calibration on 64 evenly spread intervals: 487 candidates."""
+    names = ("donor_scale", "donor_bias", "acceptor_scale", "acceptor_bias")
+    return evaluate.grid_search(tuning_intervals(spark, sf), fitted(spark, sf), [dict(zip(names, c, strict=True)) for c in evaluate.splice_grid()], "splice", PENALTY)
+
+
 @query("agg_grid_search")
 def agg_grid_search(spark, sf):
     """Start calibration on 64 evenly spread intervals: 32 candidates."""
-    iv = evaluate.even_sample(training(spark, sf).where(F.length("seq") <= 2000).select("scaffold", F.col("start").alias("at"), "seq", F.col("states").alias("gold")), 64, ["scaffold", "at"])
-    rows = with_scores(iv, "seq").select("seq", "donor", "acceptor", "start", "gold")
-    return evaluate.grid_search(rows, fitted(spark, sf), [{"start_scale": a, "start_bias": b} for a, b in evaluate.start_grid()], "start", PENALTY)
+    return evaluate.grid_search(tuning_intervals(spark, sf), fitted(spark, sf), [{"start_scale": a, "start_bias": b} for a, b in evaluate.start_grid()], "start", PENALTY)
 
 
 # genes

@@ -110,3 +110,31 @@ def test_decode_rows(spark):
     rows = spark.createDataFrame([(1, "CATG"), (2, ""), (3, "CC"), (4, None)], "k int, seq string").selectExpr("k", "seq", "cast(array() as array<struct<pos:int,score:double>>) donor", "cast(array() as array<struct<pos:int,score:double>>) acceptor", "cast(array() as array<struct<pos:int,score:double>>) start")
     got = {r.k: r for r in decode(rows, m).collect()}
     assert got[1].path == t.letters([IG, SC1, SC2, SC3]) and got[2].path == "" and got[3].path == "BB" and got[4].path == "" and len(got[1].confidence) == 4
+
+
+def test_grid_search_takes_long_intervals(spark, monkeypatch):
+    from strandloom.operators import evaluate
+    from strandloom.plans import decode_queries as q
+
+    rng = random.Random(4)
+    rows = [(k, 0, "".join(rng.choice("ACGT") for _ in range(n))) for k, n in enumerate((2500, 30, 2100))]
+    gold = ["".join(rng.choice([t.letter(1), t.letter(2), t.letter(8), t.letter(11)]) for _ in s) for *_, s in rows]
+    data = spark.createDataFrame([(*r, g) for r, g in zip(rows, gold, strict=True)], "scaffold long, start long, seq string, states string")
+    own = Model(trans=np.where(np.isin(np.arange(441).reshape(21, 21), [a * 21 + b for a, b in t.EDGES]), -1.0, t.NEG_INF))
+    monkeypatch.setattr(q, "training", lambda *_: data)
+    monkeypatch.setattr(q, "fitted", lambda *_: own)
+    assert sorted(len(r.seq) for r in q.tuning_intervals(spark, "").collect()) == [30, 2100, 2500]
+    monkeypatch.setattr(evaluate, "GROUP", 2)
+    monkeypatch.setattr(evaluate, "splice_grid", lambda: [(1.0, 0.0, 1.0, 0.0), (0.5, -2.0, 0.5, 3.0), (1.5, 4.0, 1.5, 4.0)])
+    got = {r.candidate: r.objective for r in q.agg_grid_search_splice(spark, "").collect()}
+    packed = q.tuning_intervals(spark, "").collect()
+    for i, (ds, db, s, b) in enumerate(evaluate.splice_grid()):
+        m = Model(trans=own.trans, donor_scale=ds, donor_bias=db, acceptor_scale=s, acceptor_bias=b)
+        pred = np.concatenate([viterbi(m, [matrix(m, r.seq, *({x.pos: x.score for x in r[k]} for k in ("donor", "acceptor", "start")))], q.PENALTY)[0] for r in packed]).astype(int)
+        true = np.concatenate([np.frombuffer(r.gold.encode(), np.uint8).astype(int) - 65 for r in packed])
+        f1 = []
+        for codes, exact in ((t.INTRONIC, False), (t.DONOR, True), (t.ACCEPTOR, True)):
+            p, g = np.isin(pred, list(codes)), np.isin(true, list(codes))
+            f1.append(2 * (p & g & ((pred == true) | (not exact))).sum() / max(1, p.sum() + g.sum()))
+        assert math.isclose(got[i], sum(f1) / 3, abs_tol=1e-12)
+    assert len(got) == 3
