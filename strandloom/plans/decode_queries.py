@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import topology as t
 from ..functions import sequence as sq
-from ..operators import cnn, decode, emission, evaluate, genes, labels, model
+from ..operators import cnn, dataset, decode, emission, evaluate, genes, labels, model
 from ..sources import adapters
 from ..sources.adapters import features, scaffolds
 from ..sinks import files as sinks
@@ -290,8 +290,17 @@ def snk_gff_split(spark, sf):
 
 @query("ml_score")
 def ml_score(spark, sf):
-    """Also ml_start_cnn and ml_splice_cnn: the dilated network (random weights of 8 channels) over all start windows."""
-    return cnn.score_windows(start_examples(spark, sf), {"start": cnn.Backbone.random(8)}).select("scaffold", "pos", "label", F.round("start", 4).alias("logit"))
+    """Also ml_start_cnn: the dilated network (random weights) over the start examples."""
+    return cnn.score_windows(start_examples(spark, sf), {"start": cnn.Backbone.random()}).select("scaffold", "pos", "label", F.round("start", 4).alias("logit"))
+
+
+@query("ml_score_splice")
+def ml_score_splice(spark, sf):
+    """Also ml_splice_cnn: the donor and the acceptor network (random weights) over the windows of all splice candidates."""
+    s = scaffolds(spark, sf)
+    windows = dataset.splice_candidates(s).join(s.select("scaffold", "sequence"), "scaffold").select("scaffold", "pos", sq.window_at(F.col("sequence"), F.col("pos"), cnn.RADIUS).alias("window"))
+    nets = {"donor": cnn.Backbone.random(seed=14), "acceptor": cnn.Backbone.random(seed=15)}
+    return cnn.score_windows(windows, nets).select("scaffold", "pos", F.round("donor", 4).alias("donor"), F.round("acceptor", 4).alias("acceptor"))
 
 
 @query("ml_train")
