@@ -5,12 +5,18 @@ from __future__ import annotations
 import numpy as np
 
 
+# values that are searched at once: the index of one must fit into the 24 bits that its comparison leaves
+SEGMENT = 1 << 24
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """For each window of `width` values, the index of its smallest one; of equal ones the first. 40 bits of a value are compared."""
     n = len(values)
     if n < width:
         return np.zeros(0, np.int64)
-    assert n < 1 << 24
+    if n > SEGMENT:  # parts that overlap by all but one value of a window, with a window at least
+        step = max(1, SEGMENT - width + 1)
+        return np.concatenate([at + window_minima(values[at : at + step + width - 1], width) for at in range(0, n - width + 1, step)])
     low = np.uint64((1 << 24) - 1)
     keys = (values & ~low) | np.arange(n, dtype=np.uint64)
     if width == 1:

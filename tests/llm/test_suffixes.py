@@ -95,3 +95,16 @@ def test_texts_stay_texts(spark):
 
 def test_empty(spark):
     assert measure_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_minima_of_long_texts(monkeypatch):
+    from strandloom.llm import winnow
+
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 5, 300).astype(np.uint64) << np.uint64(40)
+    whole = {w: winnow.window_minima(v, w).tolist() for w in (1, 2, 7, 31)}
+    for segment in (32, 40, 299, 300):
+        monkeypatch.setattr(winnow, "SEGMENT", segment)
+        assert all(winnow.window_minima(v, w).tolist() == x for w, x in whole.items())
+    monkeypatch.undo()
+    assert len(winnow.window_minima(np.arange((1 << 24) + 5, dtype=np.uint64) << np.uint64(24), 190)) == (1 << 24) + 5 - 189
