@@ -150,7 +150,8 @@ class PieceEncoder:
                 self.memo[chunk] = want
 
     def encode(self, batch: list[str]) -> list[tuple[bytes, bool]]:
-        """Little-endian uint32 ids and parity of every text."""
+        """Little-endian uint32 ids and parity of every text: whether both libraries agree on all its chunks, and the other one, given the
+        whole text as it is, finds the same ids."""
         parts = [self.chunks(self.marked(t)) for t in batch]
         every = set().union(*parts)
         new = every.difference(self.memo)
@@ -159,7 +160,8 @@ class PieceEncoder:
         if new:
             self._learn(list(new))
         find = self.memo.__getitem__
-        return [(b"".join(map(find, p)), not self.unlike or self.unlike.isdisjoint(p)) for p in parts]
+        found = [b"".join(map(find, p)) for p in parts]
+        return [(ids, self.unlike.isdisjoint(p) and np.array(self.reference.encode(t), "<u4").tobytes() == ids) for t, ids, p in zip(batch, found, parts, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         n = len(self.raw)

@@ -34,3 +34,12 @@ def test_tables(spark):
     for i, t in enumerate(TEXTS):
         assert got[i].text == t and got[i].decoded == (t or "").replace("▁", " ") and got[i].parity and got[i].n_ids * 4 == len(got[i].ids)
     assert encode_pieces(docs.limit(0), PATH).collect() == []
+
+
+def test_parity_is_of_whole_texts(monkeypatch):
+    encoder = PieceEncoder(str(public_tokenizers.path("piece_bpe_32k.model")))
+    texts = ["two  blanks", "plain", "", " lead\nline "]
+    assert [p for _, p in encoder.encode(texts)] == [True] * 4
+    squeezed = PieceEncoder.marked
+    monkeypatch.setattr(PieceEncoder, "marked", lambda self, text: squeezed(self, text.replace("  ", " ")))
+    assert [p for _, p in encoder.encode(texts)] == [False, True, True, True]
