@@ -109,8 +109,8 @@ def dec_intron_length(spark, sf):
     """Also dec_duration: with a cap and a length distribution of introns."""
     lengths = model.intron_lengths(training(spark, sf))
     cap = model.length_percentile(lengths, 0.95).first()[0]
-    cap = min(cap, 5000)
-    pmf = [r["log_p"] for r in model.length_pmf(lengths, cap).orderBy("length").collect()]  # cap + 1 numbers
+    # without any intron the percentile is the largest number, and there is no length distribution; else cap + 1 numbers
+    pmf = None if lengths.isEmpty() else [r["log_p"] for r in model.length_pmf(lengths, cap).orderBy("length").collect()]
     return decoded(spark, sf, with_confidence=False, longest=cap, pmf=pmf).select("scaffold", F.md5("path").alias("digest"))
 
 

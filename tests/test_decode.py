@@ -138,3 +138,19 @@ def test_grid_search_takes_long_intervals(spark, monkeypatch):
             f1.append(2 * (p & g & ((pred == true) | (not exact))).sum() / max(1, p.sum() + g.sum()))
         assert math.isclose(got[i], sum(f1) / 3, abs_tol=1e-12)
     assert len(got) == 3
+
+
+def test_intron_cap_is_the_percentile(spark, monkeypatch):
+    from strandloom.plans import decode_queries as q
+
+    lengths = spark.createDataFrame([(6000,)] * 3, "length long")
+    monkeypatch.setattr(q, "training", lambda *_: None)
+    monkeypatch.setattr(q.model, "intron_lengths", lambda *_: lengths)
+    seen = {}
+    monkeypatch.setattr(q, "decoded", lambda *_, **kw: seen.update(kw) or spark.createDataFrame([(1, "B")], "scaffold long, path string"))
+    q.dec_intron_length(spark, "")
+    assert seen["longest"] == 6000 and len(seen["pmf"]) == 6001
+    lengths = lengths.where("length < 0")
+    monkeypatch.setattr(q.model, "intron_lengths", lambda *_: lengths)
+    q.dec_intron_length(spark, "")
+    assert seen["longest"] == 2**63 - 1 and seen["pmf"] is None
