@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,17 @@ def widened(schema: StructType, **more: str) -> StructType:
     return out
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where `docs` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -87,33 +99,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-BACK = pow(STEP, -1, 1 << 64)
-VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP))
-_powers: dict[int, np.ndarray] = {}
+STEP = 0x9E3779B97F4A7C15
+# Range hashes are polynomials modulo a prime: modulo a power of two, long texts of two symbols exist that collide for every base.
+PRIME = np.uint64((1 << 61) - 1)
+BASE = 0x1D2C6F3A5B9E8471 % int(PRIME)
+BACK = pow(BASE, -1, int(PRIME))
+VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP)) >> np.uint64(35)  # 29 bits
+PART = 1 << 20  # powers that are kept; those beyond are products
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Below 2**61 + 7 and equal modulo PRIME."""
+    return (x & PRIME) + (x >> np.uint64(61))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """The remainder modulo PRIME."""
+    x = folded(x)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def scaled(x: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """x * small modulo PRIME, for x below 2**61 and small below 2**29; not fully reduced."""
+    high = (x >> np.uint64(32)) * small
+    return folded((x & np.uint64(0xFFFFFFFF)) * small + (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo PRIME, both below 2**61."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    a, b, c, d = x >> half, x & low, y >> half, y & low
+    middle = a * d + b * c
+    return reduced(folded(b * d) + ((a * c) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half))
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+    """base**0 .. base**(n-1) modulo PRIME."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = times(out[:more], np.full(1, pow(base, done, int(PRIME)), np.uint64))
+        done += more
+    return out
+
+
+@functools.cache
+def kept_powers(base: int) -> np.ndarray:
+    return powers(base, PART)
 
 
 class RangeHash:
-    """Hashes of any byte ranges of a buffer from one prefix sum; equal bytes have equal hashes."""
+    """Hashes of any ranges of a sequence from one prefix sum; equal ranges have equal hashes."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray = VALUE):
-        n = len(data)
+        """Of bytes, each standing for one of 256 values of up to 29 bits."""
+        self._add(len(data), lambda a, b, power: scaled(power, values[data[a:b]]))
+
+    def _add(self, n: int, terms: Callable[[int, int, np.ndarray], np.ndarray]) -> None:
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * powers(STEP, n), out=self.sums[1:])
-        self.back = powers(BACK, n + 1)
+        low = np.uint64((1 << 31) - 1)
+        for a in range(0, n, PART):
+            b = min(n, a + PART)
+            power = kept_powers(BASE)[: b - a]
+            if a:
+                power = times(power, np.full(1, pow(BASE, a, int(PRIME)), np.uint64))
+            term = terms(a, b, power)
+            # sums of both halves stay below 2**61
+            high = np.cumsum(term >> np.uint64(31))
+            self.sums[a + 1 : b + 1] = reduced(np.cumsum(term & low) + (high >> np.uint64(30)) + ((high & np.uint64((1 << 30) - 1)) << np.uint64(31)) + self.sums[a])
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of [start:end], below 2**61; ranges of different lengths may agree."""
+        out = times(reduced(self.sums[end] + (PRIME - self.sums[start])), kept_powers(BACK)[start & (PART - 1)])
+        if len(self.sums) > PART:
+            out = times(out, powers(pow(BACK, PART, int(PRIME)), len(self.sums) // PART + 1)[start >> 20])
+        return out
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Of data[start:end], mixed with the length."""
-        raw = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(raw + (end - start).astype(np.uint64) * M2)
+        """Of [start:end], mixed with the length, in 64 bits."""
+        return mix(self.raw(start, end) + (end - start).astype(np.uint64) * M2)

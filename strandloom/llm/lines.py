@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import BACK, STEP, RangeHash, mix, powers, slices, texts, utf8, widened
+from .columnar import RangeHash, mix, reduced, slices, texts, times, utf8, widened
 from .shared import stored
 from .winnow import owned_runs
 
@@ -120,10 +120,8 @@ class LineHash(RangeHash):
     """Hashes of ranges of a sequence of 64-bit hashes."""
 
     def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(values) * powers(STEP, n), out=self.sums[1:])
-        self.back = powers(BACK, n + 1)
+        values = mix(values) >> np.uint64(3)
+        self._add(len(values), lambda a, b, power: times(power, reduced(values[a:b])))
 
 
 def later_lines(posts: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

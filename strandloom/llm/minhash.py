@@ -5,13 +5,17 @@ posts its signature under every (coordinate, value). Two classes are candidates
 seven deviations below what the similarity threshold leads to expect, so a link is missed with a chance of about 1e-12.
 
 *Prefix and skip.* Of two classes with `match` collisions, at least one collision is among the coordinates - match + 1 rarest postings of both, so only
-those are merged; a posting that nobody shares counts as the rarest, and a class with fewer than `match` shared postings is skipped.
+those are merged; a posting that nobody shares counts as the rarest, and a class with fewer than `match` shared postings is skipped. The
+long lists are not merged but looked up: the collisions of two classes that met are counted over all coordinates.
 
-*Hubs instead of pairs.* In each list every class is compared with the list's hub, the class whose postings are the most common ones. Candidates
-are confirmed on the full sets. After that, only lists that still hold several components matter. For their classes the shingles that
-no other of these classes has are counted: a link needs enough shingles that somebody shares, which rules out the distant
-members of a large group without pairing them. Classes that remain are paired across components, and confirmed too.
-So pairs are made only where neither bound nor hub decides, and no list, group or candidate is cut short.
+*What nobody shares.* A class that is linked at all has at most one shingle in some that no other class in the lists has. That drops documents
+which only hold a passage in common, before any two of them are compared.
+
+*Hubs and differences instead of pairs.* In each list every class is compared with the list's hub, the class whose postings are the most common ones.
+Candidates are confirmed on the full sets. Lists that then hold several components go on: their classes are reduced to the shingles in which they
+differ from the hub, and what two of them share follows from the sizes and from the differences that they share. Of two classes, one of
+them not linked with the hub, about half of the other's differences must be shared, so classes meet under their rarest
+differences only (`linked_by_differences`). No list, group or candidate is cut short.
 
 Components come from repeated minimum labels with pointer jumping, all in tables.
 
@@ -30,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import RangeHash, mix, slices, utf8
+from .columnar import RangeHash, fresh, mix, slices, utf8
 from .shared import stored
 
 COORDINATES = 48
 WORDS, THRESHOLD = 5, 0.8  # where a contract says nothing else
-HUB_ROWS = 2000  # members that meet one copy of a hub's text
+HUB_ROWS = 256  # members that meet one copy of a hub's text
+SMALL_LIST = 64  # classes that are compared without a hub of their own
+DEPTH = 3  # times that a list is dealt by differences before its classes are compared whatever its length
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -139,25 +145,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def compatible(threshold: float):
-    return (F.least("a_n", "b_n") >= F.ceil(threshold * F.greatest("a_n", "b_n") - 1e-9))
+def similar(both, a_n, b_n, threshold: tuple[int, int]):
+    """threshold[1] * intersection >= threshold[0] * union."""
+    up, down = threshold
+    return down * both >= up * (a_n + b_n - both)
+
+
+def compatible(threshold: tuple[int, int]) -> F.Column:
+    return similar(F.least("a_n", "b_n"), F.col("a_n"), F.col("b_n"), threshold)
+
 
+COMPARED = "a binary, a_n long, b binary, b_n long, linked boolean, diff array<long>"
 
-def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: threshold[1] * intersection >= threshold[0] * union. Texts of a meet a stream of texts of b;
-    an a with many b is dealt out with some thousand of them each."""
+
+def compared(pairs: DataFrame, bodies: DataFrame, words: int, threshold: tuple[int, int], differences: bool) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets: those that are linked, or all of them with the shingles that only one of them has. Texts of
+    a meet a stream of texts of b; an a with many b is dealt out with some hundred of them each."""
     pairs = pairs.select("a", "b").distinct()
     counts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / HUB_ROWS).cast("int").alias("parts"))
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
     heads = counts.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
     rows = heads.unionByName(dealt.select(F.col("b").alias("class"), "a", "part", F.lit(True).alias("member"))).join(bodies.select("class", "text"), "class")
-    up, down = threshold
+    schema = pa.schema([("a", pa.binary()), ("a_n", pa.int64()), ("b", pa.binary()), ("b_n", pa.int64()), ("linked", pa.bool_()), ("diff", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None
         for batch in small_slices(batches):
             hashes, at = shingle_hashes(*utf8(batch.column("text")), words)
-            a, b = [], []
+            out = []
             for i, (name, own, part, member) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("class", "a", "part", "member")), strict=True)):
                 mine = hashes[at[i] : at[i + 1]]
                 if not member:
@@ -165,12 +180,12 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, threshold: tuple[
                     continue
                 assert key == (own, part)
                 both = len(np.intersect1d(head, mine, assume_unique=True))
-                if down * both >= up * (len(head) + len(mine) - both):
-                    a.append(own)
-                    b.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                linked = similar(both, len(head), len(mine), threshold)
+                if linked or differences:
+                    out.append((own, len(head), name, len(mine), linked, np.setxor1d(head, mine, assume_unique=True).view(np.int64) if differences else None))
+            yield pa.record_batch([pa.array([x[j] for x in out], kind) for j, kind in enumerate(schema.types)], schema=schema)
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "member").select("class", "a", "part", "member", "text").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "member").select("class", "a", "part", "member", "text").mapInArrow(run, COMPARED)
 
 
 def shared_counts(bodies: DataFrame, words: int) -> DataFrame:
@@ -187,52 +202,136 @@ def shared_counts(bodies: DataFrame, words: int) -> DataFrame:
     return bodies.select("class", "n").join(alone, "class", "left").select("class", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
+def prefix_posts(sets: DataFrame, match: int) -> DataFrame:
+    """(class, n, posts, weight): the rarest postings of every class (class, n, signature) that shares `match` or more, each (times, k, value)."""
+    tokens = sets.select("class", "n", F.posexplode("signature").alias("k", "value"))
+    common = tokens.groupBy("k", "value").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    posts = tokens.join(common, ["k", "value"]).groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "k", "value"))).alias("posts"), F.sum("times").alias("weight"))
+    # postings that nobody shares are the rarest, so they take up the prefix first
+    return posts.where(F.size("posts") >= match).select("class", "n", "weight", F.slice("posts", 1, F.size("posts") - F.lit(match - 1)).alias("posts"))
+
+
+def with_hubs(lists: DataFrame, key: list[str], rank: F.Column) -> DataFrame:
+    """`lists` (key, class, n, ..) of more than one class, with the `hub` (class, n, ..) that `rank`, a struct, puts first."""
+    hubs = lists.groupBy(*key).agg(F.max(rank).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return lists.join(hubs, key)
+
+
+def still_open(lists: DataFrame, key: list[str]) -> DataFrame:
+    """The lists whose classes are in several components."""
+    return lists.join(lists.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*key), key)
+
+
+def placed(classes: DataFrame, label: DataFrame) -> DataFrame:
+    """`classes` with their `component`, so far their own `class` if they have no link."""
+    return classes.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def sized(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """`members` (key, hub, hub_n, class, n, diff) with the numbers of shingles that a member `lacks` of the hub's, their `weight` with those that it
+    has besides, and by how much that is `over` what a link with the hub allows."""
+    up, down = threshold
+    lacks = ((F.size("diff") + F.col("hub_n") - F.col("n")) / 2).cast("long")
+    out = members.withColumn("lacks", lacks).withColumn("weight", down * F.col("lacks") + up * (F.size("diff") - F.col("lacks")))
+    return out.withColumn("over", F.col("weight") - (down - up) * F.col("hub_n"))
+
+
+def difference_lists(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(key, shingle, class, n, weight, loose, short, component): `members`, sized and placed, posted under those of their differences that a link of two
+    of them, at least one of which is not linked with the hub, can't do without; only `short` posts count where neither is."""
+    whole = sum(threshold)
+    posted = members.select("key", "class", F.explode("diff").alias("shingle"))
+    common = posted.groupBy("key", "shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = posted.join(common, ["key", "shingle"]).groupBy("key", "class").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
+    both = members.join(shared, ["key", "class"]).withColumn("loose", F.col("over") > 0)
+    # the rarest come first, so of two sets with m in common, one is among all but the last m - 1 of each
+    alone = F.size("diff") - F.size("shared")
+    short = F.size("diff") - F.floor(F.col("weight") / whole) - alone
+    long = F.size("diff") + 1 - F.greatest(F.lit(1), F.ceil(F.col("over") / whole)) - alone
+    both = both.withColumn("short", short.cast("int")).withColumn("many", F.when(F.col("loose"), F.greatest(long, short)).otherwise(short).cast("int"))
+    each = both.where("many > 0").select("key", "class", "n", "weight", "loose", "short", "component", F.posexplode(F.slice("shared", 1, F.col("many"))).alias("i", "at"))
+    return each.select("key", F.col("at.shingle").alias("shingle"), "class", "n", "weight", "loose", (F.col("i") < F.col("short")).alias("short"), "component")
+
+
+def met_by_differences(lists: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): the links of classes in different components that meet in `lists`."""
+
+    def side(name: str) -> DataFrame:
+        return lists.select("key", "shingle", F.col("class").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "loose", "short", "component")))
+
+    def difference(name: str) -> DataFrame:
+        return members.select("key", F.col("class").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "lacks", "diff")))
+
+    counts = (F.col("a_loose") | F.col("b_loose")) & (~F.col("a_loose") | ~F.col("b_loose") | (F.col("a_short") & F.col("b_short")))
+    apart = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
+    met = side("a").join(side("b"), ["key", "shingle"]).where(apart & counts & compatible(threshold)).select("key", "a", "b").distinct()
+    hubs = members.groupBy("key").agg(F.first("hub_n").alias("hub_n"))
+    pairs = met.join(hubs, "key").join(difference("a"), ["key", "a"]).join(difference("b"), ["key", "b"])
+    both = F.col("hub_n") - F.col("a_lacks") - F.col("b_lacks") + F.size(F.array_intersect("a_diff", "b_diff"))
+    return pairs.where(similar(both, F.col("a_n"), F.col("b_n"), threshold)).select("a", "b")
+
+
+def linked_by_differences(members: DataFrame, links: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """`links` (a, b) and those that join further components within the lists of `members` (key, hub, hub_n, class, n, diff).
+
+    Let a class lack d of the hub's shingles and have e besides; its weight is d + threshold * e, and it is linked with the hub where that is at most `allowed`,
+    (1 - threshold) times the hub's size. Two classes with m differences in common share hub_n - d - d' + m shingles, so a link needs
+    (1 + threshold) * m >= weight + weight' - allowed. Where one isn't linked with the hub, the other's weight alone must be exceeded. Long lists of
+    classes that share a difference are dealt again, by their members' differences from a hub of their own."""
+    depth = 0
+    while True:
+        depth += 1
+        members = stored(sized(members, threshold))
+        links = stored(links.unionByName(members.where("over <= 0").select(F.col("hub").alias("a"), F.col("class").alias("b"))))
+        heads = members.select("key", F.col("hub").alias("class")).distinct()
+        label = components(links)
+        open_keys = still_open(placed(members.select("key", "class").unionByName(heads), label), ["key"]).select("key").distinct()
+        lists = stored(difference_lists(placed(members.join(open_keys, "key"), label), threshold))
+        key = ["key", "shingle"]
+        wanted = lists.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("loose").alias("loose"), F.count(F.lit(1)).alias("size")).where("low < high and loose")
+        lists = stored(lists.join(wanted.select(*key, "size"), key))
+        many = F.lit(depth < DEPTH) & (F.col("size") > SMALL_LIST)
+        links = stored(links.unionByName(met_by_differences(lists.where(~many), members, threshold)))
+        long = lists.where(many).select("key", "shingle", "class", "weight")
+        if not long.limit(1).count():
+            return links
+        long = with_hubs(long, key, F.struct(-F.col("weight"), "class")).select("key", "class", F.concat("key", F.unhex(F.lpad(F.hex("shingle"), 16, "0"))).alias("inner"), F.col("hub.class").alias("hub"))
+        deeper = stored(long.join(members.select("key", "class", "n", "diff"), ["key", "class"]).select(F.col("inner").alias("key"), "hub", "class", "n", "diff"))
+        heads = deeper.where("class = hub").select("key", F.col("n").alias("hub_n"), F.col("diff").alias("of_hub"))
+        apart = F.array_union(F.array_except("diff", "of_hub"), F.array_except("of_hub", "diff"))
+        members = deeper.where("class != hub").join(heads, "key").select("key", "hub", "hub_n", "class", "n", apart.alias("diff"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, coordinates: int = COORDINATES) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) of every row of `docs` (doc_id, text); text_key is a hash of the text."""
     per_cent = (round(threshold * 100), 100)
     match = match_threshold(threshold, coordinates)
-    prefix = coordinates - match + 1
     keyed = docs.select("doc_id", text_hash().alias("text_key"), "text")
     signed = stored(signatures(keyed, words, coordinates))
     sets = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     sets = stored(sets)
-    tokens = sets.select("class", "n", F.posexplode("signature").alias("k", "value"))
-    common = tokens.groupBy("k", "value").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    lists = tokens.join(common, ["k", "value"]).groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "k", "value"))).alias("posts"), F.sum("times").alias("weight"))
-    lists = lists.where(F.size("posts") >= match).select("class", "n", "weight", F.explode(F.slice("posts", 1, F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("posts")))).alias("p")).select("class", "n", "weight", "p.k", "p.value")
-    lists = stored(lists)
-    hubs = lists.groupBy("k", "value").agg(F.max(F.struct("weight", "class", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    first = lists.join(hubs, ["k", "value"]).where(F.col("class") != F.col("hub.class")).select(F.col("hub.class").alias("a"), F.col("hub.n").alias("a_n"), F.col("class").alias("b"), F.col("n").alias("b_n")).where(compatible(threshold)).select("a", "b").distinct()
+    wanted = sets.join(prefix_posts(sets, match).select("class"), "class").select("class", "n", "text_key")
+    bodies = stored(keyed.join(wanted, "text_key").select("class", "n", "text").dropDuplicates(["class"]))
+    able = shared_counts(bodies, words).where(per_cent[1] * F.col("common") >= per_cent[0] * F.col("n")).select("class")
+    able = stored(sets.join(able, "class", "left_semi").select("class", "n", "signature"))
+    key = ["k", "value"]
+    lists = prefix_posts(able, match).select("class", "n", "weight", F.explode("posts").alias("p")).select("class", "n", "weight", "p.k", "p.value")
+    lists = stored(with_hubs(lists, key, F.struct("weight", "class", "n")).select(*key, "class", "n", "hub"))
+
+    def with_hub(lists: DataFrame) -> DataFrame:
+        return lists.where(F.col("class") != F.col("hub.class")).select(F.col("hub.class").alias("a"), F.col("hub.n").alias("a_n"), F.col("class").alias("b"), F.col("n").alias("b_n")).where(compatible(per_cent)).distinct()
 
     def collide(pairs: DataFrame) -> DataFrame:
-        sig = sets.select(F.col("class").alias("c"), F.col("signature"))
-        met = pairs.join(sig.select(F.col("c").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("c").alias("b"), F.col("signature").alias("y")), "b")
+        """Those of which `match` or more coordinates collide."""
+        met = pairs.join(able.select(F.col("class").alias("a"), F.col("signature").alias("x")), "a").join(able.select(F.col("class").alias("b"), F.col("signature").alias("y")), "b")
         return met.where(F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e)) >= match).select("a", "b")
 
-    first = stored(collide(first))
-    # the texts of all classes that are in a list with another one
-    listed = lists.join(hubs.select("k", "value"), ["k", "value"]).select("class").distinct()
-    wanted = sets.join(listed, "class").select("class", "n", "text_key")
-    bodies = stored(keyed.join(wanted, "text_key").select("class", "n", "text").dropDuplicates(["class"]))
-    links = stored(confirmed(first, bodies, words, per_cent))
+    links = stored(compared(stored(collide(with_hub(lists))), bodies, words, per_cent, False).select("a", "b"))
+    left = stored(still_open(lists.join(placed(able.select("class"), components(links)), "class"), key).where(F.col("class") != F.col("hub.class")).select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct())
+    if left.limit(1).count():
+        members = compared(left, bodies, words, per_cent, True).select(F.col("a").alias("key"), F.col("a").alias("hub"), F.col("a_n").alias("hub_n"), F.col("b").alias("class"), F.col("b_n").alias("n"), "diff")
+        links = linked_by_differences(members, links, per_cent)
     label = components(links)
-    placed = lists.join(hubs.select("k", "value"), ["k", "value"]).join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_lists = placed.groupBy("k", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("k", "value")
-    left = stored(placed.join(open_lists, ["k", "value"]))
-    doubtful = bodies.join(left.select("class").distinct(), "class")
-    able = stored(shared_counts(doubtful, words))
-    left = left.join(able, "class").where(F.col("common") >= F.ceil(threshold * F.col("n") - 1e-9)).select("k", "value", "class", "n", "common", "component")
-    still = left.groupBy("k", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("k", "value")
-    left = stored(left.join(still, ["k", "value"]))
-
-    def side(name: str) -> DataFrame:
-        return left.select("k", "value", F.col("class").alias(name), F.col("n").alias(f"{name}_n"), F.col("common").alias(f"{name}_common"), F.col("component").alias(f"{name}_component"))
-
-    enough = F.least("a_common", "b_common") >= F.ceil((F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9)
-    second = side("a").join(side("b"), ["k", "value"]).where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & compatible(threshold) & enough).select("a", "b").distinct()
-    more = confirmed(stored(collide(second)), bodies, words, per_cent)
-    every = stored(links.unionByName(more))
-    label = components(every)
     names = sets.select("class", "low_id").join(label, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "low_id")
     lowest = names.groupBy("component").agg(F.min("low_id").alias("component_id"))
     known = names.join(lowest, "component").select("class", "component_id")
@@ -246,6 +345,8 @@ def text_hash() -> F.Column:
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with one document of each component, the one with its smallest doc_id."""
-    kept = near_duplicates(docs, words, threshold).where("kept").select("doc_id", F.col("text_key").alias("kept_text")).distinct()
-    keyed = docs.withColumn("kept_text", text_hash())
-    return keyed.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (keyed["kept_text"] == kept["kept_text"]), "left_semi").drop("kept_text")
+    kept = near_duplicates(docs, words, threshold).where("kept")
+    kept_id, kept_text, key = fresh(docs, "kept_id", "kept_text", "text_key")
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_text)).distinct()
+    keyed = docs.withColumn(key, text_hash())
+    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_text)), "left_semi").drop(key)

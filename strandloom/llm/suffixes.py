@@ -137,7 +137,7 @@ def owners(docs: DataFrame, length: int) -> DataFrame:
                 continue
             hashes = RangeHash(data)
             starts = np.arange(len(data) - GRAM + 1)
-            grams = mix((hashes.sums[GRAM:] - hashes.sums[:-GRAM]) * hashes.back[: len(starts)])
+            grams = mix(hashes.raw(starts, starts + GRAM))
             usable = np.zeros(len(data) - length + 1, bool)
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 usable[a : max(a, b - length + 1)] = True

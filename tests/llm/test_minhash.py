@@ -72,3 +72,73 @@ def test_chain_of_links(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def by_matrix(sets, percent):
+    """Smallest member of each set's component; links from the products of all rows."""
+    import numpy as np
+
+    at = {x: i for i, x in enumerate(sorted(frozenset().union(*sets)))}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[x] for x in s]] = 1
+    both, size = m @ m.T, m.sum(1)
+    near = 100 * both >= percent * (size[:, None] + size - both)
+    label = np.arange(len(sets))
+    while True:
+        new = np.array([label[row].min() for row in near])
+        new = new[new]
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def family(seed, n, words, kinds, edits):
+    """Near copies of one text whose edits, drawn from `kinds` at each place, are often the same."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.choice(edits)):
+            i = rng.randrange(len(w))
+            kind = rng.randrange(kinds + 1)
+            w[i : i + 1] = [f"n{i}x{kind}"] if kind else []
+        out.append(" ".join(w))
+    return out
+
+
+def test_family_with_shared_edits(spark, monkeypatch):
+    from strandloom.llm import minhash
+
+    for seed, n, small, kinds, edits in ((1, 2000, 64, 3, (1, 2, 5, 7, 9)), (2, 250, 4, 0, (3, 4, 5))):
+        monkeypatch.setattr(minhash, "SMALL_LIST", small)
+        texts = family(seed, n, 110, kinds, edits)
+        want = by_matrix([shingles(t, 3) for t in texts], 85)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 0.85).collect()}
+        assert [got[i] for i in range(n)] == want and 1 < len(set(want)) < n
+
+
+def test_words_made_to_collide(spark):
+    """Words of two letters that no polynomial modulo a power of two tells apart."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    docs = spark.createDataFrame([(1, f"{one} x y"), (2, f"{two} x y"), (3, f"{one} X y")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 0.85).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_registered_query(spark, tmp_path):
+    from strandloom.llm.queries import QUERIES
+
+    rows = made(7, 120, 5) + [(500, None), (501, "ONE two"), (502, "one\x0btwo")]
+    spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_minhash"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert sorted(map(tuple, got.collect())) == sorted((i, n, c, i == c) for i, n, c in brute(rows, 3, 85))
+
+
+def test_clashing_columns(spark):
+    names = "kept_id long, kept_text long, text_key long, class string, doc_id long, text string"
+    got = drop_near_duplicates(spark.createDataFrame([(7, 8, 9, "c", i, "a b c d e f g") for i in range(3)], names))
+    assert got.columns == [n.split()[0] for n in names.split(", ")] and [tuple(r) for r in got.collect()] == [(7, 8, 9, "c", 0, "a b c d e f g")]
