@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import RangeHash, fresh, mix, slices, utf8
-from .shared import stored
+from .shared import discard, stored
 
 COORDINATES = 48
 WORDS, THRESHOLD = 5, 0.8  # where a contract says nothing else
 HUB_ROWS = 256  # members that meet one copy of a hub's text
-SMALL_LIST = 64  # classes that are compared without a hub of their own
+SMALL_LIST = 512  # classes that are compared without a hub of their own
 DEPTH = 3  # times that a list is dealt by differences before its classes are compared whatever its length
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -140,9 +140,11 @@ def components(links: DataFrame) -> DataFrame:
         jumped = labels.join(labels.select(F.col("class").alias("up"), F.col("component").alias("top")), F.col("component") == F.col("up"), "left").select("class", "component", F.least("component", F.coalesce("top", "component")).alias("new"))
         near = both.join(jumped.select(F.col("class").alias("b"), F.col("new").alias("theirs")), "b").groupBy(F.col("a").alias("class")).agg(F.min("theirs").alias("theirs"))
         found = stored(jumped.join(near, "class").select("class", F.least("new", "theirs").alias("component"), (F.least("new", "theirs") != F.col("component")).alias("moved")))
-        labels = found.select("class", "component")
+        discard(labels)
+        labels = found
         if found.where("moved").limit(1).count() == 0:
-            return labels
+            discard(both)
+            return found.drop("moved")
 
 
 def similar(both, a_n, b_n, threshold: tuple[int, int]):
@@ -237,34 +239,41 @@ def sized(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 
 def difference_lists(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(key, shingle, class, n, weight, loose, short, component): `members`, sized and placed, posted under those of their differences that a link of two
-    of them, at least one of which is not linked with the hub, can't do without; only `short` posts count where neither is."""
+    """(key, shingle, class, n, weight, over, short, rest, component): `members`, sized and placed, posted under those of their differences that a link of two
+    of them, at least one of which is not linked with the hub, can't do without; only `short` posts count where neither is. `rest` is the number of
+    differences from this one on, in the order of rarity."""
     whole = sum(threshold)
     posted = members.select("key", "class", F.explode("diff").alias("shingle"))
     common = posted.groupBy("key", "shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     shared = posted.join(common, ["key", "shingle"]).groupBy("key", "class").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
-    both = members.join(shared, ["key", "class"]).withColumn("loose", F.col("over") > 0)
+    both = members.join(shared, ["key", "class"])
     # the rarest come first, so of two sets with m in common, one is among all but the last m - 1 of each
     alone = F.size("diff") - F.size("shared")
     short = F.size("diff") - F.floor(F.col("weight") / whole) - alone
     long = F.size("diff") + 1 - F.greatest(F.lit(1), F.ceil(F.col("over") / whole)) - alone
-    both = both.withColumn("short", short.cast("int")).withColumn("many", F.when(F.col("loose"), F.greatest(long, short)).otherwise(short).cast("int"))
-    each = both.where("many > 0").select("key", "class", "n", "weight", "loose", "short", "component", F.posexplode(F.slice("shared", 1, F.col("many"))).alias("i", "at"))
-    return each.select("key", F.col("at.shingle").alias("shingle"), "class", "n", "weight", "loose", (F.col("i") < F.col("short")).alias("short"), "component")
+    both = both.withColumn("short", short.cast("int")).withColumn("many", F.when(F.col("over") > 0, F.greatest(long, short)).otherwise(short).cast("int"))
+    each = both.where("many > 0").select("key", "class", "n", "weight", "over", "short", "component", F.size("shared").alias("of"), F.posexplode(F.slice("shared", 1, F.col("many"))).alias("i", "at"))
+    lists = each.select("key", F.col("at.shingle").alias("shingle"), "class", "n", "weight", "over", (F.col("i") < F.col("short")).alias("short"), (F.col("of") - F.col("i")).alias("rest"), "component")
+    # what follows must hold enough for a link with the lightest member
+    lightest = lists.groupBy("key", "shingle").agg(F.min("weight").alias("lightest"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    return lists.join(lightest, ["key", "shingle"]).where(whole * F.col("rest") >= F.col("over") + F.col("lightest")).drop("lightest")
 
 
 def met_by_differences(lists: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b): the links of classes in different components that meet in `lists`."""
+    """(a, b): the links of classes in different components that meet in `lists`. The rarest difference that two classes share is followed, in both of
+    their lists, by all others that they share."""
 
     def side(name: str) -> DataFrame:
-        return lists.select("key", "shingle", F.col("class").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "loose", "short", "component")))
+        return lists.select("key", "shingle", F.col("class").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "weight", "over", "short", "rest", "component")))
 
     def difference(name: str) -> DataFrame:
         return members.select("key", F.col("class").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "lacks", "diff")))
 
-    counts = (F.col("a_loose") | F.col("b_loose")) & (~F.col("a_loose") | ~F.col("b_loose") | (F.col("a_short") & F.col("b_short")))
+    a_loose, b_loose = F.col("a_over") > 0, F.col("b_over") > 0
+    counts = (a_loose | b_loose) & (~a_loose | ~b_loose | (F.col("a_short") & F.col("b_short")))
+    enough = sum(threshold) * F.least("a_rest", "b_rest") >= F.col("a_over") + F.col("b_weight")
     apart = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
-    met = side("a").join(side("b"), ["key", "shingle"]).where(apart & counts & compatible(threshold)).select("key", "a", "b").distinct()
+    met = side("a").join(side("b"), ["key", "shingle"]).where(apart & counts & enough & compatible(threshold)).select("key", "a", "b").distinct()
     hubs = members.groupBy("key").agg(F.first("hub_n").alias("hub_n"))
     pairs = met.join(hubs, "key").join(difference("a"), ["key", "a"]).join(difference("b"), ["key", "b"])
     both = F.col("hub_n") - F.col("a_lacks") - F.col("b_lacks") + F.size(F.array_intersect("a_diff", "b_diff"))
@@ -286,19 +295,22 @@ def linked_by_differences(members: DataFrame, links: DataFrame, threshold: tuple
         heads = members.select("key", F.col("hub").alias("class")).distinct()
         label = components(links)
         open_keys = still_open(placed(members.select("key", "class").unionByName(heads), label), ["key"]).select("key").distinct()
-        lists = stored(difference_lists(placed(members.join(open_keys, "key"), label), threshold))
+        before = stored(difference_lists(placed(members.join(open_keys, "key"), label), threshold))
         key = ["key", "shingle"]
-        wanted = lists.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("loose").alias("loose"), F.count(F.lit(1)).alias("size")).where("low < high and loose")
-        lists = stored(lists.join(wanted.select(*key, "size"), key))
+        wanted = before.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("over").alias("over"), F.count(F.lit(1)).alias("size")).where("low < high and over > 0")
+        lists = stored(before.join(wanted.select(*key, "size"), key))
         many = F.lit(depth < DEPTH) & (F.col("size") > SMALL_LIST)
         links = stored(links.unionByName(met_by_differences(lists.where(~many), members, threshold)))
         long = lists.where(many).select("key", "shingle", "class", "weight")
+        discard(before)
         if not long.limit(1).count():
+            discard(lists, members)
             return links
         long = with_hubs(long, key, F.struct(-F.col("weight"), "class")).select("key", "class", F.concat("key", F.unhex(F.lpad(F.hex("shingle"), 16, "0"))).alias("inner"), F.col("hub.class").alias("hub"))
         deeper = stored(long.join(members.select("key", "class", "n", "diff"), ["key", "class"]).select(F.col("inner").alias("key"), "hub", "class", "n", "diff"))
         heads = deeper.where("class = hub").select("key", F.col("n").alias("hub_n"), F.col("diff").alias("of_hub"))
         apart = F.array_union(F.array_except("diff", "of_hub"), F.array_except("of_hub", "diff"))
+        discard(lists, members)
         members = deeper.where("class != hub").join(heads, "key").select("key", "hub", "hub_n", "class", "n", apart.alias("diff"))
 
 
@@ -331,6 +343,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     if left.limit(1).count():
         members = compared(left, bodies, words, per_cent, True).select(F.col("a").alias("key"), F.col("a").alias("hub"), F.col("a_n").alias("hub_n"), F.col("b").alias("class"), F.col("b_n").alias("n"), "diff")
         links = linked_by_differences(members, links, per_cent)
+    discard(bodies, able, lists)
     label = components(links)
     names = sets.select("class", "low_id").join(label, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "low_id")
     lowest = names.groupBy("component").agg(F.min("low_id").alias("component_id"))
