@@ -4,12 +4,12 @@ The model file's protobuf is parsed here: pieces with scores and kinds, the mode
 tokenizer is rebuilt: precompiled normaliser, metaspace marker, and either a unigram model with the pieces' scores or, for a BPE model,
 merges in the order of the merged pieces' scores, both with byte fallback.
 
-Where no piece goes on after an inner marker or holds a line end, a text's ids are those of its blank-separated chunks in a row; chunks are
-encoded once for each worker, many in one multithreaded call, and each is held against the sentencepiece library then: ids and decoded
-bytes must be the same. A chunk that differs takes the sentencepiece ids and its documents are marked (`parity` false).
+Whole texts are encoded and decoded, a batch in one multithreaded call each. On request the sentencepiece library encodes each whole text
+too, and `parity` says whether it finds the same ids; the ids are the tokenizers library's own in any case. One known difference: with a character
+map, its normaliser takes a letter with several accents as one and may lose all but the first.
 
-Defined cases: null is empty and has no ids; repeated rows are encoded each; an empty table stays empty; extra columns are kept (a clash with a
-column that is added drops the input's); ids out of range decode to nothing.
+Defined cases: null is empty and has no ids; repeated rows are encoded each; null ids decode to an empty text; ids out of range and control ids decode
+to nothing; an empty table stays empty; extra columns are kept (a clash with a column that is added drops the input's).
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from .columnar import slices, texts, widened
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the file format
 UNIGRAM, BPE = 1, 2
-MEMO = 300_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,43 +85,39 @@ class PieceModel:
         return [(p[:cut], p[cut:]) for p in (self.pieces[i] for _, i in order) for cut in range(1, len(p)) if p[:cut] in known and p[cut:] in known]
 
     def tokenizer(self):
-        """Of the tokenizers library, for text that is normalised and marked already."""
+        """Of the tokenizers library, for text that is normalised and marked already. Names of pieces that a text can't hold by itself are hidden from
+        a unigram model, which would match them; PieceEncoder then spells unknown characters in bytes."""
         from tokenizers import Tokenizer, decoders, models
 
         if self.type == BPE:
             ids = {p: i for i, p in enumerate(self.pieces)}
             model = models.BPE(ids, self.merges(), unk_token=self.pieces[self.unknown], fuse_unk=True, byte_fallback=self.byte_fallback)
         else:
-            model = models.Unigram(list(zip(self.pieces, self.scores, strict=True)), self.unknown, self.byte_fallback)
+            model = models.Unigram([(p if k in (NORMAL, USER) else f"\0hidden {i}\0", s) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds, strict=True))], self.unknown, False)
         out = Tokenizer(model)
-        out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
+        strip = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []
+        out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
         return out
 
 
 class PieceEncoder:
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, parity: bool = True):
+        """`parity` asks for the other library beside."""
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        import sentencepiece
         from tokenizers import normalizers
 
         self.model = PieceModel(path)
         self.tokenizer = self.model.tokenizer()
         self.normalizer = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
-        self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        whole = [p for p, k in zip(self.model.pieces, self.model.kinds, strict=True) if k in (NORMAL, USER)]
-        self.splits = self.model.mark_spaces and USER not in self.model.kinds and not any(MARK in p.lstrip(MARK) or "\n" in p for p in whole)
-        self.chunk = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-        self.memo: dict[str, bytes] = {}
-        self.most, self.unlike = memo, set()
-        self.raw = [self._bytes(p, k) for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
-
-    @staticmethod
-    def _bytes(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        if kind == CONTROL:
-            return b""
-        return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
+        names = [" \u2047 " if k == UNKNOWN else "" if k == CONTROL else p for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
+        self.names = np.array(names, object)
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.model.pieces, self.model.kinds, strict=True)) if k == BYTE}
+        self.spells = self.model.type == UNIGRAM and self.model.byte_fallback
+        self.reference = None
+        if parity:
+            import sentencepiece
+
+            self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def marked(self, text: str) -> str:
         """Normalised, with markers for blanks."""
@@ -134,62 +129,57 @@ class PieceEncoder:
             text = " " + text
         return text.replace(" ", MARK) if self.model.mark_spaces else text
 
-    def chunks(self, marked: str) -> list[str]:
-        return self.chunk.findall(marked) if self.splits else [marked] if marked else []
-
-    def _learn(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.memo[chunk] = np.array(found.ids, "<u4").tobytes()
-        # the other library puts a marker before every text: give it one of its own, and take that away again
-        plain = [c.replace(MARK, " ") for c in chunks]
-        lead = "" if not self.model.dummy_prefix or self.model.squeeze else "\n"
-        skip = len(self.reference.encode(lead)) if lead else 0
-        for chunk, ids in zip(chunks, self.reference.encode([lead + p for p in plain], num_threads=1), strict=True):
-            if (want := np.array(ids[skip:], "<u4").tobytes()) != self.memo[chunk]:
-                self.unlike.add(chunk)
-                self.memo[chunk] = want
-
-    def encode(self, batch: list[str]) -> list[tuple[bytes, bool]]:
-        """Little-endian uint32 ids and parity of every text: whether both libraries agree on all its chunks, and the other one, given the
-        whole text as it is, finds the same ids."""
-        parts = [self.chunks(self.marked(t)) for t in batch]
-        every = set().union(*parts)
-        new = every.difference(self.memo)
-        if len(self.memo) + len(new) > self.most:
-            self.memo, self.unlike, new = {}, set(), every
-        if new:
-            self._learn(list(new))
-        find = self.memo.__getitem__
-        found = [b"".join(map(find, p)) for p in parts]
-        return [(ids, self.unlike.isdisjoint(p) and np.array(self.reference.encode(t), "<u4").tobytes() == ids) for t, ids, p in zip(batch, found, parts, strict=True)]
-
-    def decode(self, ids: bytes) -> str:
-        n = len(self.raw)
-        out = b"".join([self.raw[i] for i in np.frombuffer(ids, "<u4").tolist() if i < n]).decode(errors="replace")
-        return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
-
-
-def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
-    """`docs` with `ids` (binary, little-endian uint32), `n_ids` and `parity`."""
-    kept = docs.drop("ids", "n_ids", "parity")
+    def encode(self, batch: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        marked = [self.marked(t) for t in batch]
+        found = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+        if self.spells:
+            found = [self._spelled(t) if self.model.unknown in ids else ids for t, ids in zip(marked, found, strict=True)]
+        return found
+
+    def _spelled(self, marked: str) -> np.ndarray:
+        """The ids of a text, those of bytes for characters that the model doesn't know."""
+        found, out = self.tokenizer.encode(marked, add_special_tokens=False), []
+        for i, (a, b) in zip(found.ids, found.offsets, strict=True):
+            out += [self.byte_ids[x] for x in marked[a:b].encode()] if i == self.model.unknown else [i]
+        return np.array(out, "<u4")
+
+    def parity(self, batch: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Whether the other library, given a text as it is, finds these ids."""
+        return [np.array_equal(np.array(want, "<u4"), have) for want, have in zip(self.reference.encode(batch, num_threads=1), ids, strict=True)]
+
+    def decode(self, batch: list[np.ndarray]) -> list[str]:
+        return [self.tokenizer.decoder.decode(self.names[ids[ids < len(self.names)]].tolist()) for ids in batch]
+
+
+def encode_pieces(docs: DataFrame, model_path: str, parity: bool = True, decoded: bool = False) -> DataFrame:
+    """`docs` with `ids` (binary, little-endian uint32) and `n_ids`; on request with `parity`, and with the text that the ids decode to."""
+    kinds = {"ids": "binary", "n_ids": "long"} | ({"parity": "boolean"} if parity else {}) | ({"decoded": "string"} if decoded else {})
+    kept = docs.drop(*kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model_path)
-        for batch in slices(batches, limit=1 << 20):
-            found = encoder.encode(texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.binary()), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([p for _, p in found], pa.bool_())], [*batch.schema.names, "ids", "n_ids", "parity"])
+        encoder = PieceEncoder(model_path, parity)
+        for batch in slices(batches):
+            said = texts(batch.column("text"))
+            ids = encoder.encode(said)
+            more = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+            if parity:
+                more.append(pa.array(encoder.parity(said, ids), pa.bool_()))
+            if decoded:
+                more.append(pa.array(encoder.decode(ids), pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *kinds])
 
-    return kept.mapInArrow(run, widened(kept.schema, ids="binary", n_ids="long", parity="boolean"))
+    return kept.mapInArrow(run, widened(kept.schema, **kinds))
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
-    """`encoded` with `decoded`, the text of its `ids`; null ids are none."""
+    """`encoded` with `decoded`, the text of its `ids`."""
     kept = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model_path)
+        encoder = PieceEncoder(model_path, False)
         for batch in slices(batches, "ids"):
-            found = [encoder.decode(x or b"") for x in batch.column("ids").to_pylist()]
+            found = encoder.decode([np.frombuffer(x or b"", "<u4") for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(run, widened(kept.schema, decoded="string"))
