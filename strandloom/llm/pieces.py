@@ -4,7 +4,7 @@ The model file's protobuf is parsed here: pieces with scores and kinds, the mode
 tokenizer is rebuilt: precompiled normaliser, metaspace marker, and either a unigram model with the pieces' scores or, for a BPE model,
 merges in the order of the merged pieces' scores, both with byte fallback.
 
-Whole texts are encoded and decoded, a batch in one multithreaded call each. On request the sentencepiece library encodes each whole text
+Whole texts are encoded, a batch in one multithreaded call. Decoding joins what the library's decoder makes of single pieces and of runs of bytes. On request the sentencepiece library encodes each whole text
 too, and `parity` says whether it finds the same ids; the ids are the tokenizers library's own in any case. One known difference: with a character
 map, its normaliser takes a letter with several accents as one and may lose all but the first.
 
@@ -110,7 +110,11 @@ class PieceEncoder:
         self.tokenizer = self.model.tokenizer()
         self.normalizer = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         names = [" \u2047 " if k == UNKNOWN else "" if k == CONTROL else p for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
+        decode = self.tokenizer.decoder.decode
         self.names = np.array(names, object)
+        # what the library's decoder makes of each piece inside a text; it is asked again for the first piece and for bytes in a row
+        self.inside = np.array([decode(["|", n])[1:] for n in names], object)
+        self.byte, self.silent = (np.array([k == kind for k in self.model.kinds]) for kind in (BYTE, CONTROL))
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.model.pieces, self.model.kinds, strict=True)) if k == BYTE}
         self.spells = self.model.type == UNIGRAM and self.model.byte_fallback
         self.reference = None
@@ -149,7 +153,21 @@ class PieceEncoder:
         return [np.array_equal(np.array(want, "<u4"), have) for want, have in zip(self.reference.encode(batch, num_threads=1), ids, strict=True)]
 
     def decode(self, batch: list[np.ndarray]) -> list[str]:
-        return [self.tokenizer.decoder.decode(self.names[ids[ids < len(self.names)]].tolist()) for ids in batch]
+        return [self._decoded(ids[ids < len(self.names)]) for ids in batch]
+
+    def _decoded(self, ids: np.ndarray) -> str:
+        ids = ids[~self.silent[ids]]
+        if not len(ids):
+            return ""
+        decode, said, byte = self.tokenizer.decoder.decode, self.inside[ids], self.byte[ids]
+        if (byte[1:] & byte[:-1]).any():
+            edge = np.flatnonzero(np.diff(byte, prepend=False, append=False)).reshape(-1, 2)
+            for a, b in edge[edge[:, 1] > edge[:, 0] + 1].tolist():
+                said[a:b] = ""
+                said[a] = decode(["|", *self.names[ids[a:b]]])[1:]
+        if not byte[0]:
+            said[0] = decode([self.names[ids[0]]])
+        return "".join(said.tolist())
 
 
 def encode_pieces(docs: DataFrame, model_path: str, parity: bool = True, decoded: bool = False) -> DataFrame:

@@ -20,6 +20,7 @@ def held(path, texts, step=20):
         assert encoder.parity(batch, found) == [True] * len(batch)
         for text, ids, said in zip(batch, found, encoder.decode(found), strict=True):
             assert ids.tolist() == sp.encode(text) and said == sp.decode(ids.tolist()), repr(text)
+            assert said == encoder.tokenizer.decoder.decode(encoder.names[ids].tolist())
 
 
 def drawn(seed, n=500, alphabet="abcdefg hi\n.,é執\u0301 THE  the"):
