@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import RangeHash, mix, reduced, slices, texts, times, utf8, widened
+from .columnar import RangeHash, fresh, mix, reduced, slices, texts, times, utf8, widened
 from .shared import stored
 from .winnow import owned_runs
 
@@ -155,17 +155,18 @@ def delete_lines(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int, in
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None, short_texts: bool = False) -> DataFrame:
     """`docs` with later copies of runs of lines deleted from `text`, and n_lines and n_removed (lines that aren't blank)."""
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("text_key", F.xxhash64(F.lit(6), F.coalesce("text", F.lit(""))))
-    posts = stored(post_lines(keyed, min_lines, long_words, short_texts))
-    ranges = later_lines(posts, min_lines).groupBy(F.col("doc_id").alias("at_doc"), F.col("text_key").alias("at_text")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    met = keyed.join(ranges, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_key") == F.col("at_text")), "left").drop("at_doc", "at_text", "text_key")
+    text_key, at_doc, at_text, at_ranges = fresh(docs, "text_key", "at_doc", "at_text", "ranges")
+    keyed = docs.withColumn(text_key, F.xxhash64(F.lit(6), F.coalesce("text", F.lit(""))))
+    posts = stored(post_lines(keyed.select("doc_id", F.col(text_key).alias("text_key"), "text"), min_lines, long_words, short_texts))
+    ranges = later_lines(posts, min_lines).groupBy(F.col("doc_id").alias(at_doc), F.col("text_key").alias(at_text)).agg(F.collect_set(F.struct("start", "end")).alias(at_ranges))
+    met = keyed.join(ranges, F.col("doc_id").eqNullSafe(F.col(at_doc)) & (F.col(text_key) == F.col(at_text)), "left").drop(at_doc, at_text, text_key)
     names = docs.columns
     schema = widened(docs.schema, n_lines="long", n_removed="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             said = batch.column("text")
-            found = [delete_lines(t, [(r["start"], r["end"]) for r in ranges or ()]) for t, ranges in zip(texts(said), batch.column("ranges").to_pylist(), strict=True)]
+            found = [delete_lines(t, [(r["start"], r["end"]) for r in ranges or ()]) for t, ranges in zip(texts(said), batch.column(at_ranges).to_pylist(), strict=True)]
             new = pa.array([None if null else t for (t, _, _), null in zip(found, said.is_null().to_pylist(), strict=True)], said.type)
             columns = [new if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], [*names, "n_lines", "n_removed"])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import RangeHash, fresh, mix, slices, utf8
-from .shared import discard, stored
+from .shared import discard, release, stored
 
 COORDINATES = 48
 WORDS, THRESHOLD = 5, 0.8  # where a contract says nothing else
@@ -317,15 +317,18 @@ def linked_by_differences(members: DataFrame, links: DataFrame, threshold: tuple
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, coordinates: int = COORDINATES) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) of every row of `docs` (doc_id, text); text_key is a hash of the text."""
     per_cent = (round(threshold * 100), 100)
-    match = match_threshold(threshold, coordinates)
+    match, spark = match_threshold(threshold, coordinates), docs.sparkSession
     keyed = docs.select("doc_id", text_hash().alias("text_key"), "text")
     signed = stored(signatures(keyed, words, coordinates))
     sets = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     sets = stored(sets)
+    release(spark)
     wanted = sets.join(prefix_posts(sets, match).select("class"), "class").select("class", "n", "text_key")
     bodies = stored(keyed.join(wanted, "text_key").select("class", "n", "text").dropDuplicates(["class"]))
+    release(spark)
     able = shared_counts(bodies, words).where(per_cent[1] * F.col("common") >= per_cent[0] * F.col("n")).select("class")
     able = stored(sets.join(able, "class", "left_semi").select("class", "n", "signature"))
+    release(spark)
     key = ["k", "value"]
     lists = prefix_posts(able, match).select("class", "n", "weight", F.explode("posts").alias("p")).select("class", "n", "weight", "p.k", "p.value")
     lists = stored(with_hubs(lists, key, F.struct("weight", "class", "n")).select(*key, "class", "n", "hub"))
@@ -344,6 +347,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         members = compared(left, bodies, words, per_cent, True).select(F.col("a").alias("key"), F.col("a").alias("hub"), F.col("a_n").alias("hub_n"), F.col("b").alias("class"), F.col("b_n").alias("n"), "diff")
         links = linked_by_differences(members, links, per_cent)
     discard(bodies, able, lists)
+    release(spark)
     label = components(links)
     names = sets.select("class", "low_id").join(label, "class", "left").select("class", F.coalesce("component", "class").alias("component"), "low_id")
     lowest = names.groupBy("component").agg(F.min("low_id").alias("component_id"))

@@ -39,6 +39,11 @@ def discard(*tables: DataFrame) -> None:
         files.delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of steps that are over: it does so once the driver has collected its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

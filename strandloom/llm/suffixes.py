@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import RangeHash, mix, packed, slices, unpacked, utf8, widened
-from .shared import stored
+from .columnar import RangeHash, fresh, mix, packed, slices, unpacked, utf8, widened
+from .shared import discard, release, stored
 from .winnow import owned_runs
 
 LENGTH, GRAM, BLOCK = 200, 32, 16
@@ -233,11 +233,16 @@ def count_windows(blocks: DataFrame) -> DataFrame:
     return window.join(twice, [*GROUP, "place", "ends"]).select("key", "start", F.col("start").alias("last"))
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """(key, start, last) runs of starts of repeated windows, for `docs` (key, text)."""
+def repeated_runs(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """(key, runs) of the documents (key, text) with repeated windows; a run (start, last) is one of starts. Every step is stored and its tables and
+    shuffle files go before the next but one, so the disk holds the largest step and not their sum."""
+    spark = docs.sparkSession
     posted = owners(docs, length)
-    common = posted.groupBy("owner").agg(F.count(F.lit(1)).alias("times"), (F.min("cover") == F.max("cover")).alias("alike")).where("times > 1").drop("times")
+    common = stored(posted.groupBy("owner").agg(F.count(F.lit(1)).alias("times"), (F.min("cover") == F.max("cover")).alias("alike")).where("times > 1").drop("times"))
+    release(spark)
     hits = stored(posted.join(common, "owner"))
+    discard(common)
+    release(spark)
     start, last = F.col("at") - F.col("most"), F.col("at") - F.col("least")
     inside = hits.where("alike").select("key", start.alias("start"), last.alias("last"))
     unlike = hits.where("not alike")
@@ -247,10 +252,18 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, most_blocks: int = M
     # rows that are alike in key and text are one place here; what they repeat is settled above
     asked = packed(docs).join(places, "key")
     blocks = stored(cut_blocks(asked.select("key", "text", "places"), length).distinct())
+    release(spark)
     sizes = blocks.groupBy(*GROUP).count()
     few = blocks.join(sizes.where((F.col("count") > 1) & (F.col("count") <= most_blocks)).drop("count"), [*GROUP])
     many = blocks.join(sizes.where(F.col("count") > most_blocks).drop("count"), [*GROUP])
-    return inside.unionByName(settled).unionByName(settle_groups(few)).unionByName(count_windows(many))
+    ends = stored(settle_groups(few).unionByName(count_windows(many)))
+    discard(blocks)
+    release(spark)
+    runs = inside.unionByName(settled).unionByName(ends)
+    out = stored(runs.groupBy("key").agg(F.collect_set(F.struct("start", "last")).alias("runs")))
+    discard(hits, covers, ends)
+    release(spark)
+    return out
 
 
 def merged(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -264,14 +277,16 @@ def merged(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_runs(docs: DataFrame, length: int, most_blocks: int) -> DataFrame:
-    """`docs` with `runs`, null where nothing is repeated, and packed texts."""
-    found = repeated_windows(docs.select(row_key().alias("key"), "text"), length, most_blocks).groupBy(F.col("key").alias("at_key")).agg(F.collect_set(F.struct("start", "last")).alias("runs"))
-    return packed(docs.withColumn("key", row_key())).join(found, F.col("key") == F.col("at_key"), "left").drop("key", "at_key")
+def with_runs(docs: DataFrame, length: int, most_blocks: int) -> tuple[DataFrame, str]:
+    """`docs` with packed texts and a further column, and its name, of repeated runs; null where nothing is repeated."""
+    key, at_key, runs = fresh(docs, "key", "at_key", "runs")
+    found = repeated_runs(docs.select(row_key().alias("key"), "text"), length, most_blocks).select(F.col("key").alias(at_key), F.col("runs").alias(runs))
+    return packed(docs.withColumn(key, row_key())).join(found, F.col(key) == F.col(at_key), "left").drop(key, at_key), runs
 
 
 def measure_repeats(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of `docs` (doc_id, text)."""
+    met, _ = with_runs(docs.select("doc_id", "text"), length, most_blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(unpacked(batches)):
@@ -288,7 +303,7 @@ def measure_repeats(docs: DataFrame, length: int = LENGTH, most_blocks: int = MO
                 rows.append((len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_runs(docs.select("doc_id", "text"), length, most_blocks).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_text(text: bytes, spans: list[tuple[int, int]]) -> str:
@@ -309,12 +324,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST_
     docs = docs.drop("n_removed")
     names = docs.columns
     schema = widened(docs.schema, n_removed="long")
+    met, at_runs = with_runs(docs, length, most_blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(unpacked(batches)):
             data, offsets = utf8(batch.column("text"))
             new, gone = [], []
-            for i, (runs, null) in enumerate(zip(batch.column("runs").to_pylist(), batch.column("text").is_null().to_pylist(), strict=True)):
+            for i, (runs, null) in enumerate(zip(batch.column(at_runs).to_pylist(), batch.column("text").is_null().to_pylist(), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 said = cut_text(text, merged([(r["start"], r["last"]) for r in runs or ()], length))
                 new.append(None if null else said)
@@ -322,4 +338,4 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST_
             columns = [pa.array(new, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], [*names, "n_removed"])
 
-    return with_runs(docs, length, most_blocks).mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)

@@ -93,3 +93,29 @@ def test_single_lines_sql(spark, tmp_path):
     base = duckdb.connect()
     base.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert sorted(map(tuple, QUERIES["op6_single_lines"](spark, str(tmp_path)).collect())) == sorted(base.execute(ORACLE_SQL["op6_single_lines"]).fetchall())
+
+
+def test_clashing_columns(spark):
+    names = "text_key long, at_doc string, at_text long, ranges array<int>, doc_id long, text string"
+    got = dedup_lines(spark.createDataFrame([(1, "a", 2, [3], i, "one\ntwo") for i in range(2)], names)).collect()
+    assert sorted((r.text_key, r.at_doc, r.at_text, r.ranges, r.doc_id, r.text) for r in got) == [(1, "a", 2, [3], 0, "one\ntwo"), (1, "a", 2, [3], 1, "")]
+
+
+def test_lines_made_to_collide(spark):
+    """Lines of two letters that no polynomial modulo a power of two tells apart."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    check(spark, [(1, f"{one}\nsame"), (2, f"{two}\nsame"), (3, f"{one}\nsame")], 2)
+
+
+def test_registered_query(spark, tmp_path):
+    import duckdb
+
+    from strandloom.llm.queries import ORACLE_SQL, QUERIES
+
+    rng = random.Random(9)
+    rows = [(i, "\n".join(rng.choice("abc ") for _ in range(rng.randint(0, 6)))) for i in range(50)] + [(None, "a\nb"), (60, None), (3, "x")]
+    spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    base = duckdb.connect()
+    base.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()), key=str) == sorted(base.execute(ORACLE_SQL["op6_line_dedup"]).fetchall(), key=str)

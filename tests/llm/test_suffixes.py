@@ -108,3 +108,28 @@ def test_minima_of_long_texts(monkeypatch):
         assert all(winnow.window_minima(v, w).tolist() == x for w, x in whole.items())
     monkeypatch.undo()
     assert len(winnow.window_minima(np.arange((1 << 24) + 5, dtype=np.uint64) << np.uint64(24), 190)) == (1 << 24) + 5 - 189
+
+
+def test_clashing_columns(spark):
+    shared = "z" * 300
+    names = "key string, at_key long, runs array<int>, n_removed int, doc_id long, text string"
+    got = drop_repeats(spark.createDataFrame([("k", 1, [2], 3, i, f"{i}{shared}") for i in range(2)], names)).collect()
+    assert sorted((r.key, r.at_key, r.runs, r.n_removed, r.doc_id, r.text) for r in got) == [("k", 1, [2], 300, 0, "0"), ("k", 1, [2], 300, 1, "1")]
+
+
+def test_texts_made_to_collide(spark):
+    """Bytes that no polynomial modulo a power of two tells apart."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(1, "".join("ab"[b] for b in bits) + "-"), (2, "".join("ba"[b] for b in bits) + "+")]
+    got = sorted((tuple(r) for r in measure_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=key)
+    assert got == sorted(brute(rows, 200), key=key)
+
+
+def test_registered_query(spark, tmp_path):
+    from strandloom.llm.queries import QUERIES
+
+    rows = made(5)
+    spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op3_suffix_dedup"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute(rows, 200), key=key)
