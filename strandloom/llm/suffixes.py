@@ -39,6 +39,8 @@ from .winnow import owned_runs
 LENGTH, GRAM, BLOCK = 200, 32, 16
 MOST_BLOCKS = 20_000
 TEXT_SYMBOLS = 200_000
+SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
+HALVES = {1 << i: mix(np.array([1000 + i], np.uint64))[0] | np.uint64(1) for i in range(5)}
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -127,6 +129,15 @@ def row_key() -> F.Column:
     return F.xxhash64(F.lit(3), F.col("doc_id"), F.coalesce("text", F.lit("")))
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Of the GRAM bytes from each place, by halves of halves. They only choose owners: grams that collide make windows meet, not be equal."""
+    out, step = SYMBOLS[data], 1
+    while step < GRAM:
+        out = out[:-step] * HALVES[step] + out[step:]
+        step *= 2
+    return mix(out)
+
+
 def owners(docs: DataFrame, length: int) -> DataFrame:
     """(key, at, most, least, owner, cover): the owners of `docs` (key, text); their windows start at at - most .. at - least."""
 
@@ -136,8 +147,7 @@ def owners(docs: DataFrame, length: int) -> DataFrame:
             if len(data) < length:
                 continue
             hashes = RangeHash(data)
-            starts = np.arange(len(data) - GRAM + 1)
-            grams = mix(hashes.raw(starts, starts + GRAM))
+            grams = gram_hashes(data)
             usable = np.zeros(len(data) - length + 1, bool)
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 usable[a : max(a, b - length + 1)] = True
@@ -211,6 +221,8 @@ def settle_groups(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in (*GROUP, "key", "start", "left", "right")), strict=True):
                 if row[:3] != key:
+                    if groups and len(groups[-1]) == 1:  # nothing met it
+                        size -= sum(map(len, groups.pop()[0][2:])) + 2
                     if size > TEXT_SYMBOLS:
                         yield solve(groups)
                         groups, size = [], 0
@@ -247,21 +259,24 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, most_blocks: int = MOST
     inside = hits.where("alike").select("key", start.alias("start"), last.alias("last"))
     unlike = hits.where("not alike")
     covers = stored(unlike.groupBy("owner", "cover").agg(F.min(F.struct("key", "at", "most", "least")).alias("one"), (F.count(F.lit(1)) > 1).alias("several")))
-    settled = unlike.join(covers.where("several").select("owner", "cover"), ["owner", "cover"]).select("key", start.alias("start"), last.alias("last"))
+    settled = stored(unlike.join(covers.where("several").select("owner", "cover"), ["owner", "cover"]).select("key", start.alias("start"), last.alias("last")))
     places = covers.select("one.key", F.struct("one.at", "one.most", "one.least", "owner", "several").alias("place")).groupBy("key").agg(F.collect_list("place").alias("places"))
     # rows that are alike in key and text are one place here; what they repeat is settled above
-    asked = packed(docs).join(places, "key")
-    blocks = stored(cut_blocks(asked.select("key", "text", "places"), length).distinct())
+    asked = packed(docs).join(places, "key").dropDuplicates(["key"])
+    blocks = stored(cut_blocks(asked.select("key", "text", "places"), length))
+    discard(covers)
     release(spark)
-    sizes = blocks.groupBy(*GROUP).count()
-    few = blocks.join(sizes.where((F.col("count") > 1) & (F.col("count") <= most_blocks)).drop("count"), [*GROUP])
-    many = blocks.join(sizes.where(F.col("count") > most_blocks).drop("count"), [*GROUP])
-    ends = stored(settle_groups(few).unionByName(count_windows(many)))
-    discard(blocks)
+    large = stored(blocks.groupBy(*GROUP).count().where(F.col("count") > most_blocks).select(*GROUP))
+    if large.limit(1).count():
+        ends = settle_groups(blocks.join(large, [*GROUP], "left_anti")).unionByName(count_windows(blocks.join(large, [*GROUP])))
+    else:
+        ends = settle_groups(blocks)
+    ends = stored(ends)
+    discard(blocks, large)
     release(spark)
     runs = inside.unionByName(settled).unionByName(ends)
     out = stored(runs.groupBy("key").agg(F.collect_set(F.struct("start", "last")).alias("runs")))
-    discard(hits, covers, ends)
+    discard(hits, settled, ends)
     release(spark)
     return out
 
