@@ -6,14 +6,14 @@ SEQ = """seqs as (select lang as species, doc_id as scaffold,
   regexp_replace(translate(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),
     'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'A', 'g') as sequence from documents where length(text) > 0)"""
 
-FEAT = """docs_ as (select doc_id, cast(length(text) as bigint) as n, row_number() over (order by doc_id) - 1 as r, count(*) over () as c from documents),
+FEAT = """docs_ as (select doc_id, cast(length(text) as bigint) as n, max(doc_id) over () + 1 as c from documents),
 l_ as (select l_orderkey as k, l_linenumber as ln, 3 * cast(l_quantity as bigint) + case when l_partkey % 10 = 0 then 1 else 0 end as len, 12 + l_suppkey % 60 as gap
   from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) as rn from lineitem) t where rn = 1),
 f_ as (select k, ln, len, cast(coalesce(sum(len + gap) over (partition by k order by ln rows between unbounded preceding and 1 preceding), 0) as bigint) as rel,
   cast(sum(len + gap) over (partition by k) as bigint) as span from l_),
 feats as (select d.doc_id as scaffold, concat('t', cast(f_.k as varchar)) as parent, case when o.o_orderstatus = 'F' then '-' else '+' end as strand,
   (f_.k * 37) % greatest(d.n - f_.span, 1) + f_.rel as start0, (f_.k * 37) % greatest(d.n - f_.span, 1) + f_.rel + f_.len - 1 as end0
-  from f_ join orders o on o.o_orderkey = f_.k join docs_ d on f_.k % d.c = d.r where d.n > f_.span + 5 and f_.k % 8 = 0)"""
+  from f_ join orders o on o.o_orderkey = f_.k join docs_ d on f_.k % d.c = d.doc_id where d.n > f_.span + 5)"""
 
 FRAG = """frag as (select *, row_number() over w - 1 as i, lead(start0) over w as next0, lag(end0) over w as prev_end,
   count(*) over (partition by scaffold, parent) as n from feats window w as (partition by scaffold, parent order by start0, end0)),

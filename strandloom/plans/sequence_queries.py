@@ -287,14 +287,14 @@ def chain_bigrams(spark, sf):
 
 # the browser's column logic, on orders as genes
 
-GENES = """gn as (select 'pred_' || lpad(cast(o_orderkey as varchar), 4, '0') as id, 'sc' || o_custkey % 50 as scaffold, case when o_orderstatus = 'F' then '-' else '+' end as strand,
+GENES = """gn as (select 'pred_' || repeat('0', 4 - length(cast(o_orderkey as varchar))) || o_orderkey as id, 'sc' || o_custkey % 50 as scaffold, case when o_orderstatus = 'F' then '-' else '+' end as strand,
   o_orderkey % 9000 + 1 as start, o_orderkey % 9000 + 1 + o_custkey % 700 as \"end\" from orders)"""
 
 
 def gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     start = F.col("o_orderkey") % 9000 + 1
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("pred_"), F.substr(F.lpad(key, 4, "0"), F.lit(1), F.lit(4))).alias("id"), F.concat(F.lit("sc"), (F.col("o_custkey") % 50).cast("string")).alias("scaffold"), F.when(F.col("o_orderstatus") == "F", "-").otherwise("+").alias("strand"), start.alias("start"), (start + F.col("o_custkey") % 700).alias("end"), "o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("pred_"), F.when(F.length(key) < 4, F.lpad(key, 4, "0")).otherwise(key)).alias("id"), F.concat(F.lit("sc"), (F.col("o_custkey") % 50).cast("string")).alias("scaffold"), F.when(F.col("o_orderstatus") == "F", "-").otherwise("+").alias("strand"), start.alias("start"), (start + F.col("o_custkey") % 700).alias("end"), "o_orderkey")
 
 
 @query("prj_gene_locus", f"with {GENES} select id, start, case when strand = '-' then \"end\" - 2 else start end as start_codon, case when strand = '-' then start else \"end\" - 2 end as stop_codon, \"end\" - start + 1 as length from gn")
@@ -302,9 +302,9 @@ def prj_gene_locus(spark, sf):
     return gene_table(spark, sf).select("id", "start", *(c.alias(n) for n, c in genes.locus(F.col("start"), F.col("end"), F.col("strand")).items()))
 
 
-@query("prj_highlight", f"with {SEQ}, h as (select scaffold, substr(sequence, 1, cast(scaffold % 12 as int)) as s from seqs) select scaffold, case when length(s) <= 6 then s else substr(s, 1, 3) end as head, case when length(s) <= 6 then '' else substr(s, 4, length(s) - 6) end as middle, case when length(s) <= 6 then '' else right(s, 3) end as tail from h")
+@query("prj_highlight", f"with {SEQ}, h as (select scaffold, sequence as s from seqs) select scaffold, case when length(s) <= 6 then s else substr(s, 1, 3) end as head, case when length(s) <= 6 then '' else substr(s, 4, length(s) - 6) end as middle, case when length(s) <= 6 then '' else right(s, 3) end as tail from h")
 def prj_highlight(spark, sf):
-    s = scaffolds(spark, sf).select("scaffold", F.substr("sequence", F.lit(1), (F.col("scaffold") % 12).cast("int")).alias("s"))
+    s = scaffolds(spark, sf).select("scaffold", F.col("sequence").alias("s"))
     return s.select("scaffold", *(c.alias(n) for n, c in genes.highlight(F.col("s")).items()))
 
 
