@@ -28,6 +28,7 @@ WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 6_000_000  # ids that a shard keeps in memory, 24 MB
 MEMO_WORDS = 300_000  # words whose ids a task remembers
 UNDERFULL = 15 / 16
+PROBE = "The quick-brown FOX's 12 na\u00efve\t\u00dcber  (x)\n<br> don't 3.14 \u00c9t\u00e9 well-known_name e-mail@x.org #1 50% \u4e16\u754c"
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -38,7 +39,7 @@ class Encoder:
     The tokenizer drops white space before it merges, so a text's ids are those of its words in a row. Its idea of white space and that of
     str.split differ in four control characters only; texts with one of these are encoded whole. Most words hold nothing but Latin letters,
     digits and ASCII signs: those are cut into the tokenizer's own units here and only merged by its model, many in one call. All
-    other words go through the whole tokenizer.
+    other words go through the whole tokenizer. A tokenizer that gives other ids for PROBE this way has rules of its own: its texts are encoded whole.
     """
 
     odd = re.compile("[\x1c-\x1f]")
@@ -60,6 +61,13 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.alphabet[32] = " "  # between units
+        self.by_words = bool(self.ends.any()) and self._agrees()
+
+    def _agrees(self) -> bool:
+        words = PROBE.split()
+        self._learn(words)
+        found, self.memo = b"".join(self.memo[w] for w in words), {}
+        return found == self._whole([PROBE])[0]
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -80,7 +88,7 @@ class Encoder:
                 at = stop
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        words = [None if self.odd.search(text) else text.split() for text in batch]
+        words = [text.split() if self.by_words and not self.odd.search(text) else None for text in batch]
         new = set().union(*(w for w in words if w is not None)).difference(self.memo)
         if len(self.memo) + len(new) > self.most:
             self.memo = {}

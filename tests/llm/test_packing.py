@@ -85,3 +85,18 @@ def test_pieces_cover_every_document(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_other_tokenizers():
+    """Ids are the tokenizer's own, whether or not its rules are those that are known here."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strandloom.llm.packing import PROBE, Encoder
+
+    said = [PROBE, "", " two  blanks\n", "Plain words 123 and don't", "\x1c odd"]
+    for name, known in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = str(public_tokenizers.path(name))
+        encoder, whole = Encoder(path, None), Tokenizer.from_file(path)
+        assert encoder.by_words == known
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder(said)] == [whole.encode(t, add_special_tokens=False).ids for t in said]
