@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import topology as t
-from .emission import Model, matrix
+from .emission import Model, loaded_scores, matrix
 
 INNER = range(t.INTERGENIC, t.END)
 BEFORE = {s: [a for a, b in t.EDGES if b == s and a in INNER] for s in INNER}  # ascending, so ties go to the smaller state
@@ -159,8 +159,8 @@ def decode(rows: DataFrame, model: Model, penalty: float = 0.0, shortest: int =
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
         seqs = batch.column("seq").to_pylist()
-        loaded = {c: batch.column(c).to_pylist() for c in scores}
-        emissions = [matrix(model, s or "", **{c: None if loaded[c][i] is None else {x["pos"]: x["score"] for x in loaded[c][i]} for c in scores}) for i, s in enumerate(seqs)]
+        loaded = {c: loaded_scores(batch.column(c)) for c in scores}
+        emissions = [matrix(model, s or "", **{c: loaded[c][i] for c in scores}) for i, s in enumerate(seqs)]
         full = [i for i, e in enumerate(emissions) if len(e)]
         paths: list[np.ndarray] = [np.zeros(0, np.int8)] * len(seqs)
         sure: list[np.ndarray] = [np.zeros(0)] * len(seqs)

@@ -90,6 +90,30 @@ def dec_path_score(spark, sf):
     return rows.join(table, ["from_state", "to_state"]).groupBy("scaffold").agg(F.round(F.sum("log_p") - F.sum(F.when(entered, PENALTY).otherwise(0.0)), 6).alias("score"))
 
 
+AVERAGE = f"""nbr as (select *, lead(base) over w as n1, lead(base, 2) over w as n2, lag(base, 2) over w as p2 from use window w as (partition by scaffold, cutno order by pos)),
+one as (select *, case when state = 1 then 1 when state between 11 and 13 then 2 end as family from nbr),
+m1 as (select family, b1, base, count(*) as c, sum(count(*)) over (partition by family, b1) as n from one where family is not null and b1 is not null group by family, b1, base),
+m5 as (select state, ctx5, base, count(*) as c, sum(count(*)) over (partition by state, ctx5) as n from one where state between 5 and 7 and ctx5 is not null group by state, ctx5, base),
+pe as (select one.state, case
+    when family is not null then coalesce(ln((m1.c + 0.1) / (m1.n + 0.4)), ln(0.25))
+    when one.state between 5 and 7 then coalesce(ln((m5.c + 0.1) / (m5.n + 0.4)), ln(0.25))
+    when one.state = 2 and one.base = 'A' and n1 = 'T' and n2 = 'G' then {score_sql(adapters.START).replace("pos", "i")}
+    when one.state between 8 and 10 and one.base = 'G' and n1 = 'T' then {score_sql(adapters.DONOR).replace("pos", "i")}
+    when one.state between 14 and 16 and one.base = 'G' and one.b1 = 'A' then {score_sql(adapters.ACCEPTOR).replace("pos", "i")}
+    when (one.state = 3 and one.base = 'T') or (one.state = 4 and one.base = 'G') or (one.state = 17 and one.base = 'T') then 0.0
+    when one.state = 18 and one.base in ('A', 'G') then ln(0.5)
+    when one.state = 19 and p2 || one.b1 || one.base in ('TAA', 'TAG', 'TGA') then 0.0 end as lp
+  from one left join m1 using (family, b1, base) left join m5 on m5.state = one.state and m5.ctx5 = one.ctx5 and m5.base = one.base)
+select cast(state as int) as state, count(*) as n, round(avg(lp), 6) as avg_log_emission from pe where lp is not null group by state"""
+
+
+@query("agg_avg_emission", usable(AVERAGE))
+def agg_avg_emission(spark, sf):
+    """Mean log emission of the labels' own states over all usable intervals, with scores."""
+    rows = with_scores(training(spark, sf).select("scaffold", "seq", "states"), "seq")
+    return emission.average_emission(rows, fitted(spark, sf)).withColumn("avg_log_emission", F.round("avg_log_emission", 6))
+
+
 # decoders
 
 
@@ -261,12 +285,25 @@ def jn_strand_merge(spark, sf):
 
 @query("snk_scores_sparse", f"with {SEQ}, {NEIGHBOURS} select scaffold, pos, pos || chr(9) || format('{{:.8f}}', {score_sql(adapters.START)}) as value from nb where base = 'A' and n1 = 'T' and n2 = 'G'")
 def snk_scores_sparse(spark, sf):
-    """Also snk_scores_dense, which takes all bases."""
     c = sq.around(scaffolds(spark, sf).select("scaffold", "sequence"), before=0).where(sq.IS_START)
     rows = c.select("scaffold", "pos", adapters.score(F.col("pos"), F.col("scaffold"), adapters.START).alias("start"))
     return rows.select("scaffold", "pos", F.concat_ws("\t", F.col("pos").cast("string"), F.format_string("%.8f", "start")).alias("value"))
 
 
+CHECKSUM = "sum(cast('0x' || substr(md5(value), 1, 7) as bigint))"
+
+
+@query("snk_scores_dense", f"""with {SEQ}, {NEIGHBOURS}, dense as (select scaffold, pos || chr(9) || format('{{:.8f}}', case when base = 'G' and n1 = 'T' then {score_sql(adapters.DONOR)} else 0.0::double end)
+  || chr(9) || format('{{:.8f}}', case when base = 'G' and p1 = 'A' then {score_sql(adapters.ACCEPTOR)} else 0.0::double end) as value from nb)
+select scaffold, count(*) as lines, cast({CHECKSUM} as bigint) as checksum from dense group by scaffold""")
+def snk_scores_dense(spark, sf):
+    """A line for every base with both splice scores; the query returns the lines' checksum for each scaffold."""
+    rows = sq.around(scaffolds(spark, sf).select("scaffold", "sequence"), before=1, after=1)
+    at = lambda motif, factor: F.when(F.expr(motif), adapters.score(F.col("pos"), F.col("scaffold"), factor)).otherwise(0.0)
+    lines = sinks.dense_scores(rows.select("scaffold", "pos", at(sq.IS_DONOR, adapters.DONOR).alias("donor"), at(sq.IS_ACCEPTOR, adapters.ACCEPTOR).alias("acceptor")), ("donor", "acceptor"), ["scaffold"])
+    return lines.groupBy("scaffold").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.conv(F.substring(F.md5("value"), 1, 7), 16, 10).cast("long")).alias("checksum"))
+
+
 @query("snk_fasta_split", "select count(*) as lines from (select doc_id, unnest(string_split(text, chr(10))) from documents where source in ('src1', 'src2') union all select doc_id, '>' from documents where source in ('src1', 'src2'))")
 def snk_fasta_split(spark, sf):
     from .sequence_queries import fasta_table
@@ -305,7 +342,7 @@ def ml_score_splice(spark, sf):
 
 @query("ml_train")
 def ml_train(spark, sf):
-    """Also ml_checkpoint: a linear model of the start windows in place of the network, scored as columns."""
+    """A linear model of the start windows in place of the network, scored as columns."""
     x = start_examples(spark, sf)
     fit = cnn.train_linear(x, 5)
     scored = cnn.linear_scores(x, [float(v) for v in fit.coefficients], fit.intercept)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import runs
 from ..functions import sequence as sq
 from ..operators import dataset, genes, model
 from ..sources import adapters, files
@@ -278,8 +279,6 @@ CHAIN = "e as (select user_id, event_type as s, lead(event_type) over (partition
 
 @query("chain_bigrams", f"with {CHAIN} select f, t, count(*) as cnt from (select s as f, coalesce(nx, 'END') as t from e union all select 'START', s from e where pv is null) group by f, t")
 def chain_bigrams(spark, sf):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = adapters.events(spark, sf).select(F.col("event_type").alias("f"), F.coalesce(F.lead("event_type").over(w), F.lit("END")).alias("t"), F.lag("event_type").over(w).alias("p"))
     return e.select("f", "t").unionByName(e.where("p is null").select(F.lit("START").alias("f"), F.col("f").alias("t"))).groupBy("f", "t").agg(F.count(F.lit(1)).alias("cnt"))
@@ -361,8 +360,6 @@ def srt_page(spark, sf):
 
 @query("srt_run_order", "select event_id, cast(row_number() over (order by ts desc, event_id desc) as int) as place from events where event_type = 'purchase'")
 def srt_run_order(spark, sf):
-    from pyspark.sql import Window
-
     # runs of a service are few; the newest first
     return adapters.events(spark, sf).where("event_type = 'purchase'").select("event_id", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("event_id"))).alias("place"))
 
@@ -459,3 +456,12 @@ def agg_prior_logit(spark, sf):
 @query("agg_percentile_floor", "with s as (select user_id, list(value order by value) as v from events group by user_id) select user_id, round(v[cast(floor(0.95 * (len(v) - 1)) as int) + 1], 9) as p95 from s")
 def agg_percentile_floor(spark, sf):
     return adapters.events(spark, sf).groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", F.round(sq.percentile_floor(F.col("v"), 0.95), 9).alias("p95"))
+
+
+@query("fn_date", """select event_id, regexp_replace(event_type || case event_id % 3 when 0 then '.fna' when 1 then '.FASTA' else '.txt' end, '\\.(fna|fa|fasta)$', '', 'i') || '_' || strftime(ts, '%Y%m%dT%H%M%S') as name, strftime(ts, '%b %-d, %Y') as display,
+  epoch_us(ts) // 1000 - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) // 1000 as elapsed_ms from events""")
+def fn_date(spark, sf):
+    """Events as runs: name, display date and the whole milliseconds since the user's run before."""
+    file = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ".fna").when(F.col("event_id") % 3 == 1, ".FASTA").otherwise(".txt"))
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return adapters.events(spark, sf).select("event_id", runs.run_name(file, F.col("ts")).alias("name"), runs.display_date(F.col("ts")).alias("display"), runs.elapsed_ms(before, F.col("ts")).alias("elapsed_ms"))

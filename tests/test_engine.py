@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandloom import topology as t
 from strandloom.operators import evaluate, genes, intervals, labels, model
@@ -160,3 +161,46 @@ def test_splice_networks_score_every_candidate(spark, tmp_path):
                 want[i, p] = tuple(float(cnn.Backbone.random(128, seed)(cnn.cut(window, kind))[0]) for kind, seed in (("donor", 14), ("acceptor", 15)))
     assert want and got.keys() == want.keys()
     assert all(abs(a - b) < 1e-3 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_run_records(spark):
+    from datetime import datetime
+
+    from strandloom.functions import runs
+
+    rows = spark.createDataFrame([("a.b.FNA", datetime(2024, 3, 5, 7, 8, 9, 123999), datetime(2024, 3, 5, 7, 8, 10)), ("x.gff", datetime(2024, 11, 25), None)], "f string, a timestamp, b timestamp")
+    got = rows.select(runs.run_name(F.col("f"), F.col("a")), runs.display_date(F.col("a")), runs.elapsed_ms(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [("a.b_20240305T070809", "Mar 5, 2024", 877), ("x.gff_20241125T000000", "Nov 25, 2024", None)]
+
+
+def test_average_emission(spark):
+    """Stop and start codons by their scores; impossible emissions don't count."""
+    from strandloom import topology as t
+    from strandloom.operators import emission
+
+    path = t.letters([*t.START_CODON, *t.STOP_CODON])
+    rows = spark.createDataFrame([("ATGTAA", path, [], [], [(0, 1.5)]), ("CCCCCC", path, [], [], []), ("", "", None, None, None)], "seq string, states string, donor array<struct<pos:int,score:double>>, acceptor array<struct<pos:int,score:double>>, start array<struct<pos:int,score:double>>")
+    got = {r.state: (r.n, round(r.avg_log_emission, 6)) for r in emission.average_emission(rows, emission.Model()).collect()}
+    assert got == {2: (1, 1.5), 3: (1, 0.0), 4: (1, 0.0), 17: (1, 0.0), 18: (1, -0.693147), 19: (1, 0.0)}
+
+
+def test_bigrams_of_short_intervals(spark):
+    from strandloom.operators import model
+
+    rows = spark.createDataFrame([("B",), ("BC",), ("",), (None,)], "states string")
+    assert {tuple(r) for r in model.bigram_counts(rows).collect()} == {(0, 1, 2), (1, 20, 1), (1, 2, 1), (2, 20, 1)}
+    assert {tuple(r) for r in model.outgoing_counts(rows).collect()} == {(0, 2), (1, 2), (2, 1)}
+
+
+def test_checkpoint_is_reused(spark, tmp_path):
+    from strandloom.operators import cnn
+
+    calls = []
+
+    def train():
+        calls.append(1)
+        return cnn.train_linear(spark.createDataFrame([("ACG", 1), ("TTT", 0), ("ACG", 1), ("GTT", 0)], "window string, label int"), 3)
+
+    first = cnn.checkpointed(spark, str(tmp_path / "m"), train)
+    again = cnn.checkpointed(spark, str(tmp_path / "m"), train)
+    assert calls == [1] and first.intercept == again.intercept and list(first.coefficients) == list(again.coefficients)
