@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cnn, fingerprint, lines, minhash, neighbours, pieces, suffixes, toxicity
+from . import annulus, chat, cnn, fingerprint, lines, minhash, neighbours, pieces, pivots, suffixes, toxicity, urls
 from .packing import pack_documents
 
 
@@ -89,6 +89,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "parity", exact.alias("decodes"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# fixed values: verdict, host and path of the rules for pages
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return pivots.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), label, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprint": op2_fingerprint,
@@ -101,8 +118,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_neighbours": op9_neighbours,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_url_filter": op11_url_filter,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
+def url_filter_sql() -> str:
+    """op11_url_filter; components by recursion over the pairs that reach each other."""
+    host = r"translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = r"coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    value = r"""\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    attribute = lambda tag, name: "concat(" + ", ".join(f"regexp_extract({tag}, '(?i)\\s{name}{value}', {i})" for i in (1, 2, 3)) + ")"
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    rule = "(select {0} from rules where (h = {1} or ends_with({1}, '.' || h)) and starts_with({2}, p) order by length(h || p) desc, length(h) desc limit 1)"
+    content = attribute("t", "content")
+    return rf"""
+        with recursive rules(v, h, p) as (values {rules}),
+        p0 as (select page_id, url, {host.format("url")} as host, {path.format("url")} as path, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g') as code from pages),
+        tags as (select url, unnest(regexp_extract_all(code, '(?i)<(?:link|meta)\b[^>]*>')) as t from p0 where url is not null),
+        links as (select url, {attribute("t", "href")} as link from tags where t ilike '<link%' and regexp_matches({attribute("t", "rel")}, '(?i)(^|\s)canonical(\s|$)') and regexp_matches(t, '(?i)\shref{value}')
+            union all select url, regexp_extract({content}, '(?i)[;,\s]\s*url\s*=\s*["'']?([^"'']*)', 1) from tags
+            where t ilike '<meta%' and regexp_matches({attribute("t", "http-equiv")}, '(?i)^\s*refresh\s*$') and regexp_matches({content}, '(?i)[;,\s]\s*url\s*=')),
+        l1 as (select url, replace(trim(link), '&amp;', '&') as link, regexp_extract(url, '^\s*([A-Za-z]+):', 1) as scheme, regexp_extract(url, '^\s*([A-Za-z]+://[^/?#]*)', 1) as site,
+            case when {path.format("url")} = '' then '/' else {path.format("url")} end as path from links),
+        l2 as (select url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') or site = '' then null
+            when starts_with(link, '//') then scheme || ':' || link when starts_with(link, '/') then site || link when starts_with(link, '?') then site || path || link
+            when link = '' or starts_with(link, '#') then regexp_extract(url, '(?s)^([^#]*)', 1) else site || regexp_extract(path, '(?s)^(.*/)', 1) || link end as target from l1),
+        known as (select distinct u from (select url as u from pages union all select url from l2 union all select target from l2) where u is not null),
+        n1 as (select u, lower(regexp_extract(u, '^\s*([A-Za-z]+)://', 1)) as scheme, {host.format("u")} as host, {path.format("u")} as path, rtrim(regexp_extract(u, '(?s)^[^?#]*(\?[^#]*)', 1)) as query from known),
+        n2 as (select *, list_reduce(string_split(path, '/')[2:], lambda kept, part: case when part = '.' then kept when part = '..' then regexp_replace(kept, '/[^/]*$', '') else kept || '/' || part end, '') as flat from n1),
+        node as (select u, scheme || '://' || host || case when path = '' then '/' when regexp_matches(path, '/\.\.?(/|$)') then flat || case when regexp_matches(path, '/\.\.?$') then '/' else '' end else path end || query as n
+            from n2 where scheme in ('http', 'https') and host <> ''),
+        e as (select distinct a.n as a, b.n as b from l2 join node a on a.u = l2.url join node b on b.u = l2.target where a.n <> b.n),
+        both_ as (select a, b from e union select b, a from e),
+        reach(a, b) as (select a, a from both_ union select reach.a, both_.b from reach join both_ on reach.b = both_.a),
+        parts as (select a as n, min(b) as part from reach group by a),
+        blocked as (select part, count(*) as aliases, bool_or(coalesce({rule.format("v", host.format("n"), path.format("n"))} = 'block', false)) as hit from parts group by part),
+        own as (select p0.*, {rule.format("h || p", "p0.host", "p0.path")} as rule, {rule.format("v", "p0.host", "p0.path")} as v from p0)
+        select page_id, host, path, rule, coalesce(v, case when hit then 'block' end, 'allow') as verdict, coalesce(aliases, 1) as aliases
+        from own left join node on own.url = node.u left join parts on parts.n = node.n left join blocked on blocked.part = parts.part"""
+
+
+def finite_sql(scale: int) -> str:
+    """Rows of embeddings that take part, with x, the floors as doubles."""
+    return f"select *, list_transform(embedding, lambda c: floor(c::double * {scale})) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0"
+
+
+def vector_codes_sql(rounds: int = 4) -> str:
+    """op12_vector_codes for vectors of one length that 4 divides, with unique vec_ids."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} as materialized (select r.id, r.p, arg_min(b.e, (d, b.e)) as e, min(d) as d from (select r.id, r.p, b.e, r.n + b.n - 2 * list_inner_product(r.v, b.v) as d from rows_ r join b{i} b using (p)) r, (select 0 as e) z, lateral (select r.e as e) b group by r.id, r.p)""")
+        if i < rounds:
+            steps.append(f"""m{i} as (select p, e, list(m order by j) as v from (select d.p, d.e, j, floor(sum(r.v[j]) / count(*)) as m from d{i} d join rows_ r on r.id = d.id and r.p = d.p, (select unnest(range(1, w + 1)) as j from w_) group by d.p, d.e, j) group by p, e),
+        b{i + 1} as materialized (select b.p, b.e, coalesce(m.v, b.v) as v, list_inner_product(coalesce(m.v, b.v), coalesce(m.v, b.v)) as n from b{i} b left join m{i} m on m.p = b.p and m.e = b.e)""")
+    return f"""
+        with k as ({finite_sql(1024)}), w_ as (select max(len(x)) // 4 as w from k),
+        i_ as (select vec_id, label, x, row_number() over (order by vec_id nulls last, x) as id from k),
+        rows_ as materialized (select id, p, v, list_inner_product(v, v) as n from (select id, p, x[p * w + 1 : (p + 1) * w] as v from i_, w_, (select unnest(range(4)) as p))),
+        b0 as materialized (select p, id - 1 as e, v, n from rows_ where id <= 256),
+        {", ".join(steps)},
+        coded as (select id, string_agg(printf('%02x', e::int), '' order by p) as code, cast(sum(d) as bigint) as error from d{rounds} group by id)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+               (select sha256(string_agg(array_to_string(list_transform(v, lambda c: cast(c as bigint)), ','), ',' order by p, e)) from b{rounds}) as codebooks_sha256
+        from i_ join coded using (id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": r"""
         with e as (
@@ -149,4 +230,15 @@ ORACLE_SQL: dict[str, str] = {
                  from n left join gone on n.ink and n.place = gone.place and n.k = gone.k group by n.place)
         select x.doc_id, kept.n_lines, kept.n_removed, kept.kept_sha256
         from documents x join o on x.doc_id is not distinct from o.doc_id and coalesce(x.text, '') = o.text join kept using (place)""",
+    "op11_url_filter": url_filter_sql(),
+    "op12_vector_codes": vector_codes_sql(),
+    "op13_hard_negatives": f"""
+        with k as ({finite_sql(256)} and label is not null),
+        r as (select vec_id, x, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, row_number() over (order by vec_id nulls last, x) as id from k),
+        s as (select a.id as a, a.vec_id as anchor_id, b.id as b, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.x, b.x) as bigint) as score
+            from r a join r b on a.id <> b.id where a.vec_id % 100 = 0),
+        pos as (select * from s where same qualify row_number() over (partition by a order by score desc, other nulls last, b) <= 5)
+        select pos.anchor_id, pos.other as positive_id, cast(row_number() over w as int) as rank, s.other as negative_id, pos.score as positive_score, s.score as negative_score
+        from pos join s on s.a = pos.a and not s.same and 30 * pos.score <= 100 * s.score and 100 * s.score <= 90 * pos.score
+        window w as (partition by pos.a, pos.b order by s.score desc, s.other nulls last) qualify row_number() over w <= 10""",
 }
