@@ -11,7 +11,7 @@ the sample, one row of totals and the cells' sizes and extremes (`PIVOTS` rows).
 
 Defined cases: rows with null label, null vector, or null or non-finite components take no part; vectors of unlike lengths are continued by zeros; rows that
 repeat are rows of their own, also with one vec_id, and each is another row to the other; rows without vec_id are never anchors, come after
-others of the same score, and return as null; scores beyond the range of a long are returned as its ends; components that scaling takes out of the
+others of the same score, and return as null; scores beyond the range of a long count as its ends; components that scaling takes out of the
 range of a double count as +-1e300; an anchor without positives, or a positive without negatives, yields no rows; an empty table yields no rows; extra
 columns are ignored.
 """
@@ -59,13 +59,17 @@ def in_range(scores: np.ndarray) -> np.ndarray:
 
 
 def augmented(x: np.ndarray, most: float) -> np.ndarray:
-    """Rows with the component that gives them all the norm sqrt(most)."""
+    """Rows with the component that gives them all the norm sqrt(most); NaN where doubles can't hold that, and NaN rules nothing out."""
     return np.concatenate([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]], 1)
 
 
 def choose_pivots(sample: np.ndarray, most: float, count: int = PIVOTS) -> np.ndarray:
     """Augmented rows far from each other: each next one is the farthest from those chosen."""
-    x = augmented(sample, most)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _far_apart(augmented(sample, most), count)
+
+
+def _far_apart(x: np.ndarray, count: int) -> np.ndarray:
     chosen = [0]
     far = np.sqrt(((x - x[0]) ** 2).sum(1))
     while len(chosen) < min(count, len(x)) and far.max() > 0:
@@ -94,7 +98,7 @@ def prepared(vectors: DataFrame, label: Column, is_anchor: Column) -> DataFrame:
     whole = F.transform(v, lambda x: F.least(F.greatest(F.lit(-1e300), x * float(SCALE)), F.lit(1e300)))
     # beyond 2**53 every double is whole
     floors = F.transform(whole, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
-    rows = vectors.where(fine & F.col("label").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "vec_id", label.cast("long").alias("label"), floors.alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("is_anchor"))
+    rows = vectors.where(fine & F.col("label").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), label.cast("long").alias("label"), floors.alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("is_anchor"))
     return rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
 
 
@@ -182,13 +186,13 @@ def mine(vectors: DataFrame, label: Column, is_anchor: Column, positives: int =
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column("v"), width)
-                far = distances(augmented(x, most), pivots)
-                asked = distances(np.concatenate([x, np.zeros((len(x), 1))], 1), pivots)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    far = distances(augmented(x, most), pivots)
+                    asked = distances(np.concatenate([x, np.zeros((len(x), 1))], 1), pivots)
                 each = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, each(far), each(asked), pa.array(far.argmin(1), pa.int32())], [*batch.schema.names, "far", "asked", "home"])
 
-    kinds = dict(rows.dtypes)
-    table = stored(rows.mapInArrow(measure, f"row long, vec_id {kinds['vec_id']}, label long, v array<double>, is_anchor boolean, norm double, far array<double>, asked array<double>, home int"))
+    table = stored(rows.mapInArrow(measure, "row long, vec_id long, label long, v array<double>, is_anchor boolean, norm double, far array<double>, asked array<double>, home int"))
     discard(rows)
     ends = [f(F.col("far")[i]).alias(f"{n}{i}") for i in range(len(pivots)) for n, f in (("low", F.min), ("high", F.max))]
     cells = table.groupBy("home").agg(F.count(F.lit(1)).alias("n"), *ends).collect()  # a row for each pivot
@@ -228,13 +232,13 @@ def mine(vectors: DataFrame, label: Column, is_anchor: Column, positives: int =
                 for i, asked in enumerate(batch.column("positives").to_pylist()):
                     least, best = bracket(of_q[i], low, high, most + float(q[i] @ q[i]))
                     scores = [p["score"] for p in asked if p["score"] >= 0]
-                    out.append([cells[j]["home"] for j in range(len(cells)) if any(best[j] >= LEAST * s / 100 and least[j] <= MOST * s / 100 for s in scores)])
+                    out.append([cells[j]["home"] for j in range(len(cells)) if any(not (best[j] < LEAST * s / 100 or least[j] > MOST * s / 100) for s in scores)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "homes"])
 
     able = anchors.join(lists.withColumnRenamed("anchor_row", "row"), "row")
-    able = able.mapInArrow(reach, f"row long, vec_id {kinds['vec_id']}, label long, v array<double>, far array<double>, block int, positives array<struct<row:long,score:long>>, homes array<int>")
+    able = able.mapInArrow(reach, "row long, vec_id long, label long, v array<double>, far array<double>, block int, positives array<struct<row:long,score:long>>, homes array<int>")
     hard = visiting(able, F.col("homes")).groupBy(*key).cogroup(cell.groupBy(*key)).applyInArrow(meet(negatives_of, negatives), "anchor_row long, positive_row long, negative_id long, negative_score long")
     order = Window.partitionBy("anchor_row", "positive_row").orderBy(F.desc("negative_score"), F.col("negative_id").asc_nulls_last())
     best = hard.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
-    named = chosen.join(table.where("is_anchor").select(F.col("row").alias("anchor_row"), F.col("vec_id").cast("long").alias("anchor_id")), "anchor_row")
+    named = chosen.join(table.where("is_anchor").select(F.col("row").alias("anchor_row"), F.col("vec_id").alias("anchor_id")), "anchor_row")
     return best.join(named, ["anchor_row", "positive_row"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
