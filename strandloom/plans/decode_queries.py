@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import topology as t
 from ..functions import sequence as sq
 from ..operators import cnn, dataset, decode, emission, evaluate, genes, labels, model
+from ..operators import training as training_of
 from ..sources import adapters
 from ..sources.adapters import features, scaffolds
 from ..sinks import files as sinks
+from ..storage import file_system, shared_folder, stored
 from .annotation_queries import start_examples, training
 from .oracle import SEQ, labelled, usable
 from .registry import query
@@ -334,21 +339,78 @@ def ml_score(spark, sf):
 @query("ml_score_splice")
 def ml_score_splice(spark, sf):
     """Also ml_splice_cnn: the donor and the acceptor network (random weights) over the windows of all splice candidates."""
-    s = scaffolds(spark, sf)
-    windows = dataset.splice_candidates(s).join(s.select("scaffold", "sequence"), "scaffold").select("scaffold", "pos", sq.window_at(F.col("sequence"), F.col("pos"), cnn.RADIUS).alias("window"))
     nets = {"donor": cnn.Backbone.random(seed=14), "acceptor": cnn.Backbone.random(seed=15)}
-    return cnn.score_windows(windows, nets).select("scaffold", "pos", F.round("donor", 4).alias("donor"), F.round("acceptor", 4).alias("acceptor"))
+    found = cnn.score_candidates(scaffolds(spark, sf).select("scaffold", "sequence"), nets, "splice")
+    return found.select("scaffold", "pos", F.round("donor", 4).alias("donor"), F.round("acceptor", 4).alias("acceptor"))
+
+
+def species_examples(spark, sf) -> DataFrame:
+    """Windows around every start candidate, labelled by whether the species is `en`: what no single position tells."""
+    s = scaffolds(spark, sf)
+    windows = dataset.start_candidates(s).join(s, "scaffold").select("scaffold", "pos", (F.col("species") == "en").cast("int").alias("label"), sq.window_at(F.col("sequence"), F.col("pos"), cnn.RADIUS).alias("window"))
+    return windows.where("label is not null")
+
+
+CHANNELS, EPOCHS, RATE = 24, 6, 4e-3  # of the networks trained here
+
+
+def learned(examples: DataFrame):
+    """The state fitted to nine tenths of the examples, the held-out tenth with the network's logits, and the training share."""
+    rows = stored(dataset.split_validation(examples, ["scaffold", "pos"]))
+    fit, held_out = rows.where("not is_validation"), rows.where("is_validation")
+    state = training_of.train(fit, "start", ["scaffold", "pos"], CHANNELS, EPOCHS, RATE)
+    return state, stored(cnn.score_windows(held_out, {"start": state.network()}).withColumnRenamed("start", "logit")), fit
 
 
 @query("ml_train")
 def ml_train(spark, sf):
-    """A linear model of the start windows in place of the network, scored as columns."""
+    """Networks trained on the start examples and on windows of species, and the linear models beside them: average precision on the held-out tenth."""
+    out = None
+    for name, x in (("start", start_examples(spark, sf)), ("species", species_examples(spark, sf))):
+        state, held_out, fit = learned(x)
+        line = cnn.train_linear(fit, 10)
+        linear = cnn.linear_scores(held_out.drop("logit"), [float(v) for v in line.coefficients], line.intercept)
+        for model_name, scored in (("network", held_out), ("linear", linear)):
+            ap = evaluate.average_precision(scored.select("label", F.col("logit").alias("score"), F.struct("scaffold", "pos").alias("tie")))
+            n = scored.agg(F.count(F.lit(1)).alias("held_out"), F.sum("label").alias("positives"))
+            row = ap.crossJoin(n).select(F.lit(name).alias("examples"), F.lit(model_name).alias("model"), "held_out", "positives", F.round("average_precision", 4).alias("average_precision"), F.lit(round(state.losses[-1], 4)).alias("training_loss"))  # one row each
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("ml_train_linear")
+def ml_train_linear(spark, sf):
+    """A linear model of the start windows, scored as columns."""
     x = start_examples(spark, sf)
     fit = cnn.train_linear(x, 5)
     scored = cnn.linear_scores(x, [float(v) for v in fit.coefficients], fit.intercept)
     return scored.select("scaffold", "pos", "label", F.round("logit", 6).alias("logit"))
 
 
+@query("ml_score_strands")
+def ml_score_strands(spark, sf):
+    """A start network trained on the examples, calibrated on the held-out tenth, over all candidates of both strands; positions on strand - count on the
+    reversed sequence."""
+    state, held_out, fit = learned(start_examples(spark, sf))
+    temperature = evaluate.fit_temperature_of(held_out, "logit", "label")
+    prior = fit.agg(evaluate.prior_logit(F.col("label"))).first()[0]
+    found = cnn.score_candidates(cnn.both_strands(scaffolds(spark, sf).select("species", "scaffold", "sequence")), {"start": state.network()}, "start")
+    return found.select("species", "scaffold", "strand", "pos", F.round(cnn.calibrated(F.col("start"), temperature, prior), 4).alias("score"))
+
+
+@query("ml_checkpoint")
+def ml_checkpoint(spark, sf):
+    """A run cut behind its first epoch and taken up again, and one that wasn't cut: epochs, steps and a digest of the weights."""
+    x = stored(start_examples(spark, sf))
+    own = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    step = lambda name, **kw: training_of.train(x, "start", ["scaffold", "pos"], 4, 3, folder=f"{own}/{name}", **kw)
+    step("cut", stop_after=1)
+    rows = [(name, s.epoch, s.step, hashlib.sha256(s.weights.tobytes()).hexdigest()) for name, s in ((name, step(name)) for name in ("cut", "uncut"))]
+    files, where = file_system(spark, own)
+    files.delete(where, True)
+    return spark.createDataFrame(rows, "run string, epochs int, steps int, weights_sha256 string")
+
+
 @query("agg_fit_temperature")
 def agg_fit_temperature(spark, sf):
     """The temperature for all events as logits: their values less the mean."""
