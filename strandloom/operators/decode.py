@@ -1,19 +1,29 @@
-"""Viterbi and Forward-Backward over many intervals at once.
+"""Viterbi and Forward-Backward over many intervals at once, and over intervals of any length.
 
 The recurrences are sequential in the position and independent between intervals, so a batch of intervals of similar length goes through them in
 lockstep: one numpy step advances all of them by a base, along the 32 legal edges only. Backpointers take one byte a state and base.
+
+*Long intervals.* What a part of a sequence does to the scores before it is a 19 x 19 matrix: the best score (or the log-sum) from every state at the last base
+before it to every state at its last base. Matrices combine associatively, so an interval above `CHUNK` bases is cut into chunks: parallel tasks make their
+matrices, a scan over an interval's few matrices gives the scores before (and, for posteriors, behind) every chunk, and parallel tasks decode the
+chunks between them. Scores are multiples of `QUANTUM`, which makes their sums exact, so chunks give the very path that one pass gives, ties
+included. Bounds or a distribution of intron lengths depend on the path taken and don't combine; such intervals go chunk by chunk in one task, which keeps
+the scores between chunks and makes the backpointers again on the way back. No task holds more than a chunk's arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import topology as t
-from .emission import Model, loaded_scores, matrix
+from ..storage import discard, stored
+from .emission import BEFORE_PART, BEHIND_PART, Model, loaded_scores, matrix, part_matrix
 
 INNER = range(t.INTERGENIC, t.END)
 BEFORE = {s: [a for a, b in t.EDGES if b == s and a in INNER] for s in INNER}  # ascending, so ties go to the smaller state
@@ -30,8 +40,17 @@ def _padded(neighbours: dict[int, list[int]]) -> np.ndarray:
 
 
 SOURCES, TARGETS = _padded(BEFORE), _padded(AFTER)
+CHUNK = 16_384
 BATCH_BASES = 400_000
+LANE_BASES = 40_000  # of chunks whose matrices are made together: each has a lane for every state
 UNLIMITED = np.iinfo(np.int64).max
+QUANTUM = 2.0**-24  # sums stay exact up to 2**29, some 200 million bases
+SCORES = ("donor", "acceptor", "start")
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Multiples of QUANTUM."""
+    return np.round(x / QUANTUM) * QUANTUM
 
 
 def _stack(emissions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,120 +61,237 @@ def _stack(emissions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def viterbi(model: Model, emissions: list[np.ndarray], penalty: float = 0.0, shortest: int = 0, longest: int = UNLIMITED, pmf: np.ndarray | None = None) -> list[np.ndarray]:
-    """Best paths. shortest, longest: bounds of an intron's body along the best path; pmf: log probabilities of its length, which replace the
-    self-loop's cost. Without any possible path the states are 0."""
-    if not emissions:
-        return []
-    e, sizes = _stack(emissions)
-    steps, n, _ = e.shape
-    trans = model.trans.copy()
-    if pmf is not None:
-        for s in t.INTRON:
-            trans[s, s] = 0.0
-    score = model.trans[t.START][None, :] + e[0]
-    score[:, [t.START, t.END]] = t.NEG_INF
-    back = np.zeros((steps, n, 21), np.int8)
-    bounded = shortest > 0 or longest < UNLIMITED or pmf is not None
-    intron, acceptor = list(t.INTRON), list(t.ACCEPTOR)
-    body = np.zeros((n, 21), np.int64)
-    body[:, intron] = 1
-    last = score.copy()
-    cost = trans[SOURCES, np.arange(21)[:, None]]
-    cost[SOURCES == t.START] = t.NEG_INF
-    entry = int(np.flatnonzero(SOURCES[t.START_CODON[0]] == t.INTERGENIC)[0])
-    loops = SOURCES[intron] == np.array(intron)[:, None]
-    with np.errstate(invalid="ignore"):
-        for i in range(1, steps):
-            value = score[:, SOURCES] + cost
-            if penalty:
-                value[:, t.START_CODON[0], entry] -= penalty
-            value += e[i][:, :, None]
-            if bounded:
-                here = body[:, intron]
-                value[:, intron] = np.where(loops & (here >= longest)[:, :, None], t.NEG_INF, value[:, intron])
-                leave = np.where(here >= shortest, 0.0 if pmf is None else pmf[np.minimum(here, len(pmf) - 1)], t.NEG_INF)
-                value[:, acceptor, 0] += leave
-            pick = value.argmax(2)
-            score = np.take_along_axis(value, pick[:, :, None], 2)[:, :, 0]
-            chosen = np.where(score > t.NEG_INF, SOURCES[np.arange(21), pick], t.START)
-            back[i] = chosen
-            if bounded:
-                stay = chosen[:, intron] == intron
-                grown = np.where(stay, body[:, intron] + 1, 1)
-                body[:, intron] = np.where(chosen[:, intron] == t.START, 0, grown)
+class Best:
+    """The max-product recurrence. shortest, longest: bounds of an intron's body along the best path; pmf: log probabilities of its length, which replace
+    the self-loop's cost."""
+
+    def __init__(self, model: Model, penalty: float = 0.0, shortest: int = 0, longest: int = UNLIMITED, pmf: np.ndarray | None = None):
+        self.begin, self.end = whole(model.trans[t.START]), whole(model.trans[:, t.END])
+        trans = whole(model.trans)
+        if pmf is not None:
+            for s in t.INTRON:
+                trans[s, s] = 0.0
+        self.cost = trans[SOURCES, np.arange(21)[:, None]]
+        self.cost[SOURCES == t.START] = t.NEG_INF
+        entry = int(np.flatnonzero(SOURCES[t.START_CODON[0]] == t.INTERGENIC)[0])
+        self.cost[t.START_CODON[0], entry] -= whole(np.array(penalty))
+        self.shortest, self.longest, self.pmf = shortest, longest, None if pmf is None else whole(pmf)
+        self.bounded = shortest > 0 or longest < UNLIMITED or pmf is not None
+        self.intron, self.acceptor = list(t.INTRON), list(t.ACCEPTOR)
+        self.loops = SOURCES[self.intron] == np.array(self.intron)[:, None]
+
+    def first(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (n, 21) at the first base of an interval, and lengths of intron bodies."""
+        score = self.begin[None, :] + e
+        score[:, [t.START, t.END]] = t.NEG_INF
+        body = np.zeros(score.shape, np.int64)
+        body[:, self.intron] = 1
+        return score, body
+
+    def step(self, score: np.ndarray, body: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and bodies one base on, and the states that they come from."""
+        value = score[:, SOURCES] + self.cost
+        value += e[:, :, None]
+        if self.bounded:
+            here = body[:, self.intron]
+            value[:, self.intron] = np.where(self.loops & (here >= self.longest)[:, :, None], t.NEG_INF, value[:, self.intron])
+            leave = np.where(here >= self.shortest, 0.0 if self.pmf is None else self.pmf[np.minimum(here, len(self.pmf) - 1)], t.NEG_INF)
+            value[:, self.acceptor, 0] += leave
+        pick = value.argmax(2)
+        score = np.take_along_axis(value, pick[:, :, None], 2)[:, :, 0]
+        chosen = np.where(score > t.NEG_INF, SOURCES[np.arange(21), pick], t.START)
+        if self.bounded:
+            stay = chosen[:, self.intron] == self.intron
+            grown = np.where(stay, body[:, self.intron] + 1, 1)
+            body = body.copy()
+            body[:, self.intron] = np.where(chosen[:, self.intron] == t.START, 0, grown)
+        return score, body, chosen
+
+    def run(self, e: np.ndarray, sizes: np.ndarray, before: np.ndarray | None = None, opening: np.ndarray | None = None, body: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backpointers (steps, n, 21) and, for each lane, scores and bodies at its last base. before: scores (n, 21) in front of the lanes that aren't
+        `opening` an interval."""
+        score, bodies = self.first(e[0])
+        back = np.zeros(e.shape, np.int8)
+        if before is not None:
+            on, grown, chosen = self.step(before, np.zeros(before.shape, np.int64) if body is None else body, e[0])
+            score, bodies = np.where(opening[:, None], score, on), np.where(opening[:, None], bodies, grown)
+            back[0] = np.where(opening[:, None], 0, chosen)
+        last, last_body = score.copy(), bodies.copy()
+        for i in range(1, len(e)):
+            score, bodies, back[i] = self.step(score, bodies, e[i])
             ending = sizes == i + 1
             if ending.any():
-                last[ending] = score[ending]
-    final = last + model.trans[:, t.END][None, :]
-    final[:, [t.START, t.END]] = t.NEG_INF
-    end = np.where(np.isfinite(final).any(1), final.argmax(1), t.START)
-    paths = np.zeros((steps, n), np.int8)
-    state, every = np.zeros(n, np.int64), np.arange(n)
+                last[ending], last_body[ending] = score[ending], bodies[ending]
+        return back, last, last_body
+
+    def ends(self, last: np.ndarray) -> np.ndarray:
+        """The state at the last base of each interval; 0 if no path is possible."""
+        final = last + self.end[None, :]
+        final[:, [t.START, t.END]] = t.NEG_INF
+        return np.where(np.isfinite(final).any(1), final.argmax(1), t.START)
+
+
+def traced(back: np.ndarray, sizes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Paths (steps, n) that end in the given states, and the states in front of them."""
+    steps, n, _ = back.shape
+    paths, state, every = np.zeros((steps, n), np.int8), np.zeros(n, np.int64), np.arange(n)
     for i in range(steps - 1, -1, -1):
         state = np.where(sizes == i + 1, end, state)
         paths[i] = state
-        state = back[i, every, state]
-    return [paths[: sizes[k], k] for k in range(n)]
+        state = back[i, every, state].astype(np.int64)
+    return paths, state
+
+
+def viterbi(model: Model, emissions: list[np.ndarray], penalty: float = 0.0, shortest: int = 0, longest: int = UNLIMITED, pmf: np.ndarray | None = None) -> list[np.ndarray]:
+    """Best paths of whole intervals, in lockstep. Without any possible path the states are 0."""
+    if not emissions:
+        return []
+    best = Best(model, penalty, shortest, longest, pmf)
+    e, sizes = _stack([whole(x) for x in emissions])
+    with np.errstate(invalid="ignore"):
+        back, last, _ = best.run(e, sizes)
+        paths, _ = traced(back, sizes, best.ends(last))
+    return [paths[: sizes[k], k] for k in range(len(sizes))]
+
+
+def viterbi_in_turn(best: Best, part: Callable[[int], np.ndarray], chunks: int) -> np.ndarray:
+    """The best path of one interval whose emissions come chunk by chunk, also with intron lengths: scores and bodies between chunks are kept, and
+    backpointers made again from the last chunk back."""
+    before, bodies, opening, kept = None, None, np.array([True]), []
+    with np.errstate(invalid="ignore"):
+        for c in range(chunks):
+            e = whole(part(c))
+            kept.append((before, bodies, opening))
+            _, before, bodies = best.run(e[:, None], np.array([len(e)]), before, opening, bodies)
+            opening = np.array([False])
+        state, pieces = best.ends(before), []
+        for c in range(chunks - 1, -1, -1):
+            e = whole(part(c))
+            own, bodies, opening = kept[c]
+            back, _, _ = best.run(e[:, None], np.array([len(e)]), own, opening, bodies)
+            path, state = traced(back, np.array([len(e)]), state)
+            pieces.append(path[:, 0])
+    return np.concatenate(pieces[::-1])
+
+
+class Sums:
+    """The sum-product recurrences, in logarithms."""
+
+    def __init__(self, model: Model, penalty: float = 0.0):
+        trans = model.trans.copy()
+        trans[t.INTERGENIC, t.START_CODON[0]] -= penalty
+        self.begin, self.end = model.trans[t.START].copy(), model.trans[:, t.END].copy()
+        self.begin[[t.START, t.END]] = self.end[[t.START, t.END]] = t.NEG_INF
+        self.into, self.out_of = trans[SOURCES, np.arange(21)[:, None]], trans[np.arange(21)[:, None], TARGETS]
+        self.into[SOURCES == t.START] = self.out_of[TARGETS == t.START] = t.NEG_INF
+
+    def forward(self, e: np.ndarray, before: np.ndarray | None = None, opening: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """Columns (n, 21) from the first base on."""
+        column = self.begin + e[0]
+        if before is not None:
+            column = np.where(opening[:, None], column, np.logaddexp.reduce(before[:, SOURCES] + self.into, axis=2) + e[0])
+        yield column
+        for x in e[1:]:
+            column = np.logaddexp.reduce(column[:, SOURCES] + self.into, axis=2) + x
+            yield column
+
+    def backward(self, e: np.ndarray, sizes: np.ndarray, behind: np.ndarray) -> Iterator[np.ndarray]:
+        """Columns (n, 21) from the last base back; behind: those at each lane's own last base."""
+        column = np.full(behind.shape, t.NEG_INF)
+        for i in range(len(e) - 1, -1, -1):
+            if i + 1 < len(e):
+                column = np.logaddexp.reduce((e[i + 1] + column)[:, TARGETS] + self.out_of, axis=2)
+            closing = sizes == i + 1
+            column[closing] = behind[closing]
+            yield column
 
 
 def posteriors(model: Model, emissions: list[np.ndarray], penalty: float = 0.0) -> list[np.ndarray]:
     """(T, 21) log posteriors; no length model. An impossible sequence gives NaN."""
     if not emissions:
         return []
+    sums = Sums(model, penalty)
     e, sizes = _stack(emissions)
-    steps, n, _ = e.shape
-    trans = model.trans.copy()
-    trans[t.INTERGENIC, t.START_CODON[0]] -= penalty
-    forward, backward = np.full(e.shape, t.NEG_INF), np.full(e.shape, t.NEG_INF)
-    inner = list(INNER)
-    forward[0][:, inner] = (model.trans[t.START] + e[0])[:, inner]
-    into, out_of = trans[SOURCES, np.arange(21)[:, None]], trans[np.arange(21)[:, None], TARGETS]
-    into[SOURCES == t.START], out_of[TARGETS == t.START] = t.NEG_INF, t.NEG_INF
+    n = len(sizes)
+    both = np.empty(e.shape)
     with np.errstate(invalid="ignore", divide="ignore"):
-        for i in range(1, steps):
-            forward[i] = np.logaddexp.reduce(forward[i - 1][:, SOURCES] + into, axis=2) + e[i]
-        ends = model.trans[:, t.END]
-        for i in range(steps - 1, -1, -1):
-            if i + 1 < steps:
-                backward[i] = np.logaddexp.reduce((e[i + 1] + backward[i + 1])[:, TARGETS] + out_of, axis=2)
-            closing = sizes == i + 1
-            backward[i][np.ix_(closing, inner)] = ends[inner]
-        out = []
-        for k in range(n):
-            m = sizes[k]
-            total = np.logaddexp.reduce(forward[m - 1, k, inner] + ends[inner])
-            out.append(forward[:m, k] + backward[:m, k] - total)
-    return out
+        for i, column in enumerate(sums.forward(e)):
+            both[i] = column
+        total = np.logaddexp.reduce(both[sizes - 1, np.arange(n)] + sums.end, axis=1)
+        for i, column in zip(range(len(e) - 1, -1, -1), sums.backward(e, sizes, np.tile(sums.end, (n, 1))), strict=True):
+            both[i] += column
+        return [both[: sizes[k], k] - total[k] for k in range(n)]
+
+
+def along(both: np.ndarray, total: float, path: np.ndarray) -> np.ndarray:
+    """exp of forward and backward less the total along a path, in [0, 1]; impossible gives 0."""
+    with np.errstate(invalid="ignore"):
+        return np.clip(np.nan_to_num(np.exp(both[np.arange(len(path)), path] - total), nan=0.0), 0.0, 1.0)
 
 
 def confidence(posterior: np.ndarray, path: np.ndarray) -> np.ndarray:
     """exp of the posterior along a path, in [0, 1]; impossible gives 0."""
     if len(posterior) != len(path):
         raise ValueError("path and sequence differ in length")
-    return np.clip(np.nan_to_num(np.exp(posterior[np.arange(len(path)), path]), nan=0.0), 0.0, 1.0)
+    return along(posterior, 0.0, path)
 
 
-def path_score(model: Model, emission: np.ndarray, path: np.ndarray, penalty: float = 0.0, start: int = 0, end: int | None = None) -> float:
-    """Emissions and transitions along path[start:end], less the penalty for each gene entered; no length model."""
+def path_score(model: Model, emission: np.ndarray, path: np.ndarray, penalty: float = 0.0, start: int = 0, end: int | None = None, before: int = t.START) -> float:
+    """Emissions and transitions along path[start:end], less the penalty for each gene entered; no length model. before: the state in front of the path."""
     end = len(path) if end is None else min(end, len(path))
-    prior = np.concatenate(([t.START], path[:-1])).astype(int)
+    prior = np.concatenate(([before], path[:-1])).astype(int)
     i = np.arange(start, end)
-    entered = (i > 0) & (prior[i] == t.INTERGENIC) & (path[i] == t.START_CODON[0])
+    entered = (prior[i] == t.INTERGENIC) & (path[i] == t.START_CODON[0])
     return float((emission[i, path[i]] + model.trans[prior[i], path[i]]).sum() - penalty * entered.sum())
 
 
-def as_map(rows) -> dict[int, float] | None:
-    return None if rows is None else {int(p): float(v) for p, v in rows}
+def letters_of(path: np.ndarray) -> str:
+    return (path + 65).astype(np.uint8).tobytes().decode()
+
 
+def codes_of(letters: str) -> np.ndarray:
+    return np.frombuffer(letters.encode(), np.uint8).astype(np.int64) - 65
 
-def decode(rows: DataFrame, model: Model, penalty: float = 0.0, shortest: int = 0, longest: int = UNLIMITED, pmf: list[float] | None = None, with_confidence: bool = True, genes: bool = False) -> DataFrame:
-    """`rows` (key, seq, donor, acceptor, start: arrays of struct<pos, score>, or null for none loaded) with `path` (letters),
-    `confidence` (array, if asked for) and `score` of the whole path. One row is an interval: it isn't split."""
+
+def decode(rows: DataFrame, model: Model, penalty: float = 0.0, shortest: int = 0, longest: int = UNLIMITED, pmf: list[float] | None = None, with_confidence: bool = True) -> DataFrame:
+    """`rows` (key, seq, and donor, acceptor, start: arrays of struct<pos, score>, null for none loaded) with `path` (letters), `score` of the whole path and
+    `confidence` (array, empty unless asked for). Rows are written once, as long intervals are looked for first."""
     lengths = None if pmf is None else np.asarray(pmf, float)
-    extra = ", path string, score double, confidence array<double>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + extra
-    scores = [c for c in ("donor", "acceptor", "start") if c in rows.columns]
+    rows = stored(rows)
+    size = F.coalesce(F.length("seq"), F.lit(0))
+    short = decode_short(rows.where(size <= CHUNK), model, penalty, shortest, longest, lengths, with_confidence)
+    if not rows.where(size > CHUNK).limit(1).count():
+        return short
+    long = decode_long(rows.where(size > CHUNK), model, penalty, shortest, longest, lengths, with_confidence)
+    return short.unionByName(long)
+
+
+def columns_sql(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Dealt over all cores: a scan of few files would leave the work to few tasks, and decoding costs far more than this shuffle."""
+    session = rows.sparkSession
+    return rows.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def alike(batches: Iterator[pa.RecordBatch], bases: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of sequences of like length and some `bases` in all."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.array([len(s or "") for s in batch.column("seq").to_pylist()])
+        order, at = np.argsort(-sizes, kind="stable"), 0
+        while at < len(order):
+            many = max(1, bases // max(1, int(sizes[order[at]])))
+            yield batch.take(pa.array(order[at : at + many]))
+            at += many
+
+
+def decode_short(rows: DataFrame, model: Model, penalty: float, shortest: int, longest: int, pmf: np.ndarray | None, with_confidence: bool) -> DataFrame:
+    """Whole intervals in lockstep."""
+    scores = [c for c in SCORES if c in rows.columns]
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
         seqs = batch.column("seq").to_pylist()
@@ -165,28 +301,216 @@ def decode(rows: DataFrame, model: Model, penalty: float = 0.0, shortest: int =
         paths: list[np.ndarray] = [np.zeros(0, np.int8)] * len(seqs)
         sure: list[np.ndarray] = [np.zeros(0)] * len(seqs)
         some = [emissions[i] for i in full]
-        for i, p in zip(full, viterbi(model, some, penalty, shortest, longest, lengths), strict=True):
+        for i, p in zip(full, viterbi(model, some, penalty, shortest, longest, pmf), strict=True):
             paths[i] = p
         if with_confidence:
             for i, q in zip(full, posteriors(model, some, penalty), strict=True):
                 sure[i] = confidence(q, paths[i])
         with np.errstate(invalid="ignore"):
             totals = [path_score(model, e, p, penalty) for e, p in zip(emissions, paths, strict=True)]
-        strings = [(p + 65).astype(np.uint8).tobytes().decode() for p in paths]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(strings, pa.string()), pa.array(totals, pa.float64()), pa.array(sure, pa.list_(pa.float64()))], [*batch.schema.names, "path", "score", "confidence"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([letters_of(p) for p in paths], pa.string()), pa.array(totals, pa.float64()), pa.array(sure, pa.list_(pa.float64()))], [*batch.schema.names, "path", "score", "confidence"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in alike(batches, BATCH_BASES):
+            yield solve(batch)
+
+    return spread(rows).mapInArrow(run, columns_sql(rows) + ", path string, score double, confidence array<double>")
+
+
+# long intervals
+
+
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """(row_, chunk, left, size, seq, and the scores): CHUNK bases each, with the letters around them that emissions depend on; scores as bytes."""
+    scores = [c for c in SCORES if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.array([len(s or "") for s in batch.column("seq").to_pylist()])
-            order = np.argsort(-sizes, kind="stable")  # intervals of like length go together
-            at = 0
-            while at < len(order):
-                many = max(1, BATCH_BASES // max(1, int(sizes[order[at]])))
-                yield solve(batch.take(pa.array(order[at : at + many])))
-                at += many
-
-    # a scan of few files would leave the work to few tasks; decoding costs far more than this shuffle
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts).mapInArrow(run, schema)
+            loaded = {c: loaded_scores(batch.column(c)) for c in scores}
+            for i, (row, seq) in enumerate(zip(batch.column("row_").to_pylist(), batch.column("seq").to_pylist(), strict=True)):
+                by_place = {c: None if loaded[c][i] is None else tuple(a[np.argsort(loaded[c][i][0], kind="stable")] for a in loaded[c][i]) for c in scores}
+                for chunk, at in enumerate(range(0, len(seq), CHUNK)):
+                    first, end = max(0, at - BEFORE_PART), min(len(seq), at + CHUNK)
+                    behind = min(len(seq), end + BEHIND_PART)
+                    own = []
+                    for c in scores:
+                        if by_place[c] is None:
+                            own.append(None)
+                            continue
+                        places, values = by_place[c]
+                        a, b = np.searchsorted(places, (first, behind))
+                        own.append((places[a:b] - first).astype(np.int64).tobytes() + values[a:b].astype(float).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([chunk], pa.int32()), pa.array([at - first], pa.int32()), pa.array([end - at], pa.int32()), pa.array([seq[first:behind]]), *(pa.array([x], pa.binary()) for x in own)], ["row_", "chunk", "left", "size", "seq", *scores])
+
+    return spread(rows.select("row_", "seq", *scores).mapInArrow(run, "row_ long, chunk int, left int, size int, seq string" + "".join(f", {c} binary" for c in scores)), "row_", "chunk")
+
+
+def part_of(model: Model, batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """Emissions of a chunk."""
+    found = {}
+    for c in SCORES:
+        data = batch.column(c)[i].as_py() if c in batch.schema.names else None
+        found[c] = None if data is None else (np.frombuffer(data[: len(data) // 2], np.int64), np.frombuffer(data[len(data) // 2 :]))
+    return part_matrix(model, batch.column("seq")[i].as_py(), batch.column("left")[i].as_py(), batch.column("size")[i].as_py(), **found)
+
+
+def chunk_matrices(chunks: DataFrame, model: Model, penalty: float, with_sums: bool) -> DataFrame:
+    """(row_, chunk, best, sums): matrices (19, 21) from the state before a chunk to that at its last base, as bytes; the rows of an interval's first
+    chunk are all alike."""
+    inner = len(INNER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, sums = Best(model, penalty), Sums(model, penalty)
+        before = np.full((inner, 21), t.NEG_INF)
+        before[np.arange(inner), list(INNER)] = 0.0
+        for batch in alike(batches, LANE_BASES):
+            e, sizes = _stack([part_of(model, batch, i) for i in range(batch.num_rows)])
+            n, lanes = len(sizes), np.repeat(sizes, inner)
+            opening, start = np.repeat(batch.column("chunk").to_numpy() == 0, inner), np.tile(before, (n, 1))
+            wide = lambda x: np.repeat(x, inner, 0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score, body = top.first(wide(whole(e[0])))
+                on, _, _ = top.step(start, body, wide(whole(e[0])))
+                score = np.where(opening[:, None], score, on)
+                best = score.copy()
+                for i in range(1, len(e)):
+                    score, _, _ = top.step(score, body, wide(whole(e[i])))
+                    best[lanes == i + 1] = score[lanes == i + 1]
+                added = np.full(best.shape, t.NEG_INF)
+                if with_sums:
+                    for i, column in enumerate(sums.forward(Repeated(e, inner), start, opening)):
+                        added[lanes == i + 1] = column[lanes == i + 1]
+            blob = lambda x: pa.array([m.tobytes() for m in x.reshape(n, inner, 21)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row_"), batch.column("chunk"), blob(best), blob(added)], ["row_", "chunk", "best", "sums"])
+
+    return chunks.mapInArrow(run, "row_ long, chunk int, best binary, sums binary")
+
+
+class Repeated:
+    """A stack of emissions (steps, n, 21) with every lane `times` times, made step by step."""
+
+    def __init__(self, e: np.ndarray, times: int):
+        self.e, self.times = e, times
+
+    def __len__(self) -> int:
+        return len(self.e)
+
+    def __getitem__(self, i):
+        return Repeated(self.e[i], self.times) if isinstance(i, slice) else np.repeat(self.e[i], self.times, 0)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (np.repeat(x, self.times, 0) for x in self.e)
+
+
+def scanned(matrices: DataFrame, model: Model, penalty: float, with_sums: bool) -> DataFrame:
+    """(row_, chunk, before, ahead, behind, total): the best scores and the log-sums in front of every chunk, what follows its last base, and the
+    interval's whole log-sum. An interval's matrices are scanned in one task: 6 KB for every CHUNK bases."""
+    inner = list(INNER)
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        best = [np.frombuffer(m).reshape(len(inner), 21) for m in rows["best"]]
+        sums, adding = [np.frombuffer(m).reshape(len(inner), 21) for m in rows["sums"]], Sums(model, penalty)
+        before, ahead, behind = [np.full(21, t.NEG_INF)], [np.full(21, t.NEG_INF)], [adding.end]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for c in range(len(best)):
+                before.append(best[0][0] if c == 0 else (before[-1][inner][:, None] + best[c]).max(0))
+                ahead.append(sums[0][0] if c == 0 else np.logaddexp.reduce(ahead[-1][inner][:, None] + sums[c], axis=0))
+            for c in range(len(best) - 1, 0, -1):
+                on = np.full(21, t.NEG_INF)
+                on[inner] = np.logaddexp.reduce(sums[c] + behind[-1][None, :], axis=1)
+                behind.append(on)
+            total = float(np.logaddexp.reduce(ahead[-1] + adding.end)) if with_sums else 0.0
+        ends = [b""] * (len(best) - 1) + [before[-1].tobytes()]
+        return pd.DataFrame({"row_": rows["row_"].to_numpy(), "chunk": rows["chunk"].to_numpy(), "before": [x.tobytes() for x in before[:-1]], "ahead": [x.tobytes() for x in ahead[:-1]], "behind": [x.tobytes() for x in behind[::-1]], "last": ends, "total": total})
+
+    return matrices.groupBy("row_").applyInPandas(scan, "row_ long, chunk int, before binary, ahead binary, behind binary, last binary, total double")
+
+
+def chunk_runs(batch: pa.RecordBatch, model: Model, best: Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions, sizes and backpointers of chunks with the scores in front of them."""
+    e, sizes = _stack([part_of(model, batch, i) for i in range(batch.num_rows)])
+    before = np.stack([np.frombuffer(x) for x in batch.column("before").to_pylist()])
+    with np.errstate(invalid="ignore"):
+        back, _, _ = best.run(whole(e), sizes, before, batch.column("chunk").to_numpy() == 0)
+    return e, sizes, back
+
+
+def decode_long(rows: DataFrame, model: Model, penalty: float, shortest: int, longest: int, pmf: np.ndarray | None, with_confidence: bool) -> DataFrame:
+    """Intervals of any length, chunk by chunk."""
+    rows = stored(rows.withColumn("row_", F.monotonically_increasing_id()))
+    chunks = stored(chunks_of(rows))
+    best, inner, key = Best(model, penalty, shortest, longest, pmf), list(INNER), ["row_", "chunk"]
+    matrices = stored(chunk_matrices(chunks, model, penalty, with_confidence))
+    places = stored(scanned(matrices, model, penalty, with_confidence))
+    met = chunks.join(places, key)
+    if best.bounded:
+        paths = paths_in_turn(chunks, model, best)
+    else:
+
+        def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The state in front of a chunk for every state at its last base."""
+            for batch in alike(batches, BATCH_BASES):
+                _, sizes, back = chunk_runs(batch, model, best)
+                each = np.stack([traced(back, sizes, np.full(len(sizes), s))[1] for s in range(21)], 1)
+                yield pa.RecordBatch.from_arrays([batch.column("row_"), batch.column("chunk"), pa.array([x.astype(np.int8).tobytes() for x in each], pa.binary()), batch.column("last")], ["row_", "chunk", "ways", "last"])
+
+        def walk(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("chunk")
+            state, out = int(best.ends(np.frombuffer(rows["last"].iloc[-1])[None])[0]), []
+            for way in reversed(list(rows["ways"])):
+                out.append(state)
+                state = int(np.frombuffer(way, np.int8)[state])
+            return pd.DataFrame({"row_": rows["row_"].to_numpy(), "chunk": rows["chunk"].to_numpy(), "end": np.array(out[::-1], np.int32)})
+
+        ends = spread(met, *key).mapInArrow(ways, "row_ long, chunk int, ways binary, last binary").groupBy("row_").applyInPandas(walk, "row_ long, chunk int, end int")
+
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in alike(batches, BATCH_BASES):
+                _, sizes, back = chunk_runs(batch, model, best)
+                found, front = traced(back, sizes, batch.column("end").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("row_"), batch.column("chunk"), pa.array([letters_of(found[:n, k]) for k, n in enumerate(sizes)]), pa.array(front.astype(np.int32))], ["row_", "chunk", "path", "front"])
+
+        paths = spread(met.join(ends, key), *key).mapInArrow(follow, "row_ long, chunk int, path string, front int")
+    paths = stored(paths)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's part of the score and its confidence."""
+        sums = Sums(model, penalty)
+        for batch in alike(batches, BATCH_BASES // 4):
+            e, sizes = _stack([part_of(model, batch, i) for i in range(batch.num_rows)])
+            found, fronts, n = [codes_of(p) for p in batch.column("path").to_pylist()], batch.column("front").to_numpy(), len(sizes)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = [path_score(model, e[: sizes[k], k], p, penalty, before=int(fronts[k])) for k, p in enumerate(found)]
+                sure: list[np.ndarray] = [np.zeros(0)] * n
+                if with_confidence:
+                    ahead, behind = (np.stack([np.frombuffer(x) for x in batch.column(c).to_pylist()]) for c in ("ahead", "behind"))
+                    both = np.empty(e.shape)
+                    for i, column in enumerate(sums.forward(e, ahead, batch.column("chunk").to_numpy() == 0)):
+                        both[i] = column
+                    for i, column in zip(range(len(e) - 1, -1, -1), sums.backward(e, sizes, behind), strict=True):
+                        both[i] += column
+                    sure = [along(both[: sizes[k], k], total, p) for k, (p, total) in enumerate(zip(found, batch.column("total").to_pylist(), strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column("row_"), batch.column("chunk"), batch.column("path"), pa.array(score), pa.array(sure, pa.list_(pa.float64()))], ["row_", "chunk", "path", "score", "confidence"])
+
+    done = spread(met.join(paths, key), *key).mapInArrow(finish, "row_ long, chunk int, path string, score double, confidence array<double>")
+    pieces = F.array_sort(F.collect_list(F.struct("chunk", "path", "score", "confidence")))  # of one interval, whose path they are
+    whole_rows = done.groupBy("row_").agg(pieces.alias("p")).select("row_", F.array_join("p.path", "").alias("path"), F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x["score"]).alias("score"), F.flatten("p.confidence").alias("confidence"))
+    out = stored(rows.join(whole_rows, "row_").drop("row_"))
+    discard(rows, chunks, matrices, places, paths)
+    return out
+
+
+def paths_in_turn(chunks: DataFrame, model: Model, best: Best) -> DataFrame:
+    """(row_, chunk, path, front) with intron lengths: an interval's chunks follow each other in one task, which holds its letters and scores and one chunk's
+    arrays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.sort_by("chunk").combine_chunks().to_batches()[0]
+        path = viterbi_in_turn(best, lambda c: part_of(model, batch, c), batch.num_rows)
+        cuts = np.cumsum(batch.column("size").to_numpy())
+        found = np.split(path, cuts[:-1])
+        fronts = [t.START, *(int(p[-1]) for p in found[:-1])]
+        return pa.table({"row_": batch.column("row_"), "chunk": batch.column("chunk"), "path": [letters_of(p) for p in found], "front": pa.array(fronts, pa.int32())})
+
+    return chunks.groupBy("row_").applyInArrow(run, "row_ long, chunk int, path string, front int")

@@ -49,8 +49,8 @@ for _i, _b in enumerate(b"ACGT"):
 
 
 def matrix(model: Model, sequence: str, donor=None, acceptor=None, start=None) -> np.ndarray:
-    """(T, 21) emission log scores. donor, acceptor, start: {position: score}; None means that no scores were loaded, which is an error
-    as soon as a motif asks for one; a position without score counts 0."""
+    """(T, 21) emission log scores. donor, acceptor, start: {position: score} or (positions, scores), of which the last counts for a position; None means
+    that no scores were loaded, which is an error as soon as a motif asks for one; a position without score counts 0."""
     x = CODES[np.frombuffer(sequence.encode(), np.uint8)]
     n = len(x)
     out = np.full((n, 21), t.NEG_INF)
@@ -67,9 +67,14 @@ def matrix(model: Model, sequence: str, donor=None, acceptor=None, start=None) -
     pair = x[:-1] * 4 + x[1:]
 
     def scores(found, at: np.ndarray, what: str) -> np.ndarray:
-        if found is None and len(at):
-            raise ValueError(f"no {what} scores were loaded")
-        return np.array([found.get(int(p), 0.0) for p in at], float) if len(at) else np.zeros(0)
+        if found is None:
+            if len(at):
+                raise ValueError(f"no {what} scores were loaded")
+            return np.zeros(0)
+        places, values = (np.array(list(found), np.int64), np.array(list(found.values()), float)) if isinstance(found, dict) else found
+        dense, inside = np.zeros(n), (places >= 0) & (places < n)
+        dense[places[inside]] = values[inside]
+        return dense[at]
 
     at = np.flatnonzero(pair == 11)  # GT
     out[at[:, None], list(t.DONOR)] = (model.donor_scale * scores(donor, at, "splice") + model.donor_bias)[:, None]
@@ -87,9 +92,22 @@ def matrix(model: Model, sequence: str, donor=None, acceptor=None, start=None) -
     return out
 
 
-def loaded_scores(column: pa.Array) -> list[dict[int, float] | None]:
-    """Arrays of struct<pos, score> as the dictionaries that matrix() takes."""
-    return [None if rows is None else {x["pos"]: x["score"] for x in rows} for rows in column.to_pylist()]
+BEFORE_PART, BEHIND_PART = 5, 2  # letters around a part of a sequence that its emissions depend on
+
+
+def part_matrix(model: Model, piece: str, left: int, size: int, donor=None, acceptor=None, start=None) -> np.ndarray:
+    """(size, 21) of the letters of `piece` from `left` on; `left` is 0 at a sequence's start and else BEFORE_PART. Positions of scores count from the
+    piece's first letter."""
+    return matrix(model, piece, donor, acceptor, start)[left : left + size]
+
+
+def loaded_scores(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Arrays of struct<pos, score> as the pairs of arrays that matrix() takes; None for null."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    flat, ends = column.flatten(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    pos, score = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False)
+    return [(pos[e - k : e], score[e - k : e]) if there else None for e, k, there in zip(ends, np.diff(ends, prepend=0), column.is_valid().to_pylist(), strict=True)]
 
 
 def average_emission(rows: DataFrame, model: Model) -> DataFrame:

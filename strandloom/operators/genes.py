@@ -105,8 +105,8 @@ def decoded_genes(paths: DataFrame, model: Model, penalty: float, strand: str) -
     import numpy as np
     import pyarrow as pa
 
-    from .decode import path_score
-    from .emission import matrix
+    from .decode import codes_of, path_score
+    from .emission import BEFORE_PART, BEHIND_PART, loaded_scores, part_matrix
 
     records = gene_records(paths, strand)
     runs = F.transform(state_runs(F.col("path"), GENE), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
@@ -115,12 +115,19 @@ def decoded_genes(paths: DataFrame, model: Model, penalty: float, strand: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for r in batch.to_pylist():
-                if not r["runs"]:
+            loaded = {c: loaded_scores(batch.column(c)) for c in ("donor", "acceptor", "start")}
+            for i, runs in enumerate(batch.column("runs").to_pylist()):
+                if not runs:
                     continue
-                maps = {c: None if r[c] is None else {x["pos"]: x["score"] for x in r[c]} for c in ("donor", "acceptor", "start")}
-                e, path = matrix(model, r["seq"], **maps), np.frombuffer(r["path"].encode(), np.uint8).astype(int) - 65
-                out += [(r["species"], r["scaffold"], g["start"], path_score(model, e, path, penalty, g["start"], g["end"])) for g in r["runs"]]
+                seq, path = batch.column("seq")[i].as_py(), batch.column("path")[i].as_py()
+                by_place = {c: None if x[i] is None else tuple(v[np.argsort(x[i][0], kind="stable")] for v in x[i]) for c, x in loaded.items()}
+                for g in runs:
+                    a, b = g["start"], g["end"]
+                    # only the letters around a gene and the scores in it are looked at
+                    first, behind = a - BEFORE_PART if a >= BEFORE_PART else 0, b + BEHIND_PART
+                    near = {c: None if x is None else (x[0][slice(*np.searchsorted(x[0], (first, behind)))] - first, x[1][slice(*np.searchsorted(x[0], (first, behind)))]) for c, x in by_place.items()}
+                    e = part_matrix(model, seq[first:behind], a - first, b - a, **near)
+                    out.append((batch.column("species")[i].as_py(), batch.column("scaffold")[i].as_py(), a, path_score(model, e, codes_of(path[a:b]), penalty, before=ord(path[a - 1]) - 65 if a else t.START)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int32(), pa.float64()))], ["species", "scaffold", "path_start", "score"])
 
     scores = wanted.mapInArrow(run, "species string, scaffold long, path_start int, score double")

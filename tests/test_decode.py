@@ -154,3 +154,77 @@ def test_intron_cap_is_the_percentile(spark, monkeypatch):
     monkeypatch.setattr(q.model, "intron_lengths", lambda *_: lengths)
     q.dec_intron_length(spark, "")
     assert seen["longest"] == 2**63 - 1 and seen["pmf"] is None
+
+
+def random_model(seed, ties=False):
+    rng = np.random.default_rng(seed)
+    m = Model()
+    for a, b in t.EDGES:
+        m.trans[a, b] = -1.0 if ties else math.log(rng.uniform(0.05, 1))
+    if not ties:
+        m.intergenic, m.intron, m.exon = (np.log(rng.dirichlet(np.ones(4), x.shape[:-1])) for x in (m.intergenic, m.intron, m.exon))
+    return m
+
+
+def with_genes(rng, n):
+    """Letters with genes among them, so that paths are not all intergenic."""
+    out = ""
+    while len(out) < n:
+        out += "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 30))) + "ATG" + "".join(rng.choice(["GCT", "AAA", "GTAAGCCAG"]) for _ in range(rng.randrange(1, 9))) + "TAA"
+    return out[:n]
+
+
+def test_chunks_give_the_path_of_one_pass(spark, monkeypatch):
+    from strandloom.operators import decode as d
+
+    rng = random.Random(7)
+    rows = [(k, with_genes(rng, n)) for k, n in enumerate((1, 2, 15, 16, 17, 31, 32, 33, 200, 333, 500))] + [(50, ""), (51, None), (52, "C" * 40)]
+    scored = [(k, s, *(None if s is None else [(p, rng.uniform(-3, 3)) for p in range(len(s)) for _ in range(2)] for _ in range(3))) for k, s in rows]
+    for _, _, *lists in scored:
+        for x in lists:
+            rng.shuffle(x or [])
+    kind = "array<struct<pos:int,score:double>>"
+    data = spark.createDataFrame(scored, f"k int, seq string, donor {kind}, acceptor {kind}, start {kind}").fillna({"seq": ""}).repartition(3)
+    data = data.selectExpr("k", "seq", *(f"coalesce({c}, array()) as {c}" for c in ("donor", "acceptor", "start")))
+    pmf = np.full(30, -3.4)
+    pmf[0] = t.NEG_INF
+    for kw in ({}, {"penalty": 1.5}, {"ties": True}, {"longest": 9}, {"shortest": 2, "longest": 20, "pmf": pmf.tolist()}):
+        kw = dict(kw)
+        m = random_model(3, kw.pop("ties", False))
+        want = {r.k: r for r in d.decode(data, m, **kw).collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(d, "CHUNK", 16)
+            got = {r.k: r for r in d.decode(data, m, **kw).collect()}
+        assert got.keys() == want.keys()
+        assert len({c for r in want.values() for c in r.path}) > 5 or kw
+        for k, w in want.items():
+            assert got[k].path == w.path and len(got[k].confidence) == len(w.confidence)
+            assert np.allclose(got[k].confidence, w.confidence, atol=1e-9)
+            assert np.isclose(got[k].score, w.score) or got[k].score == w.score or (math.isnan(got[k].score) and math.isnan(w.score))
+
+
+def test_an_impossible_part_of_a_long_interval(spark, monkeypatch):
+    from strandloom.operators import decode as d
+
+    m = forced((0, SC1, 1.0), (SC1, SC2, 1.0), (SC2, SC3, 1.0), (SC3, 20, 1.0))
+    rows = spark.createDataFrame([(1, "ATGCCCCCCCCCCCCC")], "k int, seq string").selectExpr("k", "seq", *(f"cast(array() as array<struct<pos:int,score:double>>) {c}" for c in ("donor", "acceptor", "start")))
+    want = d.decode(rows, m).first()
+    monkeypatch.setattr(d, "CHUNK", 6)
+    got = d.decode(rows, m).first()
+    assert got.path == want.path == "A" * 16 and got.confidence == want.confidence == [0.0] * 16
+
+
+def test_parts_have_the_emissions_of_the_whole():
+    from strandloom.operators.emission import BEFORE_PART, BEHIND_PART, part_matrix
+
+    rng = random.Random(8)
+    m, s = random_model(4), with_genes(rng, 120)
+    scores = [{p: rng.random() for p in range(len(s))} for _ in range(3)]
+    full = matrix(m, s, *scores)
+    for at in range(0, 120, 11):
+        first = max(0, at - BEFORE_PART) if at else 0
+        if at and at < BEFORE_PART:
+            continue
+        own = [{p - first: v for p, v in x.items()} for x in scores]
+        part = part_matrix(m, s[first : at + 11 + BEHIND_PART], at - first, min(11, 120 - at), *own)
+        assert (part == full[at : at + 11]).all()
