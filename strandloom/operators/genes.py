@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import topology as t
-from .decode import Model, decode
+from .decode import Model, columns_sql, decode
 from .intervals import state_runs
 
 GENE, CODING, INTRONIC, BODY = (t.letters(c) for c in ((*t.CODING, *t.INTRONIC), t.CODING, t.INTRONIC, t.INTRON))
@@ -42,32 +46,46 @@ def gene_records(paths: DataFrame, strand: str) -> DataFrame:
     return g.select("species", "scaffold", F.lit(strand).alias("strand"), fwd_start.alias("fwd_start"), fwd_end.alias("fwd_end"), (fwd_start + 1).alias("start"), fwd_end.alias("end"), placed(CODING).alias("exons"), placed(INTRONIC).alias("introns"), F.size(state_runs(F.col("part"), BODY)).alias("intron_count"), F.substr("seq", F.col("g.start") + 1, size).alias("sequence"), sure.alias("confidence"), F.col("g.start").alias("path_start"), F.col("g.end").alias("path_end"))
 
 
-def gene_scores(genes: DataFrame, scored: DataFrame) -> DataFrame:
-    """Adds `score` from base scores (species, scaffold, strand, pos, base_score)."""
-    from .intervals import range_join
-
-    hit = range_join(scored, genes.select("species", "scaffold", "strand", "path_start", "path_end"), ["species", "scaffold", "strand"], "pos", "path_start", "path_end")
-    total = hit.groupBy("species", "scaffold", "strand", "path_start").agg(F.sum("base_score").alias("score"))
-    return genes.join(total, ["species", "scaffold", "strand", "path_start"], "left")
-
-
 def merge_strands(genes: DataFrame) -> DataFrame:
     """Genes of both strands of a scaffold without overlaps. In the order of (fwd_start, fwd_end) a gene evicts the kept ones that it overlaps, from the last
-    back, as long as its score is strictly higher; the first that resists drops it. The kept list is sorted and disjoint, so the fold needs
-    only the last resisting one among the overlapping suffix."""
+    back, as long as its score is strictly higher; the first that resists drops it. Genes that don't overlap, also not by way of others, can't meet: a
+    running maximum of the ends cuts a scaffold into clusters, which are dealt over all tasks and swept in order, so the work is linear and only the kept
+    genes of one cluster are held. A missing score is the lowest."""
     cols = genes.columns
-    lists = genes.groupBy("species", "scaffold").agg(F.array_sort(F.collect_list(F.struct("fwd_start", "fwd_end", "strand", "score"))).alias("g"))
-    kind = "array<struct<fwd_start:{0},fwd_end:{0},strand:string,score:double>>".format(dict(genes.dtypes)["fwd_start"])
-
-    def step(kept: Column, new: Column) -> Column:
-        apart = F.filter(kept, lambda k: k["fwd_end"] <= new["fwd_start"])  # a prefix: kept is sorted and disjoint
-        near = F.filter(kept, lambda k: k["fwd_end"] > new["fwd_start"])
-        resists = F.filter(F.transform(near, lambda k, i: F.when(k["score"] >= new["score"], i + 1).otherwise(0)), lambda i: i > 0)
-        return F.when(F.size(resists) == 0, F.concat(apart, F.array(new))).otherwise(F.concat(apart, F.slice(near, F.lit(1), F.greatest(F.lit(1), F.coalesce(F.array_max(resists), F.lit(1))))))
-
-    kept = lists.select("species", "scaffold", F.explode(F.aggregate("g", F.array().cast(kind), step)).alias("k"))
-    keys = kept.select("species", "scaffold", "k.fwd_start", "k.fwd_end", "k.strand")
-    return genes.join(keys, ["species", "scaffold", "fwd_start", "fwd_end", "strand"]).select(*cols)
+    w = Window.partitionBy("species", "scaffold").orderBy("fwd_start", "fwd_end", "strand", F.desc("score"))
+    reach = F.max("fwd_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = genes.withColumn("first_", (F.coalesce(reach, F.col("fwd_start")) <= F.col("fwd_start")).cast("int"))
+    clustered = marked.withColumn("cluster_", F.sum("first_").over(w)).drop("first_")
+    near = ["species", "scaffold", "cluster_"]
+    order = [*near, "fwd_start", "fwd_end", "strand", F.desc("score")]
+    rows = clustered.repartition(*near).sortWithinPartitions(*order)
+    return rows.mapInArrow(sweep, columns_sql(rows)).select(*cols)
+
+
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The genes that stay, of clusters (species, scaffold, cluster_) in order."""
+    cluster, kept, done = None, [], []  # of kept ones: their batch, place, end and score
+
+    def taken() -> Iterator[pa.RecordBatch]:
+        for _, rows in itertools.groupby(done, key=lambda g: id(g[0])):
+            rows = list(rows)
+            yield rows[0][0].take(pa.array([g[1] for g in rows]))
+        done.clear()
+
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in ("species", "scaffold", "cluster_", "fwd_start", "fwd_end", "score")]
+        for i, (*own, start, end, score) in enumerate(zip(*values, strict=True)):
+            score = float("-inf") if score is None else score
+            if own != cluster:
+                done += kept
+                cluster, kept = own, []
+            while kept and kept[-1][2] > start and score > kept[-1][3]:
+                kept.pop()
+            if not kept or kept[-1][2] <= start:
+                kept.append((batch, i, end, score))
+        yield from taken()
+    done += kept
+    yield from taken()
 
 
 def number_genes(genes: DataFrame) -> DataFrame:

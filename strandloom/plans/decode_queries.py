@@ -19,6 +19,7 @@ from ..storage import file_system, shared_folder, stored
 from .annotation_queries import start_examples, training
 from .oracle import SEQ, labelled, usable
 from .registry import query
+from .sequence_queries import GENES
 
 PENALTY = 1.0
 
@@ -279,13 +280,26 @@ def snk_prediction_json(spark, sf):
     return j.select(F.from_json("value", "id string, start long").alias("j")).select("j.*")
 
 
-@query("jn_strand_merge")
-def jn_strand_merge(spark, sf):
-    """Also agg_merge_strands, srt_genes and set_union_strand: orders as genes of two strands, merged by score."""
+MERGE = """g0 as (select scaffold, start as a, "end" as b, strand, min(o_orderkey) as k from gn where "end" > start group by all),
+g1 as (select *, cast(k * 7919 % 1009 as double) as score from g0),
+folded as (select scaffold, list_reduce(list([{'a': a, 'b': b, 'strand': strand, 'k': k, 'score': score}] order by a, b, strand), lambda kept, new: case
+    when len(list_filter(kept, lambda x: x.b > new[1].a and x.score >= new[1].score)) = 0 then list_filter(kept, lambda x: x.b <= new[1].a) || new
+    else kept[1:list_max(list_transform(kept, lambda x, i: case when x.b > new[1].a and x.score >= new[1].score then i else 0 end))] end) as kept from g1 group by scaffold)"""
+
+
+def merged_orders(spark, sf) -> DataFrame:
     from .sequence_queries import gene_table
 
-    g = gene_table(spark, sf).select(F.lit("s").alias("species"), "scaffold", "strand", "id", F.col("start").alias("fwd_start"), F.col("end").alias("fwd_end"), (F.col("o_orderkey") * 7919 % 1009).cast("double").alias("score"))
-    return genes.merge_strands(g.where("fwd_end > fwd_start").dropDuplicates(["scaffold", "fwd_start", "fwd_end", "strand"])).select("scaffold", "id", "fwd_start", "fwd_end", "strand")
+    keys = ["scaffold", "fwd_start", "fwd_end", "strand"]
+    g = gene_table(spark, sf).select("scaffold", "strand", F.col("start").alias("fwd_start"), F.col("end").alias("fwd_end"), "o_orderkey").where("fwd_end > fwd_start")
+    one = g.groupBy(*keys).agg(F.min("o_orderkey").alias("o_orderkey")).withColumn("species", F.lit("s"))
+    return genes.merge_strands(one.withColumn("score", (F.col("o_orderkey") * 7919 % 1009).cast("double")))
+
+
+@query("jn_strand_merge", f"with {GENES.replace('select ', 'select o_orderkey, ', 1)}, {MERGE} select scaffold, x.k as o_orderkey, x.a as fwd_start, x.b as fwd_end, x.strand as strand from (select scaffold, unnest(kept) as x from folded)")
+def jn_strand_merge(spark, sf):
+    """Also agg_merge_strands, srt_genes and set_union_strand: orders as genes of two strands, merged by score."""
+    return merged_orders(spark, sf).select("scaffold", "o_orderkey", "fwd_start", "fwd_end", "strand")
 
 
 @query("snk_scores_sparse", f"with {SEQ}, {NEIGHBOURS} select scaffold, pos, pos || chr(9) || format('{{:.8f}}', {score_sql(adapters.START)}) as value from nb where base = 'A' and n1 = 'T' and n2 = 'G'")

@@ -119,6 +119,28 @@ def test_strand_merge(spark):
         assert sorted(got[s]) == fold([(r[2], r[3], r[5]) for r in rows if r[1] == s])
 
 
+def test_strand_merge_of_one_long_scaffold(spark):
+    """Clusters of every size, ties, missing scores, genes without length and equal starts, over many tasks."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(20_000):
+        a = int(rng.integers(0, 60_000))
+        rows.append((None, 7, a, a + int(rng.integers(0, 9)), "+-"[rng.integers(0, 2)], float(rng.integers(0, 5)), 1))
+    rows += [(None, 7, 70_000 + i, 70_000 + i + 5, "+", float(i % 7), 1) for i in range(3000)]  # one long cluster
+    rows.append((None, 7, 90_000, 90_010, "+", None, 1))
+    rows = list({r[2:5]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "species string, scaffold int, fwd_start int, fwd_end int, strand string, score double, more int").repartition(5)
+    got = sorted((r.fwd_start, r.fwd_end, r.strand) for r in genes.merge_strands(df).collect())
+    kept = []
+    for g in sorted(rows, key=lambda r: r[2:5]):
+        score = -1.0 if g[5] is None else g[5]
+        while kept and kept[-1][1] > g[2] and score > kept[-1][3]:
+            kept.pop()
+        if not kept or kept[-1][1] <= g[2]:
+            kept.append((g[2], g[3], g[4], score))
+    assert got == sorted(k[:3] for k in kept)
+
+
 def test_offset_edges(spark):
     offs = [0, 2, -3, 9, 10, -30, 31, 100, 101, 300, 301, None]
     p = spark.createDataFrame([(o,) for o in offs], "offset int")
