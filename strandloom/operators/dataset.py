@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import IS_ACCEPTOR, IS_DONOR, IS_START, around, reverse_complement, window_at
 from .intervals import passes_site_filters, transcripts
+from .prefix import lowest, ranked
 
 # fixed values: parts of words in a sequence's header that mark an organelle
 ORGANELLES = ("mitochond", "chloroplast", "plastid", "apicoplast", "kinetoplast")
@@ -35,8 +36,7 @@ def choose_test(counts: DataFrame, share: float = 0.1, most: float = 0.25) -> Da
     """Scaffolds with some CDS, but no more than `most` of all, in a hashed order until `share` of all CDS is reached; else the smallest with any."""
     total = counts.agg(F.sum("cds").alias("total"))
     able = counts.crossJoin(F.broadcast(total)).where((F.col("cds") > 0) & (F.col("cds") <= most * F.col("total")))
-    order = Window.orderBy(F.md5(F.col("scaffold").cast("string")), "scaffold")
-    running = able.withColumn("before", F.coalesce(F.sum("cds").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    running = ranked(able, [F.md5(F.col("scaffold").cast("string")), "scaffold"], {"upto": F.col("cds")}).withColumn("before", F.col("upto") - F.col("cds"))
     picked = running.where(F.col("before") < share * F.col("total")).select("scaffold", "cds")
     smallest = counts.where("cds > 0").orderBy("cds", "scaffold").limit(1)
     return picked.unionByName(smallest.join(picked.limit(1).select(F.lit(1).alias("any_")), F.lit(True), "left_anti"))
@@ -84,19 +84,18 @@ def start_candidates(sequences: DataFrame) -> DataFrame:
 
 
 def sample_negatives(candidates: DataFrame, sites: DataFrame, ratio: int = 5, seed: int = 7) -> DataFrame:
-    """Up to `ratio` candidates that aren't sites for each site, in the order of a seeded hash: the threshold rank comes from a count, rows are
-    ranked by hash and not gathered."""
+    """Up to `ratio` candidates that aren't sites for each site, in the order of a seeded hash; the hash up to which they go is found by histograms."""
     free = candidates.join(sites.select("scaffold", "pos").distinct(), ["scaffold", "pos"], "left_anti")
     want = sites.count() * ratio
-    return free.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("scaffold").cast("string"), F.col("pos").cast("string"))), "scaffold", "pos").limit(want)
+    return lowest(free, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("scaffold").cast("string"), F.col("pos").cast("string"))), want, ["scaffold", "pos"])
 
 
 def split_validation(rows: DataFrame, keys: list[str], seed: int = 13) -> DataFrame:
-    """Adds is_validation: the last tenth, at least one row, of a seeded hash order, by a threshold on the hash's rank."""
+    """Adds is_validation: the last tenth, at least one row, of a seeded hash order."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
-    w = Window.orderBy(h, *keys)
-    n = rows.agg(F.count(F.lit(1)).alias("n_"))
-    return rows.withColumn("i_", F.row_number().over(w)).crossJoin(F.broadcast(n)).withColumn("is_validation", F.col("i_") > F.col("n_") - F.greatest(F.lit(1), F.floor(F.col("n_") / 10))).drop("i_", "n_")
+    places = ranked(rows, [h, *keys], rank="i_")
+    n = places.agg(F.max("i_").alias("n_"))  # one row
+    return places.crossJoin(F.broadcast(n)).withColumn("is_validation", F.col("i_") > F.col("n_") - F.greatest(F.lit(1), F.floor(F.col("n_") / 10))).drop("i_", "n_")
 
 
 def examples(sequences: DataFrame, sites: DataFrame, negatives: DataFrame, radius: int = 60) -> DataFrame:

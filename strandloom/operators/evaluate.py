@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import topology as t
 from ..functions.sequence import per_base
 from .intervals import nearest, state_runs
+from .prefix import ranked
 
 WINDOW = 300
 GROUP = 64  # candidates of a grid search that are decoded together
@@ -155,21 +156,16 @@ def grid_search(intervals: DataFrame, model, candidates: list[dict[str, float]],
 
 def even_sample(rows: DataFrame, limit: int, order: list[str]) -> DataFrame:
     """`limit` rows spread evenly: those with index i * n / limit, each once."""
-    from pyspark.sql import Window
-
     n = rows.count()
     if n <= limit:
         return rows
-    wanted = rows.sparkSession.range(limit).select(F.floor(F.col("id") * n / limit).alias("rank_")).distinct()
-    return rows.withColumn("rank_", F.row_number().over(Window.orderBy(*order)) - 1).join(F.broadcast(wanted), "rank_").drop("rank_")  # limit rows
+    wanted = rows.sparkSession.range(limit).select((F.floor(F.col("id") * n / limit) + 1).alias("rank_")).distinct()
+    return ranked(rows, order).join(F.broadcast(wanted), "rank_").drop("rank_")  # limit rows
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """One row: sum of the precision at each hit over the number of positives, by descending score (label, score, tie); NaN without positives."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc("score"), "tie")
-    r = scored.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = ranked(scored.select("label", "score", "tie"), [F.desc("score"), "tie"], {"hits": F.col("label").cast("long")}, rank="rank")
     total = F.sum("label")
     return r.agg(F.when(total > 0, F.sum(F.when(F.col("label") == 1, F.col("hits") / F.col("rank"))) / total).otherwise(F.lit(float("nan"))).alias("average_precision"))
 

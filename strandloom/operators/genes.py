@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import topology as t
 from .decode import Model, columns_sql, decode
 from .intervals import state_runs
+from .prefix import ranked
 
 GENE, CODING, INTRONIC, BODY = (t.letters(c) for c in ((*t.CODING, *t.INTRONIC), t.CODING, t.INTRONIC, t.INTRON))
 
@@ -89,14 +90,10 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def number_genes(genes: DataFrame) -> DataFrame:
-    """Adds id pred_0001, pred_0002, ... in the order of species, scaffold and start. Counts go by range partitions and not through one task."""
-    keys = ["species", "scaffold", "start", "end", "strand"]
-    ordered = genes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id())
-    sizes = ordered.groupBy("part_").agg(F.count(F.lit(1)).alias("c"), F.min("i_").alias("first_"))
-    starts = sizes.select("part_", "first_", (F.sum("c").over(Window.orderBy("part_")) - F.col("c")).alias("before_"))  # a row for each partition
-    number = F.col("i_") - F.col("first_") + F.col("before_") + 1
-    text = number.cast("string")
-    return ordered.join(F.broadcast(starts), "part_").withColumn("id", F.concat(F.lit("pred_"), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))).drop("part_", "i_", "first_", "before_")
+    """Adds id pred_0001, pred_0002, ... in the order of species, scaffold and start."""
+    text = F.col("rank_").cast("string")
+    numbered = ranked(genes, ["species", "scaffold", "start", "end", "strand"])
+    return numbered.withColumn("id", F.concat(F.lit("pred_"), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))).drop("rank_")
 
 
 def predict(sequences: DataFrame, model: Model, penalty: float = 1.0, minus: bool = True) -> DataFrame:

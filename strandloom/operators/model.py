@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import topology as t
 from ..functions.sequence import base_code, context_code, per_base
 from .intervals import state_runs
+from .prefix import ranked
 
 FAMILIES = {"intergenic": (t.INTERGENIC,), "intron": tuple(t.INTRON), "exon_1": (t.EXON[0],), "exon_2": (t.EXON[1],), "exon_3": (t.EXON[2],)}
 
@@ -102,7 +103,7 @@ def length_percentile(lengths: DataFrame, p: float) -> DataFrame:
     """One row: sorted[floor(p * (n - 1))], from counts by length so no list is gathered; empty gives the largest BIGINT."""
     counts = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("length")))  # distinct lengths only
+    run = ranked(counts, ["length"], {"upto": F.col("c")})
     hit = run.crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1)))
     return hit.agg(F.coalesce(F.min("length"), F.lit(2**63 - 1)).alias("percentile_length"))
 

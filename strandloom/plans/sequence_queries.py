@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import runs
 from ..functions import sequence as sq
-from ..operators import dataset, genes, model
+from ..operators import dataset, genes, model, prefix
 from ..sources import adapters, files
 from ..sources.adapters import scaffolds, table
 from ..sinks import files as sinks
@@ -360,8 +360,9 @@ def srt_page(spark, sf):
 
 @query("srt_run_order", "select event_id, cast(row_number() over (order by ts desc, event_id desc) as int) as place from events where event_type = 'purchase'")
 def srt_run_order(spark, sf):
-    # runs of a service are few; the newest first
-    return adapters.events(spark, sf).where("event_type = 'purchase'").select("event_id", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("event_id"))).alias("place"))
+    """The newest first."""
+    runs_of = adapters.events(spark, sf).where("event_type = 'purchase'").select("event_id", "ts")
+    return prefix.ranked(runs_of, [F.desc("ts"), F.desc("event_id")]).select("event_id", F.col("rank_").cast("int").alias("place"))
 
 
 @query("prj_intervals_fwd", f"with {GENES} select id, start, 10000 - \"end\" + 1 as fwd_start, 10000 - start + 1 as fwd_end from gn where strand = '-'")
@@ -455,7 +456,7 @@ def agg_prior_logit(spark, sf):
 
 @query("agg_percentile_floor", "with s as (select user_id, list(value order by value) as v from events group by user_id) select user_id, round(v[cast(floor(0.95 * (len(v) - 1)) as int) + 1], 9) as p95 from s")
 def agg_percentile_floor(spark, sf):
-    return adapters.events(spark, sf).groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", F.round(sq.percentile_floor(F.col("v"), 0.95), 9).alias("p95"))
+    return prefix.percentiles_floor(adapters.events(spark, sf), ["user_id"], "value", 0.95).select("user_id", F.round("percentile", 9).alias("p95"))
 
 
 @query("fn_date", """select event_id, regexp_replace(event_type || case event_id % 3 when 0 then '.fna' when 1 then '.FASTA' else '.txt' end, '\\.(fna|fa|fasta)$', '', 'i') || '_' || strftime(ts, '%Y%m%dT%H%M%S') as name, strftime(ts, '%b %-d, %Y') as display,

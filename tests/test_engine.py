@@ -226,3 +226,60 @@ def test_checkpoint_is_reused(spark, tmp_path):
     first = cnn.checkpointed(spark, str(tmp_path / "m"), train)
     again = cnn.checkpointed(spark, str(tmp_path / "m"), train)
     assert calls == [1] and first.intercept == again.intercept and list(first.coefficients) == list(again.coefficients)
+
+
+def test_ranks_and_running_sums(spark):
+    from strandloom.operators import prefix
+
+    rng = np.random.default_rng(11)
+    rows = [(int(rng.integers(0, 5)), i, None if i % 50 == 0 else int(rng.integers(0, 9)), [i]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int, v long, more array<int>").repartition(7)
+    got = prefix.ranked(df, [F.desc("a"), "b"], {"upto": F.col("v"), "parts": F.col("v") / 4}).collect()
+    upto = 0
+    for i, (a, b, v, more) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1]))):
+        upto += v or 0
+        r = next(x for x in got if x.b == b) if i % 500 == 0 else None
+        if r:
+            assert (r.rank_, r.upto, r.parts, r.a, r.v, r.more) == (i + 1, upto, upto / 4, a, v, more)
+    assert sorted(r.rank_ for r in got) == list(range(1, 3001))
+    assert prefix.ranked(df.where("a > 9"), ["a"]).collect() == []
+
+
+def test_lowest_hashes(spark, monkeypatch):
+    from strandloom.operators import prefix
+
+    rows = [(i % 700, i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(4)
+    key = F.md5(F.col("a").cast("string"))
+    import hashlib
+
+    order = sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[1]))
+    for few, digits in ((4096, 3), (1, 1)):
+        monkeypatch.setattr(prefix, "FEW", few)
+        monkeypatch.setattr(prefix, "DIGITS", digits)
+        for n in (0, 1, 2, 777, 1499, 1500, 2000):
+            assert sorted(tuple(r) for r in prefix.lowest(df, key, n, ["b"]).collect()) == sorted(order[:n])
+
+
+def test_percentiles_of_groups(spark):
+    from strandloom.operators import prefix
+
+    rng = np.random.default_rng(12)
+    rows = [(g, float(v)) for g, n in (("hot", 2000), ("one", 1), ("few", 9)) for v in rng.integers(0, 50, n)] + [("few", None), ("none", None)]
+    got = {r.g: r.percentile for r in prefix.percentiles_floor(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 0.95).collect()}
+    want = {}
+    for g in ("hot", "one", "few"):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        want[g] = own[int(np.floor(0.95 * (len(own) - 1)))]
+    assert got == want
+
+
+def test_no_plan_gathers_a_table_in_one_task(spark):
+    """Windows have partitions, and what is sorted for its first rows has a fixed bound."""
+    from strandloom.plans.queries import QUERIES
+
+    for name in ("agg_average_precision", "agg_choose_test", "smp_even_ranges", "smp_train_val", "srt_run_order", "smp_negatives", "agg_percentile_floor", "prj_pred_id", "jn_strand_merge"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+        for i, line in enumerate(plan):
+            assert "Window" not in line or not any("SinglePartition" in x for x in plan[i : i + 3]), name
+            assert name == "agg_choose_test" or "TakeOrderedAndProject" not in line, name  # its one smallest scaffold
