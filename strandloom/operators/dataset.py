@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import IS_ACCEPTOR, IS_DONOR, IS_START, around, reverse_complement, window_at
+from ..functions.sequence import reverse_complement, window_at
+from .counting import motif_places
 from .intervals import passes_site_filters, transcripts
 from .prefix import lowest, ranked
 
@@ -76,11 +77,12 @@ def start_sites(features: DataFrame) -> DataFrame:
 
 def splice_candidates(sequences: DataFrame) -> DataFrame:
     """(scaffold, pos) with GT here or AG ending here, without a scaffold's two end bases."""
-    return around(sequences.select("scaffold", "sequence"), before=1, after=1).where("p1 is not null and n1 is not null").where(f"({IS_DONOR}) or ({IS_ACCEPTOR})").select("scaffold", "pos")
+    rows = sequences.select("scaffold", F.length("sequence").alias("n"), "sequence")
+    return motif_places(rows, "splice").select("scaffold", "n", F.explode("places").alias("pos")).where("pos > 0 and pos < n - 1").select("scaffold", "pos")
 
 
 def start_candidates(sequences: DataFrame) -> DataFrame:
-    return around(sequences.select("scaffold", "sequence"), before=0).where(IS_START).select("scaffold", "pos")
+    return motif_places(sequences.select("scaffold", "sequence"), "start").select("scaffold", F.explode("places").alias("pos"))
 
 
 def sample_negatives(candidates: DataFrame, sites: DataFrame, ratio: int = 5, seed: int = 7) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import topology as t
-from ..functions.sequence import per_base
+from .counting import confused, counted, edges_of
 from .intervals import nearest, state_runs
 from .prefix import ranked
 
@@ -17,7 +17,9 @@ GROUP = 64  # candidates of a grid search that are decoded together
 
 def confusion(paths: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., pred, gold, cnt): every metric below comes from these at most 441 rows, so paths are read once."""
-    return per_base(paths.select(*(by or []), "pred", "gold"), {"pred": ("pred", 0), "gold": ("gold", 0)}).groupBy(*(by or []), "pred", "gold").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = confused(paths.select(*(by or []), "pred", "gold"), by or [])
+    letter = lambda code: F.char(code + ord(t.letter(0)))
+    return cells.select(*(by or []), letter(F.floor(F.col("code") / 21)).alias("pred"), letter(F.col("code") % 21).alias("gold"), "cnt")
 
 
 def count_where(condition: Column) -> Column:
@@ -53,9 +55,10 @@ def boundary_metrics(cells: DataFrame) -> DataFrame:
 
 def illegal_transitions(paths: DataFrame, column: str) -> DataFrame:
     """One row: adjacent pairs of states that aren't edges."""
-    legal = [t.letter(a) + t.letter(b) for a, b in t.EDGES]
-    pairs = per_base(paths.select(column), {"s": (column, 0), "next": (column, 1)}).where("next is not null")
-    return pairs.agg(F.count_if(~F.concat("s", "next").isin(legal)).alias("illegal"))
+    cells = counted(paths.select(F.col(column).alias("states")), 441, edges_of)
+    outside = [t.START * 21 + s for s in range(21)] + [s * 21 + t.END for s in range(21)]  # steps into and out of a path
+    wrong = ~F.col("code").isin([a * 21 + b for a, b in t.EDGES] + outside)
+    return cells.agg(F.coalesce(F.sum(F.when(wrong, F.col("cnt"))), F.lit(0)).cast("long").alias("illegal"))
 
 
 def error_runs(paths: DataFrame, key: str) -> DataFrame:

@@ -2,42 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import topology as t
-from ..functions.sequence import base_code, context_code, per_base
+from .counting import CODE, contexts_of, counted, edges_of, flat
 from .intervals import state_runs
 from .prefix import ranked
 
 FAMILIES = {"intergenic": (t.INTERGENIC,), "intron": tuple(t.INTRON), "exon_1": (t.EXON[0],), "exon_2": (t.EXON[1],), "exon_3": (t.EXON[2],)}
 
 
-def _steps(intervals: DataFrame) -> DataFrame:
-    """(prior, state, last, n): bases by the state before (START at the beginning), their own and whether they end an interval, in one pass over
-    the intervals; at most 2 * 441 rows."""
-    rows = per_base(intervals.where(F.length("states") > 0).select("states"), {"s": ("states", 0), "before": ("states", -1), "next": ("states", 1)})
-    keys = F.coalesce(t.code_of(F.col("before")), F.lit(t.START)).alias("prior"), t.code_of(F.col("s")).alias("state"), F.col("next").isNull().alias("last")
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-
 def bigram_counts(intervals: DataFrame) -> DataFrame:
     """(from_state, to_state, cnt) inside intervals, plus START to each first and each last state to END; never across intervals."""
-    step = F.struct(F.col("prior").alias("f"), F.col("state").alias("t"))
-    closing = F.struct(F.col("state").alias("f"), F.lit(t.END).alias("t"))
-    edges = _steps(intervals).select("n", F.explode(F.when(F.col("last"), F.array(step, closing)).otherwise(F.array(step))).alias("e"))
-    return edges.groupBy(F.col("e.f").alias("from_state"), F.col("e.t").alias("to_state")).agg(F.sum("n").alias("cnt"))
+    cells = counted(intervals.select("states"), 441, edges_of)
+    return cells.select(F.floor(F.col("code") / 21).cast("int").alias("from_state"), (F.col("code") % 21).alias("to_state"), "cnt")
 
 
 def outgoing_counts(intervals: DataFrame) -> DataFrame:
     """(state, cnt): START once for each interval, every state once for each base."""
-    opened = F.array(F.lit(t.START), F.col("state"))
-    states = _steps(intervals).select("n", F.explode(F.when(F.col("prior") == t.START, opened).otherwise(F.array("state"))).alias("state"))
-    return states.groupBy("state").agg(F.sum("n").alias("cnt"))
-
-
-def _contexts(intervals: DataFrame, order: int) -> DataFrame:
-    return per_base(intervals.select("seq", "states"), {"base": ("seq", 0), "s": ("states", 0)} | {f"p{i}": ("seq", -i) for i in range(1, order + 1)})
+    return bigram_counts(intervals).groupBy(F.col("from_state").alias("state")).agg(F.sum("cnt").alias("cnt"))
 
 
 def transition_log_probs(counts: DataFrame, alpha: float = 0.02) -> DataFrame:
@@ -50,20 +36,50 @@ def transition_log_probs(counts: DataFrame, alpha: float = 0.02) -> DataFrame:
     return c.withColumn("log_p", F.when(p > 0, F.ln(p)).otherwise(F.lit(t.NEG_INF)))
 
 
+def context_counts(sequences: DataFrame, order: int) -> DataFrame:
+    """(ctx, base, cnt) of all bases of `sequence`, from the first position with a whole context."""
+
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
+        data, offsets = flat(batch.column("sequence"))
+        ctx, fine = contexts_of(data, offsets, order)
+        return (ctx * 4 + CODE[data])[fine]
+
+    return _cells(counted(sequences.select("sequence"), 4 ** (order + 1), codes))
+
+
+def _cells(cells: DataFrame) -> DataFrame:
+    return cells.select(F.floor(F.col("code") / 4).cast("int").alias("ctx"), (F.col("code") % 4).alias("base"), "cnt")
+
+
 def markov_counts(intervals: DataFrame, codes, order: int) -> DataFrame:
     """(ctx, base, cnt) of the bases in the given states, from the first position with a whole context."""
-    rows = _contexts(intervals, order).where(t.one_of(F.col("s"), codes)).select(context_code(order).alias("ctx"), base_code(F.col("base")).alias("base"))
-    return rows.where("ctx is not null").groupBy("ctx", "base").agg(F.count(F.lit(1)).alias("cnt"))
+    wanted = np.isin(np.arange(256) - ord(t.letter(0)), list(codes))
+
+    def cells(batch: pa.RecordBatch) -> np.ndarray:
+        (data, offsets), (states, _) = flat(batch.column("seq")), flat(batch.column("states"))
+        ctx, fine = contexts_of(data, offsets, order)
+        return (ctx * 4 + CODE[data])[fine & wanted[states]]
+
+    return _cells(counted(intervals.select("seq", "states"), 4 ** (order + 1), cells))
 
 
 def family_counts(intervals: DataFrame) -> DataFrame:
-    """(family, ctx, base, cnt) for all five tables in one scan and one aggregation."""
-    family = F.lit(None).cast("string")
-    for name, codes in FAMILIES.items():
-        family = F.when(t.one_of(F.col("s"), codes), name).otherwise(family)
-    rows = _contexts(intervals, 5).withColumn("family", family).where("family is not null")
-    ctx = F.when(F.col("family").startswith("exon"), context_code(5)).otherwise(context_code(1))
-    return rows.select("family", ctx.alias("ctx"), base_code(F.col("base")).alias("base")).where("ctx is not null").groupBy("family", "ctx", "base").agg(F.count(F.lit(1)).alias("cnt"))
+    """(family, ctx, base, cnt) for all five tables in one pass."""
+    names, of = list(FAMILIES), np.full(256, -1)
+    for i, codes in enumerate(FAMILIES.values()):
+        of[np.array(codes) + ord(t.letter(0))] = i
+    deep = np.array([n.startswith("exon") for n in names])
+
+    def cells(batch: pa.RecordBatch) -> np.ndarray:
+        (data, offsets), (states, _) = flat(batch.column("seq")), flat(batch.column("states"))
+        family = of[states]
+        (one, fine1), (five, fine5) = contexts_of(data, offsets, 1), contexts_of(data, offsets, 5)
+        fine = (family >= 0) & np.where(deep[family], fine5, fine1)
+        return (family * 4096 + np.where(deep[family], five, one) * 4 + CODE[data])[fine]
+
+    found = counted(intervals.select("seq", "states"), 4096 * len(names), cells)
+    name = F.element_at(F.array(*map(F.lit, names)), F.floor(F.col("code") / 4096).cast("int") + 1)
+    return found.select(name.alias("family"), F.floor(F.col("code") % 4096 / 4).cast("int").alias("ctx"), (F.col("code") % 4).alias("base"), "cnt")
 
 
 def markov_log_probs(counts: DataFrame, order: int, alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import runs
 from ..functions import sequence as sq
-from ..operators import dataset, genes, model, prefix
+from ..operators import counting, dataset, genes, model, prefix
 from ..sources import adapters, files
 from ..sources.adapters import scaffolds, table
 from ..sinks import files as sinks
@@ -200,21 +200,20 @@ MOTIF = f"""with {SEQ}, p as (select scaffold, sequence, unnest(range(length(seq
 
 @query("prj_encode_5mer", f"{MOTIF}, c as (select 256 * (instr('ACGT', substr(sequence, pos - 4, 1)) - 1) + 64 * (instr('ACGT', substr(sequence, pos - 3, 1)) - 1) + 16 * (instr('ACGT', substr(sequence, pos - 2, 1)) - 1) + 4 * (instr('ACGT', substr(sequence, pos - 1, 1)) - 1) + instr('ACGT', substr(sequence, pos, 1)) - 1 as ctx from p where pos >= 5) select cast(ctx as int) as ctx, count(*) as n from c group by ctx")
 def prj_encode_5mer(spark, sf):
-    p = sq.around(scaffolds(spark, sf).select("sequence"), before=5, after=0)
-    return p.select(sq.context_code(5).alias("ctx")).where("ctx is not null").groupBy("ctx").agg(F.count(F.lit(1)).alias("n"))
+    return model.context_counts(scaffolds(spark, sf), 5).groupBy("ctx").agg(F.sum("cnt").alias("n"))
 
 
-def motif(name: str, condition: str, sql: str) -> None:
+def motif(name: str, kind: str, sql: str) -> None:
     @query(name, f"{MOTIF} select scaffold, count(*) as n, cast(sum(pos) as bigint) as places from p where {sql} group by scaffold")
     def run(spark, sf):
-        hits = sq.around(scaffolds(spark, sf).select("scaffold", "sequence")).where(condition)
-        return hits.groupBy("scaffold").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+        hits = counting.motif_places(scaffolds(spark, sf).select("scaffold", "sequence"), kind).where(F.size("places") > 0)
+        return hits.select("scaffold", F.size("places").cast("long").alias("n"), F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p).alias("places"))
 
 
-motif("flt_donor_consensus", sq.IS_DONOR, "substr(sequence, pos + 1, 2) = 'GT'")
-motif("flt_acceptor_consensus", sq.IS_ACCEPTOR, "pos > 0 and substr(sequence, pos, 2) = 'AG'")
-motif("flt_start_consensus", sq.IS_START, "substr(sequence, pos + 1, 3) = 'ATG'")
-motif("flt_stop_codon", sq.IS_STOP, "pos >= 2 and substr(sequence, pos - 1, 3) in ('TAA', 'TAG', 'TGA')")
+motif("flt_donor_consensus", "donor", "substr(sequence, pos + 1, 2) = 'GT'")
+motif("flt_acceptor_consensus", "acceptor", "pos > 0 and substr(sequence, pos, 2) = 'AG'")
+motif("flt_start_consensus", "start", "substr(sequence, pos + 1, 3) = 'ATG'")
+motif("flt_stop_codon", "stop", "pos >= 2 and substr(sequence, pos - 1, 3) in ('TAA', 'TAG', 'TGA')")
 
 
 @query("flt_candidates_splice", f"{MOTIF} select scaffold, pos from p where pos between 1 and length(sequence) - 2 and (substr(sequence, pos + 1, 2) = 'GT' or substr(sequence, pos, 2) = 'AG')")
@@ -268,10 +267,7 @@ g as (select x.range as ctx, y.range as base from range(4) x, range(4) y)
 select cast(g.ctx as int) as ctx, cast(g.base as int) as base, coalesce(cnt, 0) as cnt, round(ln((coalesce(cnt, 0) + 0.1) / (sum(coalesce(cnt, 0)) over (partition by g.ctx) + 0.4)), 9) as log_p from g left join c using (ctx, base)""")
 def minimum_slice(spark, sf):
     """For each previous base and base the count and the smoothed log probability."""
-    s = scaffolds(spark, sf)
-    pairs = sq.around(s.select("sequence"), before=1, after=0).where("p1 is not null")
-    counts = pairs.groupBy("p1", "base").agg(F.count(F.lit(1)).alias("cnt")).select(sq.base_code(F.col("p1")).alias("ctx"), sq.base_code(F.col("base")).alias("base"), "cnt")
-    return model.markov_log_probs(counts, 1).select("ctx", "base", "cnt", F.round("log_p", 9).alias("log_p"))
+    return model.markov_log_probs(model.context_counts(scaffolds(spark, sf), 1), 1).select("ctx", "base", "cnt", F.round("log_p", 9).alias("log_p"))
 
 
 CHAIN = "e as (select user_id, event_type as s, lead(event_type) over (partition by user_id order by ts, event_id) as nx, lag(event_type) over (partition by user_id order by ts, event_id) as pv from events)"
