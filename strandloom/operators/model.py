@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import topology as t
+from ..storage import stored
 from .counting import CODE, contexts_of, counted, edges_of, flat
 from .intervals import state_runs
 from .prefix import ranked
@@ -17,7 +18,10 @@ FAMILIES = {"intergenic": (t.INTERGENIC,), "intron": tuple(t.INTRON), "exon_1":
 
 def bigram_counts(intervals: DataFrame) -> DataFrame:
     """(from_state, to_state, cnt) inside intervals, plus START to each first and each last state to END; never across intervals."""
-    cells = counted(intervals.select("states"), 441, edges_of)
+    return _bigrams(counted(intervals.select("states"), 441, edges_of))
+
+
+def _bigrams(cells: DataFrame) -> DataFrame:
     return cells.select(F.floor(F.col("code") / 21).cast("int").alias("from_state"), (F.col("code") % 21).alias("to_state"), "cnt")
 
 
@@ -65,6 +69,11 @@ def markov_counts(intervals: DataFrame, codes, order: int) -> DataFrame:
 
 def family_counts(intervals: DataFrame) -> DataFrame:
     """(family, ctx, base, cnt) for all five tables in one pass."""
+    return _families(counted(intervals.select("seq", "states"), 4096 * len(FAMILIES), family_codes()))
+
+
+def family_codes():
+    """For a batch of intervals (seq, states) the code of every base that a family counts: family * 4096 + context * 4 + base."""
     names, of = list(FAMILIES), np.full(256, -1)
     for i, codes in enumerate(FAMILIES.values()):
         of[np.array(codes) + ord(t.letter(0))] = i
@@ -77,8 +86,11 @@ def family_counts(intervals: DataFrame) -> DataFrame:
         fine = (family >= 0) & np.where(deep[family], fine5, fine1)
         return (family * 4096 + np.where(deep[family], five, one) * 4 + CODE[data])[fine]
 
-    found = counted(intervals.select("seq", "states"), 4096 * len(names), cells)
-    name = F.element_at(F.array(*map(F.lit, names)), F.floor(F.col("code") / 4096).cast("int") + 1)
+    return cells
+
+
+def _families(found: DataFrame) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, FAMILIES)), F.floor(F.col("code") / 4096).cast("int") + 1)
     return found.select(name.alias("family"), F.floor(F.col("code") % 4096 / 4).cast("int").alias("ctx"), (F.col("code") % 4).alias("base"), "cnt")
 
 
@@ -96,8 +108,12 @@ def markov_log_probs(counts: DataFrame, order: int, alpha: float = 0.1, by: list
 
 def emission_tables(intervals: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(family, ctx, base, cnt, log_p), with every family whether or not it occurs; the intervals are read once."""
-    grid = uniform_tables(intervals.sparkSession).select("family", "ctx", "base")  # 12,320 rows
-    c = grid.join(family_counts(intervals), ["family", "ctx", "base"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("long"))
+    return emission_log_probs(family_counts(intervals), alpha)
+
+
+def emission_log_probs(counts: DataFrame, alpha: float = 0.1) -> DataFrame:
+    grid = uniform_tables(counts.sparkSession).select("family", "ctx", "base")  # 12,320 rows
+    c = grid.join(counts, ["family", "ctx", "base"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("long"))
     total = F.sum("cnt").over(Window.partitionBy("family", "ctx"))
     return c.withColumn("log_p", F.ln((F.col("cnt") + alpha) / (total + 4 * alpha)))
 
@@ -134,7 +150,15 @@ def length_pmf(lengths: DataFrame, longest: int) -> DataFrame:
 
 
 def fit(intervals: DataFrame, transition_alpha: float = 0.02, emission_alpha: float = 0.1) -> dict[str, DataFrame]:
-    return {"transitions": transition_log_probs(bigram_counts(intervals), transition_alpha), "emissions": emission_tables(intervals, emission_alpha)}
+    """Transitions and emissions from one pass over the intervals; its counts, some 13,000 rows, are written once."""
+    of_family, first = family_codes(), 441
+
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate((edges_of(batch), of_family(batch) + first))
+
+    cells = stored(counted(intervals.select("seq", "states"), first + 4096 * len(FAMILIES), codes))
+    families = cells.where(F.col("code") >= first).withColumn("code", F.col("code") - first)
+    return {"transitions": transition_log_probs(_bigrams(cells.where(F.col("code") < first)), transition_alpha), "emissions": emission_log_probs(_families(families), emission_alpha)}
 
 
 def finite(column: Column) -> Column:

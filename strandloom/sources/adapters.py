@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -13,10 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sequence_of(text: Column) -> Column:
+    """One base for each character."""
+    return F.regexp_replace(F.translate(F.translate(text, UPPER, LOWER), LOWER, CYCLE), "[^ACGT]", "A")
+
+
 def scaffolds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(species, scaffold, sequence): one base for each character of a document."""
-    text = F.translate(F.translate(F.col("text"), UPPER, LOWER), LOWER, CYCLE)
-    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.col("lang").alias("species"), F.col("doc_id").alias("scaffold"), F.regexp_replace(text, "[^ACGT]", "A").alias("sequence"))
+    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.col("lang").alias("species"), F.col("doc_id").alias("scaffold"), sequence_of(F.col("text")).alias("sequence"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

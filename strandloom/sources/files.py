@@ -95,6 +95,38 @@ def score_lines(lines: DataFrame, names: tuple[str, ...], length: Column | int |
     return rows.groupBy("pos").agg(*(F.max_by(n, order).alias(n) for n in names))
 
 
+def read_score_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of score files of any size; line_no orders the lines of a file and is no count. A missing path is an error."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("line_no"), "value")
+
+
+def pack_scores(lines: DataFrame, ranges: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(file, name, and for each of `names` an array of struct<pos, score> by position): what `decode` takes, from `lines` (file, line_no, value) with positions in the
+    concatenation of a file's sequences. ranges: (file, name, start, end) of the sequences. The last line of a position counts; a line with another
+    number of fields, a position outside all sequences, or a file without sequences is an error. A scaffold's scores are gathered by scaffold, as its
+    letters are."""
+    from ..operators.intervals import range_join
+
+    f = F.split(F.trim("value"), r"\s+")
+    wrong = F.raise_error(F.concat(F.lit(f"a score line needs {1 + len(names)} fields: "), "value")).cast("long")
+    pos = F.when(F.size(f) == 1 + len(names), f[0].cast("long")).otherwise(wrong)
+    rows = lines.where(F.trim("value") != "").select("file", "line_no", pos.alias("pos"), *(F.get(f, F.lit(i + 1)).cast("double").alias(n) for i, n in enumerate(names)))
+    last = rows.groupBy("file", "pos").agg(*(F.max_by(n, "line_no").alias(n) for n in names))
+    ends = ranges.groupBy("file").agg(F.max("end").alias("file_end"))
+    outside = F.raise_error(F.concat(F.lit("score position out of range: "), F.col("pos").cast("string"))).cast("long")
+    inside = last.join(ends, "file", "left").withColumn("pos", F.when((F.col("pos") >= 0) & (F.col("pos") < F.col("file_end")), F.col("pos")).otherwise(outside)).drop("file_end")
+    spans = ranges.select("file", "name", F.col("start").alias("first_"), F.col("end").alias("behind_"))  # `start` is a score's name too
+    met = range_join(inside, spans, ["file"], "pos", "first_", "behind_")
+    packed = (F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("first_")).alias("pos"), F.col(n).alias("score")))).alias(n) for n in names)
+    return met.groupBy("file", "name").agg(*packed)
+
+
+def with_packed(sequences: DataFrame, packed: DataFrame, names: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """`sequences` with the arrays of `packed`, empty where a sequence has no scores."""
+    there = sequences.join(packed.select(*keys, *names), keys, "left")
+    return there.withColumns({n: F.coalesce(n, F.array().cast("array<struct<pos:bigint,score:double>>")) for n in names})
+
+
 def look_up(bases: DataFrame, scores: DataFrame, names: tuple[str, ...], keys: list[str]) -> DataFrame:
     """Scores by position, 0 where there is none."""
     return bases.join(scores, keys, "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})

@@ -283,3 +283,23 @@ def test_no_plan_gathers_a_table_in_one_task(spark):
         for i, line in enumerate(plan):
             assert "Window" not in line or not any("SinglePartition" in x for x in plan[i : i + 3]), name
             assert name == "agg_choose_test" or "TakeOrderedAndProject" not in line, name  # its one smallest scaffold
+
+
+def test_scores_from_files(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.tsv").write_text("0\t1.5\t-1\n 4  2 3 \n\n9\t0\t0\n4\t7\t8\n")
+    (tmp_path / "b.tsv").write_text("2 1 1\n")
+    ranges = spark.createDataFrame([("a.tsv", "x", 0, 4), ("a.tsv", "none", 4, 4), ("a.tsv", "y", 4, 10), ("b.tsv", "x", 0, 3)], "file string, name string, start long, end long")
+    lines = files.read_score_lines(spark, f"file://{tmp_path}/*.tsv").withColumn("file", F.element_at(F.split("file", "/"), -1))
+    got = {(r.file, r.name): ([tuple(x) for x in r.donor], [tuple(x) for x in r.acceptor]) for r in files.pack_scores(lines, ranges, ("donor", "acceptor")).collect()}
+    assert got == {("a.tsv", "x"): ([(0, 1.5)], [(0, -1.0)]), ("a.tsv", "y"): ([(0, 7.0), (5, 0.0)], [(0, 8.0), (5, 0.0)]), ("b.tsv", "x"): ([(2, 1.0)], [(2, 1.0)])}
+    for bad in ("10\t1\t1", "-1\t1\t1", "1\t1", "1 1 1 1"):
+        (tmp_path / "a.tsv").write_text(bad)
+        with pytest.raises(Exception, match="out of range|needs 3 fields"):
+            files.pack_scores(lines, ranges, ("donor", "acceptor")).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_score_lines(spark, f"file://{tmp_path}/missing")
+    sequences = spark.createDataFrame([("x", "ACGT"), ("z", "A")], "name string, seq string")
+    packed = spark.createDataFrame([("x", [(1, 2.0)])], "name string, donor array<struct<pos:bigint,score:double>>")
+    assert {r.name: len(r.donor) for r in files.with_packed(sequences, packed, ("donor",), ["name"]).collect()} == {"x": 1, "z": 0}
