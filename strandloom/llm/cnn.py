@@ -49,15 +49,25 @@ class Network:
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunks of CHUNK + WIDTH - 1 bytes, and the first chunk of every document (n + 1 values)."""
-    sizes = np.diff(offsets)
-    chunks = np.maximum(1, -(-sizes // CHUNK))
-    first = np.concatenate(([0], np.cumsum(chunks)))
-    doc = np.repeat(np.arange(len(sizes)), chunks)
-    start = offsets[doc] + (np.arange(first[-1]) - first[doc]) * CHUNK
-    at = start[:, None] + np.arange(CHUNK + WIDTH - 1)
+    first = first_chunks(offsets)
+    return chunks_between(data, offsets, first, 0, int(first[-1])), first
+
+
+TOGETHER = 2048  # chunks that are laid out at once, so a long text takes little besides itself
+
+
+def first_chunks(offsets: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.maximum(1, -(-np.diff(offsets) // CHUNK)))))
+
+
+def chunks_between(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The chunks low to high of all."""
+    number = np.arange(low, high)
+    doc = np.searchsorted(first, number, side="right") - 1
+    at = (offsets[doc] + (number - first[doc]) * CHUNK)[:, None] + np.arange(CHUNK + WIDTH - 1)
     inside = at < offsets[doc + 1][:, None]
     padded = data if len(data) else np.zeros(1, np.uint8)
-    return np.where(inside, padded[np.minimum(at, len(padded) - 1)].astype(np.int16), np.int16(PAD)), first
+    return np.where(inside, padded[np.minimum(at, len(padded) - 1)].astype(np.int16), np.int16(PAD))
 
 
 def windows(net: Network, chunks: np.ndarray) -> np.ndarray:
@@ -86,8 +96,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def score(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(offsets) < 2:
         return np.zeros(0)
-    chunks, first = layout(data, offsets)
-    x = features(pooled(net, chunks), first)
+    first = first_chunks(offsets)
+    pools = np.concatenate([pooled(net, chunks_between(data, offsets, first, a, min(a + TOGETHER, int(first[-1])))) for a in range(0, int(first[-1]), TOGETHER)])
+    x = features(pools, first)
     return sigmoid(x.astype(np.float64) @ net.weights.astype(np.float64) + float(net.bias[0]))
 
 
@@ -151,16 +162,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return [x.encode() for x in rows.column("t").to_pylist()], np.array(rows.column("label_value").to_pylist(), np.float32)
 
 
-def score_column(docs: DataFrame, scorer, name: str = "score") -> DataFrame:
-    """`docs` with a double column: scorer(bytes, offsets) of the texts of a batch."""
-    fields = [(f.name, f.dataType) for f in docs.schema.fields if f.name != name]
-    kept = docs.select(*(F.col(f"`{n}`") for n, _ in fields))
-    schema = widened(kept.schema, **{name: "double"})
+def score_column(docs: DataFrame, scorer, **kinds: str) -> DataFrame:
+    """`docs` with `score` and the columns `kinds`: scorer(bytes, offsets) gives them, in this order, for the texts of a batch. Columns of these names, however
+    they are written, give way."""
+    kinds = {"score": "double"} | kinds
+    kept = docs.select(*(F.col(f"`{n}`") for n in docs.columns if n.lower() not in kinds))
+    schema = widened(kept.schema, **kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
-            data, offsets = utf8(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer(data, offsets), pa.float64())], [*batch.schema.names, name])
+            found = scorer(*utf8(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(x if isinstance(x, pa.Array) else pa.array(x) for x in (found if isinstance(found, tuple) else (found,)))], [*batch.schema.names, *kinds])
 
     return kept.mapInArrow(run, schema)
 

@@ -9,9 +9,10 @@ length: every further row that this bound doesn't put behind the k-th exact dist
 Lists are dealt out in buckets of bounded size, and so are the queries that visit them, so neither a hot list nor many queries for one gather
 in a task; a bucket meets a block of queries by key. Only the lists' sizes (at most `MOST_LISTS` numbers) reach the driver.
 
-Defined cases: vectors that are null, all zero, of another length than the sample's most common one, or that hold null or non-finite components take no
-part, neither do rows without vec_id; of rows with one vec_id the smallest vector counts; ties in distance go to the smaller vec_id; a query is
-never its own neighbour; with fewer candidates than k all are returned; an empty table yields no rows; extra columns are ignored.
+Defined cases: vectors that are null, all zero, or that hold null or non-finite components take no part, neither do rows without vec_id; vectors of unlike
+lengths are continued by zeros; rows that repeat, also with one vec_id, are rows of their own: each is a neighbour of the other, and each of them that is
+a query gets its own result; ties in distance go to the smaller vec_id; a row is never its own neighbour; with fewer candidates than k all are
+returned; an empty table yields no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,13 +85,12 @@ class Index:
         return out
 
 
-def usable(vectors: DataFrame, dimensions: int | None = None) -> DataFrame:
-    """(vec_id, v array<double>) of the rows that take part, one for each vec_id."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """(row, vec_id, v array<double>) of the rows that take part; `row` tells repeated ones apart once it is written."""
     v = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    out = vectors.where(fine).select("vec_id", v.alias("v")).where(F.coalesce(finite, F.lit(False)))
-    return (out if dimensions is None else out.where(F.size("v") == dimensions)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.where(fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", v.alias("v")).where(F.coalesce(finite, F.lit(False)))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -102,12 +102,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int | None
     spark = vectors.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     whole = usable(vectors)
-    sizes = whole.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
+    d, n = whole.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    if not n:
         return none
-    d, n = sizes[0]["d"], sizes[0]["count"]
-    table = whole.where(F.size("v") == d)
-    sample = np.array([r["v"] for r in table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
+    table = whole.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), d - F.size("v"))))
+    sample = np.array([r["v"] for r in table.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()])
     index = Index.fit(sample, max(1, min(MOST_LISTS, n // ROWS_PER_LIST)))
     lists = len(index.centers)
     visits = probes or max(LEAST_PROBES, int(np.ceil(PROBE_SHARE * lists)))
@@ -116,9 +115,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int | None
         for batch in batches:
             if batch.num_rows:
                 at, codes, errors = index.encode(matrix(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.float64())], ["vec_id", "v", "list", "code", "error"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("v"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors, pa.float64())], ["row", "vec_id", "v", "list", "code", "error"])
 
-    indexed = stored(table.mapInArrow(encode, "vec_id long, v array<double>, list int, code binary, error double"))
+    indexed = stored(table.withColumn("vec_id", F.col("vec_id").cast("long")).mapInArrow(encode, "row long, vec_id long, v array<double>, list int, code binary, error double"))
     rows = dict.fromkeys(range(lists), 0) | {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}
     in_list = np.array([rows[i] for i in range(lists)])
 
@@ -132,42 +131,42 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int | None
             taken = np.maximum(enough, min(visits, lists))
             q = np.repeat(np.arange(batch.num_rows), taken)
             chosen = np.concatenate([order[i, :t] for i, t in enumerate(taken)])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(q)), batch.column("v").take(pa.array(q)), pa.array(chosen, pa.int32())], ["query_id", "q", "list"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(q)) for c in ("row", "vec_id", "v")), pa.array(chosen, pa.int32())], ["query_row", "query_id", "q", "list"])
 
-    visiting = indexed.where(is_query).select("vec_id", "v").mapInArrow(visit, "query_id long, q array<double>, list int")
+    visiting = indexed.where(is_query).select("row", "vec_id", "v").mapInArrow(visit, "query_row long, query_id long, q array<double>, list int")
     asked = {r["list"]: r["count"] for r in visiting.groupBy("list").count().collect()}
     plan = F.broadcast(spark.createDataFrame([(i, max(1, -(-rows[i] // BUCKET_ROWS)), max(1, -(-asked.get(i, 0) // QUERY_ROWS))) for i in range(lists) if i in asked and rows[i]], "list int, buckets int, blocks int"))
 
     def every(size: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(size) - 1))
 
-    left = visiting.join(plan, "list").select("query_id", "q", "list", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), every("buckets").alias("bucket"))
-    right = indexed.join(plan, "list").select("vec_id", "v", "code", "error", "list", F.pmod(F.xxhash64("vec_id"), "buckets").cast("int").alias("bucket"), every("blocks").alias("block"))
+    left = visiting.join(plan, "list").select("query_row", "query_id", "q", "list", F.pmod(F.xxhash64("query_row"), "blocks").cast("int").alias("block"), every("buckets").alias("bucket"))
+    right = indexed.join(plan, "list").select("row", "vec_id", "v", "code", "error", "list", F.pmod(F.xxhash64("row"), "buckets").cast("int").alias("bucket"), every("blocks").alias("block"))
 
     def meet(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asking) and len(there):
             there = there.sort_values("vec_id")
-            ids, x = there["vec_id"].to_numpy(), np.stack(there["v"].to_numpy())
+            ids, own, x = there["vec_id"].to_numpy(), there["row"].to_numpy(), np.stack(there["v"].to_numpy())
             codes = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(len(ids), -1).T.astype(np.intp)
             errors, at, most = there["error"].to_numpy(), int(there["list"].iloc[0]), max(rerank, k)
             size = np.sqrt((x * x).sum(1)).max()
-            for query, q in zip(asking["query_id"].to_numpy(), asking["q"].to_numpy(), strict=True):
+            for query, name, q in zip(asking["query_row"].to_numpy(), asking["query_id"].to_numpy(), asking["q"].to_numpy(), strict=True):
                 table = index.table(q, at)
                 far = sum(table[i][c] for i, c in enumerate(codes))
                 near = np.arange(len(far))
                 if len(far) > most + 1:
                     first = np.argpartition(far, most)[: most + 1]  # +1: the query itself
-                    kth = np.partition(((x[first[ids[first] != query]] - q) ** 2).sum(1), k - 1)[k - 1]
+                    kth = np.partition(((x[first[own[first] != query]] - q) ** 2).sum(1), k - 1)[k - 1]
                     # what rounding may add is far below the slack
                     near = near[~(np.sqrt(far) - errors > np.sqrt(kth) + 1e-9 * (size + np.sqrt(q @ q)))]
-                near = near[ids[near] != query]
+                near = near[own[near] != query]
                 exact = np.sqrt(((x[near] - q) ** 2).sum(1))
                 best = np.lexsort((ids[near], exact))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                out.append(pd.DataFrame({"query_row": query, "query_id": name, "vec_id": ids[near][best], "score": exact[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     keys = ("list", "bucket", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -46,7 +46,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), bucket_of_id(4) != 2)
-    return scored.select("doc_id", (bucket_of_id(4) == 2).alias("held_out"), "score", "predicted")
+    offending = lambda c: F.when(F.col("predicted") == 1, F.col(c)).alias(c)
+    return scored.select("doc_id", (bucket_of_id(4) == 2).alias("held_out"), "score", "predicted", *(offending(c) for c in ("worst_start", "worst_length", "worst_score")))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

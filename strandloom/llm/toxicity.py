@@ -31,6 +31,7 @@ TRAINING_SLICE = 250
 STEM = 4  # bytes of a longer word that count as a feature of their own, so unseen endings don't hide a known stem
 LEAST_DOCS = 3  # a word seen in fewer training documents has no weight
 STEPS, RATE, PENALTY = 150, 0.15, 5e-5
+PART = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -103,6 +104,38 @@ class Model:
     def documents(self, words: Words, n: int) -> np.ndarray:
         return -np.expm1(-np.bincount(words.doc, np.logaddexp(0, self.logits(words)), n))
 
+    def judged(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Scores of documents, and start, length and score of the worst sentence of each. A text of over PART bytes is read in parts that end with a
+        sentence, as long as it has ends, so it takes little besides itself."""
+        n = len(offsets) - 1
+        total, worst = np.zeros(n), (np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1.0))
+        for base, piece, ends in parts_of(data, offsets):
+            words = read(piece, ends)
+            z = self.logits(words)
+            total += np.bincount(words.doc, np.logaddexp(0, z), n)
+            p = sigmoid(z)
+            order = np.lexsort((words.start, -p, words.doc))
+            top = order[np.unique(words.doc[order], return_index=True)[1]]
+            top = top[p[top] > worst[2][words.doc[top]]]
+            doc = words.doc[top]
+            worst[0][doc], worst[1][doc], worst[2][doc] = base + words.start[top] - ends[doc], words.end[top] - words.start[top], p[top]
+        return -np.expm1(-total), *worst
+
+
+def parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets): a batch as it is, but one long text in parts behind sentence ends."""
+    if len(offsets) != 2 or len(data) <= PART:
+        yield 0, data, offsets
+        return
+    at = 0
+    while at < len(data):
+        to = min(at + PART, len(data))
+        while to < len(data) and not ENDS[data[to - 1]]:
+            ends = np.flatnonzero(ENDS[data[to : to + PART]])
+            to = to + int(ends[0]) + 1 if len(ends) else min(to + PART, len(data))
+        yield at, data[at:to], np.array([0, to - at])
+        at = to
+
 
 def train(texts: list[bytes], labels: np.ndarray) -> Model:
     model = Model(np.zeros(1 << BUCKETS_LOG2), float(np.log(2**1 - 1)))
@@ -158,9 +191,11 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", bound: int = MAX_TRAINING, threshold: float = 0.3) -> DataFrame:
-    """`docs` with score (0 to 1) and predicted (0 or 1). `usable` says which rows of `labels` may be learned from."""
+    """`docs` with score (0 to 1), predicted (0 or 1) and the worst sentence, the first of equally bad ones: worst_start and worst_length in bytes of UTF-8 and
+    worst_score. `usable` says which rows of `labels` may be learned from."""
     model = train(*labelled_sample(docs, labels, label, usable, bound))
-    scored = score_column(docs, lambda data, offsets: model.documents(read(data, offsets), len(offsets) - 1))
+
+    scored = score_column(docs, model.judged, worst_start="long", worst_length="long", worst_score="double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
