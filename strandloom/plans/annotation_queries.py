@@ -222,12 +222,13 @@ def agg_intron_length_pmf(spark, sf):
     return model.length_pmf(model.intron_lengths(training(spark, sf)), 100).where("length > 0").withColumn("log_p", F.round("log_p", 9))
 
 
-@query("snk_matrices_json", usable(f"{BIGRAMS} select count(*) as lines, count(*) filter (where coalesce(cnt, 0) = 0) as unseen from legal l left join bg on bg.f = l.f and bg.t = l.t"))
+@query("snk_matrices_json", usable(f"{BIGRAMS} select cast(l.f as int) as from_state, cast(l.t as int) as to_state, coalesce(cnt, 0) as cnt, round(ln((coalesce(cnt, 0) + 0.02) / (sum(coalesce(cnt, 0)) over w + 0.02 * count(*) over w)), 9) as log_p from legal l left join bg on bg.f = l.f and bg.t = l.t window w as (partition by l.f)"))
 def snk_matrices_json(spark, sf):
+    """The transitions as JSON lines, read back."""
     from ..sinks.files import matrix_json
 
     j = matrix_json(model.transition_log_probs(model.bigram_counts(training(spark, sf))), ["from_state", "to_state"])
-    return j.select(F.from_json("value", "cnt long, log_p double").alias("j")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("j.cnt") == 0).alias("unseen"))
+    return j.select(F.from_json("value", "from_state int, to_state int, cnt long, log_p double").alias("j")).select("j.from_state", "j.to_state", "j.cnt", F.round("j.log_p", 9).alias("log_p"))
 
 
 # metrics: labels against a shifted and thinned copy of themselves
@@ -274,7 +275,11 @@ def agg_exact_matches(spark, sf):
 BOUNDARY = "bd as (select unnest(['start', 'stop', 'donor', 'acceptor']) as boundary, unnest([2, 19, 8, 14]) as lo, unnest([2, 19, 10, 16]) as hi)"
 
 
-@query("agg_boundary_exact", compared(f"{BOUNDARY} select boundary, count(*) filter (where pred between lo and hi and pred = gold) as exact, count(*) filter (where pred between lo and hi) as predicted, count(*) filter (where gold between lo and hi) as gold from pg, bd group by boundary"))
+BOUNDARY_ROWS = """select boundary, count(*) filter (where pred between lo and hi and pred = gold) as exact, count(*) filter (where pred between lo and hi) as predicted,
+  count(*) filter (where gold between lo and hi) as gold from pg, bd group by boundary"""
+
+
+@query("agg_boundary_exact", compared(f"{BOUNDARY} {BOUNDARY_ROWS}"))
 def agg_boundary_exact(spark, sf):
     return evaluate.boundary_metrics(evaluate.confusion(pairs(spark, sf)))
 
@@ -349,11 +354,14 @@ def jn_nearest_start(spark, sf):
     return evaluate.start_offsets(pairs(spark, sf), ["scaffold"])[0]
 
 
-@query("agg_start_offsets_hist", compared(f"""{NEAR}, m as (select list(abs("offset") order by abs("offset")) as v from po where abs("offset") between 1 and 300)
-select count(*) as predicted, count(*) filter (where "offset" = 0) as exact, count(*) filter (where abs("offset") between 1 and 300) as within_window, count(*) filter (where "offset" is null or abs("offset") > 300) as spurious,
+OFFSET_MEDIAN = """m as (select list(abs("offset") order by abs("offset")) as v from po where abs("offset") between 1 and 300)"""
+OFFSET_ROWS = """select count(*) as predicted, count(*) filter (where "offset" = 0) as exact, count(*) filter (where abs("offset") between 1 and 300) as within_window, count(*) filter (where "offset" is null or abs("offset") > 300) as spurious,
 count(*) filter (where "offset" between -300 and -1) as upstream, count(*) filter (where "offset" between 1 and 300) as downstream, count(*) filter (where abs("offset") between 1 and 300 and "offset" % 3 = 0) as in_frame, count(*) filter (where abs("offset") between 1 and 300 and "offset" % 3 <> 0) as out_of_frame,
 count(*) filter (where abs("offset") between 1 and 2) as d_1_2, count(*) filter (where abs("offset") = 3) as d_3, count(*) filter (where abs("offset") between 4 and 9) as d_4_9, count(*) filter (where abs("offset") between 10 and 30) as d_10_30, count(*) filter (where abs("offset") between 31 and 100) as d_31_100, count(*) filter (where abs("offset") between 101 and 300) as d_101_window,
-(select cast(coalesce(v[cast(len(v) // 2 as int) + 1], 0) as bigint) from m) as median_abs, (select count(*) from go) as gold, (select count(*) from go where d is null or d > 300) as missed from po"""))
+(select cast(coalesce(v[cast(len(v) // 2 as int) + 1], 0) as bigint) from m) as median_abs, (select count(*) from go) as gold, (select count(*) from go where d is null or d > 300) as missed from po"""
+
+
+@query("agg_start_offsets_hist", compared(f"{NEAR}, {OFFSET_MEDIAN} {OFFSET_ROWS}"))
 def agg_start_offsets_hist(spark, sf):
     return evaluate.offset_report(*evaluate.start_offsets(pairs(spark, sf), ["scaffold"]))
 
@@ -386,16 +394,24 @@ def jn_zip_species(spark, sf):
     return features(spark, sf).join(scaffolds(spark, sf).select("species", "scaffold"), "scaffold").groupBy("species").agg(F.count(F.lit(1)).alias("cds"))
 
 
-@query("snk_validation_report", None)
+def report_sql(title: str, columns: list[str]) -> str:
+    """The lines of `r` as a fixed-width report."""
+    cells = " || ".join(f"lpad(cast({c} as varchar), 14, ' ')" for c in columns)
+    return f"select 0 as ord, '{title}' as value union all select 1, '{''.join(f'{c:>14}' for c in columns)}' union all select 2, {cells} from r"
+
+
+OFFSETS = ["predicted", "exact", "within_window", "spurious", "upstream", "downstream", "in_frame", "out_of_frame", "d_1_2", "d_3", "d_4_9", "d_10_30", "d_31_100", "d_101_window", "median_abs", "gold", "missed"]
+
+
+@query("snk_validation_report", compared(f"{BOUNDARY}, r as ({BOUNDARY_ROWS}) {report_sql('Boundaries', ['boundary', 'exact', 'predicted', 'gold'])}"))
 def snk_validation_report(spark, sf):
     from ..sinks.files import report_lines
 
     return report_lines(evaluate.boundary_metrics(evaluate.confusion(pairs(spark, sf))), "Boundaries", ["boundary", "exact", "predicted", "gold"])
 
 
-@query("snk_offset_report", None)
+@query("snk_offset_report", compared(f"{NEAR}, {OFFSET_MEDIAN}, r as ({OFFSET_ROWS}) {report_sql('Start offsets', OFFSETS)}"))
 def snk_offset_report(spark, sf):
     from ..sinks.files import report_lines
 
-    r = evaluate.offset_report(*evaluate.start_offsets(pairs(spark, sf), ["scaffold"]))
-    return report_lines(r, "Start offsets", r.columns)
+    return report_lines(evaluate.offset_report(*evaluate.start_offsets(pairs(spark, sf), ["scaffold"])), "Start offsets", OFFSETS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import topology as t
 from ..functions import sequence as sq
-from ..operators import cnn, dataset, decode, emission, evaluate, genes, labels, model
+from ..operators import cnn, dataset, decode, emission, evaluate, genes, labels, model, stages
 from ..operators import training as training_of
 from ..sources import adapters
 from ..sources.adapters import features, scaffolds
@@ -19,7 +19,7 @@ from ..storage import file_system, shared_folder, stored
 from .annotation_queries import start_examples, training
 from .oracle import SEQ, labelled, usable
 from .registry import query
-from .sequence_queries import GENES
+from .sequence_queries import GENES, GFF
 
 PENALTY = 1.0
 
@@ -323,22 +323,30 @@ def snk_scores_dense(spark, sf):
     return lines.groupBy("scaffold").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.conv(F.substring(F.md5("value"), 1, 7), 16, 10).cast("long")).alias("checksum"))
 
 
-@query("snk_fasta_split", "select count(*) as lines from (select doc_id, unnest(string_split(text, chr(10))) from documents where source in ('src1', 'src2') union all select doc_id, '>' from documents where source in ('src1', 'src2'))")
+LINE_DIGEST = f"select count(*) as lines, cast(coalesce({CHECKSUM}, 0) as bigint) as checksum from kept"
+
+
+def line_digest(lines: DataFrame) -> DataFrame:
+    """Their number and a checksum of their contents and multiplicities."""
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.conv(F.substring(F.md5("value"), 1, 7), 16, 10).cast("long")), F.lit(0)).alias("checksum"))
+
+
+@query("snk_fasta_split", f"with kept as (select unnest(string_split(text, chr(10))) as value from documents where source in ('src1', 'src2') union all select '>' || doc_id || ' ' || source from documents where source in ('src1', 'src2')) {LINE_DIGEST}")
 def snk_fasta_split(spark, sf):
     from .sequence_queries import fasta_table
 
     chosen = adapters.table(spark, sf, "documents").where(F.col("source").isin("src1", "src2")).select(F.col("doc_id").cast("string").alias("name"))
-    return sinks.fasta_split(fasta_table(spark, sf), chosen).agg(F.count(F.lit(1)).alias("lines"))
+    return line_digest(sinks.fasta_split(fasta_table(spark, sf), chosen))
 
 
-@query("snk_gff_split", "select count(*) + 2 as lines from lineitem where cast(l_orderkey as varchar) in (select cast(o_orderkey as varchar) from orders where o_orderstatus = 'F')")
+@query("snk_gff_split", f"with {GFF}, kept as (select value from g where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F') union all select '##gff-version 3' union all select '# note') {LINE_DIGEST}")
 def snk_gff_split(spark, sf):
     from .sequence_queries import gff_table
 
     lines = gff_table(spark, sf).select(F.lit("f").alias("file"), F.lit(1).alias("line_no"), "value")
     more = spark.createDataFrame([("f", 0, "##gff-version 3"), ("f", 0, "# note"), ("f", 0, "##sequence-region nowhere 1 5")], "file string, line_no int, value string")
     chosen = adapters.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("name"))
-    return sinks.gff_split(lines.unionByName(more), chosen).agg(F.count(F.lit(1)).alias("lines"))
+    return line_digest(sinks.gff_split(lines.unionByName(more), chosen))
 
 
 # networks
@@ -434,6 +442,24 @@ def agg_fit_temperature(spark, sf):
     return spark.createDataFrame([(round(evaluate.fit_temperature_of(logits, "logit", "y"), 3),)], "temperature double")
 
 
+@query("svc_cached_pipeline")
+def svc_cached_pipeline(spark, sf):
+    """Labels, counts and predictions as stages: made, found again, and after a changed parameter made again from the first stage that it touches."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    sources = stages.files_digest(spark, *(f"{sf}/{n}.parquet" for n in ("documents", "lineitem", "orders")))
+    rows = []
+    for name, alpha in (("first", 0.1), ("again", 0.1), ("changed", 0.2)):
+        run = stages.Run(spark, folder)
+        labelled_ = run.stage("labels", {"strand": "+"}, [sources], lambda: training(spark, sf))
+        run.stage("emissions", {"alpha": alpha}, [labelled_], lambda iv, a=alpha: model.emission_tables(iv, a))
+        run.stage("transitions", {"alpha": 0.02}, [labelled_], lambda iv: model.transition_log_probs(model.bigram_counts(iv)))
+        run.stage("lengths", {}, [labelled_], lambda iv: model.intron_lengths(iv).groupBy("length").agg(F.count(F.lit(1)).alias("n")))
+        rows += [(name, s.name, s.reused, s.rows.count()) for s in run.stages]
+    files, where = file_system(spark, folder)
+    files.delete(where, True)
+    return spark.createDataFrame(rows, "run string, stage string, reused boolean, n long")
+
+
 @query("svc_cli_train")
 def svc_cli_train(spark, sf):
     """The fitted matrices as JSON lines."""

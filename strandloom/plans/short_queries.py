@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import topology as t
 from ..operators import decode, genes, model, prefix
+from ..sinks import files as sinks
 from ..sources import adapters, files
-from ..storage import shared_folder
+from ..storage import shared_folder, stored
 from .annotation_queries import CTX5, FAMILY, training
 from .annotation_queries import RUNS as INTRON_RUNS
 from .decode_queries import EMIT, PENALTY, fitted, score_sql, with_scores
@@ -182,3 +183,15 @@ def prj_confidence_short(spark, sf):
     records = genes.gene_records(decoded(spark, sf), "+")
     bases = records.select("scaffold", F.explode("confidence").alias("c")).select("scaffold", "c.position", "c.state", "c.confidence")
     return genes.regional_confidence(bases, ["scaffold"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("snk_prediction_document")
+def snk_prediction_document(spark, sf):
+    """The whole JSON document of the benchmark texts' predictions, written to files and read back: a row for each of its lines with the line's digest."""
+    paths = stored(decoded(spark, sf))
+    rows = sinks.prediction_document(genes.number_genes(genes.gene_records(paths, "+")), paths, "benchmark.fna")
+    folder = f"{shared_folder(spark)}/document-{uuid.uuid4().hex}"
+    sinks.write_document(rows, folder)
+    back = spark.read.text(folder)
+    kind = F.when(F.startswith("value", F.lit('{"summary"')), "summary").when(F.contains("value", F.lit('"sequence"')), "prediction").when(F.contains("value", F.lit('"name"')), "scaffold").when(F.contains("value", F.lit('"position"')), "confidence").otherwise("between")
+    return back.select(kind.alias("kind"), F.length("value").alias("chars"), F.md5("value").alias("digest"))

@@ -303,3 +303,50 @@ def test_scores_from_files(spark, tmp_path):
     sequences = spark.createDataFrame([("x", "ACGT"), ("z", "A")], "name string, seq string")
     packed = spark.createDataFrame([("x", [(1, 2.0)])], "name string, donor array<struct<pos:bigint,score:double>>")
     assert {r.name: len(r.donor) for r in files.with_packed(sequences, packed, ("donor",), ["name"]).collect()} == {"x": 1, "z": 0}
+
+
+def test_prediction_document(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    from strandloom.sinks import files as sinks
+
+    path = t.letters([1, 2, 3, 4, 5, 6, 7, 17, 18, 19, 1])
+    rows = [("s", f's"{k}\\', "ACGTACGTACG", path, [k / 10] * 11) for k in range(7)] + [("s", "none", "AC", "BB", [1.0, 0.5]), ("s", "empty", "", "", [])]
+    paths = spark.createDataFrame(rows, "species string, scaffold string, seq string, path string, confidence array<double>").repartition(3)
+    numbered = genes.number_genes(genes.gene_records(paths, "+"))
+    sinks.write_document(sinks.prediction_document(numbered, paths, "in.fna"), f"file://{tmp_path}/d")
+    doc = json.loads("".join(p.read_text() for p in sorted(Path(tmp_path, "d").glob("part-*"))))
+    assert doc["summary"] == {"inputFile": "in.fna", "totalBases": 79, "scaffolds": 9, "genes": 7, "exons": 7, "introns": 0}
+    assert sorted(x["name"] for x in doc["scaffolds"]) == sorted(r[1] for r in rows) and sum(x["length"] for x in doc["scaffolds"]) == 79
+    assert [p["id"] for p in doc["predictions"]] == [f"pred_{i:04}" for i in range(1, 8)]
+    assert all(p["start"] == 2 and p["end"] == 10 and p["sequence"] == "CGTACGTAC" and len(p["confidence"]) == 9 and p["exons"] == [{"start": 2, "end": 10}] for p in doc["predictions"])
+    assert doc["confidenceByScaffold"].keys() == {r[1] for r in rows if r[2]}
+    assert doc["confidenceByScaffold"]["none"] == [{"position": 1, "state": "Intergenic", "confidence": 1.0}, {"position": 2, "state": "Intergenic", "confidence": 0.5}]
+    sinks.write_document(sinks.prediction_document(numbered.limit(0), paths.limit(0), "x"), f"file://{tmp_path}/e")
+    empty = json.loads("".join(p.read_text() for p in sorted(Path(tmp_path, "e").glob("part-*"))))
+    assert empty["scaffolds"] == empty["predictions"] == [] and empty["confidenceByScaffold"] == {} and empty["summary"]["totalBases"] == 0
+
+
+def test_stages_are_reused(spark, tmp_path):
+    import pytest
+
+    from strandloom.operators import stages
+
+    made = []
+
+    def run(scale, text=None):
+        if text:
+            (tmp_path / "in.txt").write_text(text)
+        r = stages.Run(spark, f"file://{tmp_path}/run")
+        source = stages.files_digest(spark, f"file://{tmp_path}/in.txt")
+        read = r.stage("read", {}, [source], lambda: made.append("read") or spark.read.text(f"file://{tmp_path}/in.txt"))
+        r.stage("size", {"scale": scale}, [read], lambda rows: made.append("size") or rows.select((F.length("value") * scale).alias("n")))
+        return r.stages[-1].rows.first().n
+
+    assert run(2, "abc") == 6 and made == ["read", "size"]
+    assert run(2) == 6 and made == ["read", "size"]
+    assert run(3) == 9 and made == ["read", "size", "size"]
+    assert run(3, "abcd") == 12 and made[3:] == ["read", "size"]
+    with pytest.raises(FileNotFoundError):
+        stages.files_digest(spark, f"file://{tmp_path}/missing")
