@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columnar import slices
@@ -57,6 +57,25 @@ def message_events(rows: DataFrame, conv_id: Column, turn: Column, role: Column,
     return rows.select(conv_id.alias("conv_id"), turn.alias("turn"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), role.alias("role"), text.alias("text"))
 
 
+def streamed_events(rows: DataFrame, conv_id: Column, turn: Column, role: Column, text: Column) -> DataFrame:
+    """The log that a client might have written of the same messages: an assistant's text streams in two halves after a draft was thrown away, anybody else's is
+    typed, taken back, begun again and edited. Rows of one turn keep the order of (role, text) and don't mingle."""
+    final, who = F.coalesce(text, F.lit("")), F.coalesce(role, F.lit(""))
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("who", "final")) * 8
+    base = rows.select(conv_id.alias("conv_id"), turn.alias("turn"), role.alias("role"), who.alias("who"), final.alias("final")).withColumn("place", place.cast("long"))
+    half = F.floor(F.char_length("final") / 2).cast("int")
+    first, rest = F.substr("final", F.lit(1), half), F.substr("final", half + 1, F.char_length("final"))
+
+    def log(*steps: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct((F.col("place") + i).alias("seq"), F.lit(kind).alias("kind"), said.alias("text")) for i, (kind, said) in enumerate(steps)))
+
+    none = F.lit(None).cast("string")
+    streamed = log(("message", F.lit("")), ("delta", F.reverse("final")), ("regenerate", none), ("delta", first), ("delta", rest))
+    typed = log(("message", F.reverse("final")), ("retract", none), ("message", first), ("edit", F.col("final")))
+    each = base.select("conv_id", "turn", "role", F.explode(F.when(F.col("who") == "assistant", streamed).otherwise(typed)).alias("e"))
+    return each.select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")
+
+
 def fold(events: Iterator[tuple]) -> Iterator[tuple]:
     """Final messages (conv_id, role, text) of sorted events (conv_id, turn, kind, role, text)."""
     at, role, parts = None, "", None

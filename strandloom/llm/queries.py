@@ -29,9 +29,10 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's messages as a log of deltas, edits, regenerations and retractions, folded back into messages, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    events = chat.message_events(rows.unionByName(more), F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"))
+    events = chat.streamed_events(rows.unionByName(more), F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"))
     return chat.read_back(chat.format_conversations(events))
 
 
