@@ -17,3 +17,19 @@ def display_date(at: Column) -> Column:
 
 def elapsed_ms(began: Column, ended: Column) -> Column:
     return F.unix_millis(ended.cast("timestamp")) - F.unix_millis(began.cast("timestamp"))
+
+
+def byte_size(n: Column) -> Column:
+    """Bytes, or kilobytes or megabytes (of 1024) with one decimal, halves rounded up."""
+    shown = lambda unit, size: F.format_string(f"%.1f {unit}", n / F.lit(float(size)))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown("KB", 1 << 10)).otherwise(shown("MB", 1 << 20))
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with separators."""
+    return F.format_number(n, 0)
+
+
+def interval_list(intervals: Column) -> Column:
+    """`start-end` of each, by commas."""
+    return F.array_join(F.transform(intervals, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ", ")

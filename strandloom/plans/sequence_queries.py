@@ -462,3 +462,18 @@ def fn_date(spark, sf):
     file = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ".fna").when(F.col("event_id") % 3 == 1, ".FASTA").otherwise(".txt"))
     before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return adapters.events(spark, sf).select("event_id", runs.run_name(file, F.col("ts")).alias("name"), runs.display_date(F.col("ts")).alias("display"), runs.elapsed_ms(before, F.col("ts")).alias("elapsed_ms"))
+
+
+UNITS = "u as (select doc_id, length(text) * (case doc_id % 3 when 0 then 1 when 1 then 97 else length(text) end) as n from documents where text is not null and doc_id is not null)"
+
+
+@query("fn_units", f"""with {UNITS} select doc_id, format('{{:,}}', n) as shown, case when n < 1024 then n || ' B' when n < 1048576 then format('{{:.1f}} KB', floor(n / 1024.0::double * 10 + 0.5) / 10) else format('{{:.1f}} MB', floor(n / 1048576.0::double * 10 + 0.5) / 10) end as size,
+  '1-' || n || ', ' || (n + 1) || '-' || (n + 5) as intervals from u""")
+def fn_units(spark, sf):
+    """Sizes made of text lengths: separators, byte units and interval lists."""
+    size = F.char_length("text").cast("long")
+    n = size * F.when(F.col("doc_id") % 3 == 0, F.lit(1)).when(F.col("doc_id") % 3 == 1, F.lit(97)).otherwise(size)
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    rows = table(spark, sf, "documents").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", n.alias("n"))
+    both = F.array(span(F.lit(1).cast("long"), F.col("n")), span(F.col("n") + 1, F.col("n") + 5))
+    return rows.select("doc_id", runs.thousands(F.col("n")).alias("shown"), runs.byte_size(F.col("n")).alias("size"), runs.interval_list(both).alias("intervals"))
