@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import topology as t
+from ..storage import stored
 from .decode import Model, columns_sql, decode
 from .intervals import state_runs
 from .prefix import ranked
@@ -107,10 +108,10 @@ def predict(sequences: DataFrame, model: Model, penalty: float = 1.0, minus: boo
         parts.append(("-", sequences.select("species", "scaffold", reverse_complement(F.col("sequence")).alias("seq"), F.col("donor_minus").alias("donor"), F.col("acceptor_minus").alias("acceptor"), F.col("start_minus").alias("start"))))
     found = None
     for strand, rows in parts:
-        # paths feed records and scores, genes feed merge and numbering: decoded once, kept in memory or on disk
-        some = decoded_genes(decode(rows, model, penalty).persist(), model, penalty, strand)
+        # paths feed records and scores, so they are written once
+        some = decoded_genes(stored(decode(rows, model, penalty)), model, penalty, strand)
         found = some if found is None else found.unionByName(some)
-    return number_genes(merge_strands(found.persist()).persist())
+    return number_genes(merge_strands(found))
 
 
 def decoded_genes(paths: DataFrame, model: Model, penalty: float, strand: str) -> DataFrame:

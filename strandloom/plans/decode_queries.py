@@ -433,7 +433,15 @@ def ml_checkpoint(spark, sf):
     return spark.createDataFrame(rows, "run string, epochs int, steps int, weights_sha256 string")
 
 
-@query("agg_fit_temperature")
+# the loss is convex, so thirds of an interval narrow down its least place
+LOSS = "sum(greatest(z * exp(-{0}), 0.0) + ln(1 + exp(-abs(z * exp(-{0})))) - y * z * exp(-{0}))"
+TEMPERATURE = f"""with recursive l as materialized (select value - avg(value) over () as z, case when event_type in ('purchase', 'click') then 1 else 0 end as y from events where value is not null and not isnan(value) and event_type is not null),
+s(i, a, b) as (select 0, -5.0::double, 5.0::double union all select i + 1, case when low < high then a else a + (b - a) / 3 end, case when low < high then b - (b - a) / 3 else b end
+  from (select i, a, b, {LOSS.format('(a + (b - a) / 3)')} as low, {LOSS.format('(b - (b - a) / 3)')} as high from s, l where i < 50 group by i, a, b))
+select round(exp((a + b) / 2), 3) as temperature from s where i = 50"""
+
+
+@query("agg_fit_temperature", TEMPERATURE)
 def agg_fit_temperature(spark, sf):
     """The temperature for all events as logits: their values less the mean."""
     rows = adapters.events(spark, sf).select("value", F.col("event_type").isin("purchase", "click").cast("int").alias("y")).where("value is not null and not isnan(value) and y is not null")
