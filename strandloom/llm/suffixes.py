@@ -46,27 +46,34 @@ HALVES = {1 << i: mix(np.array([1000 + i], np.uint64))[0] | np.uint64(1) for i i
 def suffix_array(text: list[int]) -> list[int]:
     """Suffix array of integers, of which the last is smaller than all others."""
     n = len(text)
-    counts: dict[int, int] = {}
-    for c in text:
-        counts[c] = counts.get(c, 0) + 1
-    first, total = {}, 0
-    for c in sorted(counts):
-        first[c] = total
-        total += counts[c]
-    place, members, group = [0] * n, [0] * n, [0] * n  # of a suffix; suffixes by place; where a suffix's group begins
-    size, free = [0] * n, dict(first)
-    for s, c in enumerate(text):
-        group[s] = first[c]
-        at = free[c]
-        place[s], members[at], free[c] = at, s, at + 1
-    for c, at in first.items():
-        size[at] = counts[c]
+    symbols = np.array(text, np.int64)
+    order = np.argsort(symbols, kind="stable")
+    _, first, counts = np.unique(symbols[order], return_index=True, return_counts=True)
+    # of a suffix; suffixes by place; where a suffix's group begins
+    place, sizes, begins = np.empty(n, np.int64), np.zeros(n, np.int64), np.empty(n, np.int64)
+    place[order], sizes[first], begins[order] = np.arange(n), counts, np.repeat(first, counts)
+    place, members, group, size = place.tolist(), order.tolist(), begins.tolist(), sizes.tolist()
     before = [-1] * n
     end = n
     while end:
         start = group[members[end - 1]]
+        if end - start == 1:  # most groups, at the end: one suffix, and one that moves
+            s, end = members[start], start
+            p = s - 1
+            while p >= 0 and group[p] >= start:
+                p = before[p]
+            before[s] = p
+            if p >= 0:
+                g = group[p]
+                m = size[g] - 1
+                if m:
+                    to, at = g + m, place[p]
+                    other = members[to]
+                    members[at], members[to], place[other], place[p] = other, p, at, to
+                    group[p], size[g], size[to] = to, m, 1
+            continue
         found: dict[int, int] = {}
-        for s in sorted(members[start:end]) if end - start > 1 else (members[start],):
+        for s in sorted(members[start:end]):
             p = s - 1
             while p >= 0 and group[p] >= start:
                 p = before[p]
