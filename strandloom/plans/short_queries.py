@@ -181,8 +181,7 @@ select scaffold, state, cast(min(pos) + 1 as int) as start, cast(max(pos) + 1 as
 def prj_confidence_short(spark, sf):
     """Also prj_gene_confidence and agg_regional_confidence: decoded genes' confidence by base, then by region."""
     records = genes.gene_records(decoded(spark, sf), "+")
-    bases = records.select("scaffold", F.explode("confidence").alias("c")).select("scaffold", "c.position", "c.state", "c.confidence")
-    return genes.regional_confidence(bases, ["scaffold"]).withColumn("confidence", F.round("confidence", 6))
+    return genes.regional_confidence(records, ["scaffold"]).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("snk_prediction_document")
