@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import clean
+from ..operators.prefix import ranked
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -18,10 +19,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta_lines(lines: DataFrame) -> DataFrame:
-    """Sequence lines with their record's ordinal and header; lines before the first header belong to none and are dropped."""
-    w = Window.partitionBy("file").orderBy("line_no")
+    """Sequence lines with their record's ordinal and header; lines before the first header belong to none and are dropped. Headers are counted by ranges of
+    (file, line_no), so a large file is spread over all tasks; a row for each file then says how many lie in the files before it."""
     head = F.startswith("value", F.lit(">"))
-    marked = lines.withColumn("is_head", head).withColumn("ord", F.sum(head.cast("int")).over(w)).where("ord > 0")
+    counted = ranked(lines.withColumn("is_head", head), ["file", "line_no"], {"ord": F.coalesce(head.cast("long"), F.lit(0).cast("long"))}).drop("rank_")
+    before = counted.groupBy(F.col("file").alias("file_")).agg((F.max("ord") - F.count_if("is_head")).alias("before_"))
+    marked = counted.join(F.broadcast(before), F.col("file").eqNullSafe(F.col("file_"))).withColumn("ord", F.col("ord") - F.col("before_")).drop("file_", "before_").where("ord > 0")  # a row for each file
     return marked.withColumn("header", F.when(F.col("is_head"), F.substr("value", F.lit(2))))
 
 
@@ -46,9 +49,11 @@ def fasta_length(lines: DataFrame) -> DataFrame:
 
 def fasta_ranges(records: DataFrame) -> DataFrame:
     """(file, ord, name, start, end): places of the records in their concatenation."""
-    n = F.length("sequence").cast("long")
-    w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("end", F.sum(n).over(w)).select("file", "ord", "name", (F.col("end") - n).alias("start"), "end")
+    sizes = records.select("file", "ord", "name", F.length("sequence").cast("long").alias("n"))
+    placed = ranked(sizes, ["file", "ord"], {"end": F.col("n")})  # by ranges: no file in one task
+    before = placed.groupBy(F.col("file").alias("file_")).agg(F.min(F.col("end") - F.col("n")).alias("before_"))
+    own = placed.join(F.broadcast(before), F.col("file").eqNullSafe(F.col("file_"))).withColumn("end", F.col("end") - F.col("before_"))
+    return own.select("file", "ord", "name", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def fasta_offsets(ranges: DataFrame) -> DataFrame:

@@ -65,3 +65,32 @@ def test_bases_of_any_letters(spark):
     got = bases(pa.array(["aBc Zé😀t", None, "", "ÄÖx"])).to_pylist()
     plain = lambda s: "".join("ACGT"[(ord(c.lower()) - 97) % 26 % 4] if c.isascii() and c.isalpha() else "A" for c in s)
     assert got == [plain("aBc Zé😀t"), None, "", plain("ÄÖx")]
+
+
+def test_fasta_of_one_file_is_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.sources import files
+
+    lines = spark.range(4000).select(F.when(F.col("id") < 3990, "a").when(F.col("id") < 3999, "b").alias("file"), F.col("id").alias("line_no"), F.when(F.col("id") % 4 == 1, F.concat(F.lit(">r"), F.col("id").cast("string"))).otherwise("acg").alias("value"))
+    rows = files.fasta_lines(lines)
+    # a window by file put all of one file into one task before
+    assert not any("Window" in x._jdf.queryExecution().optimizedPlan().toString() for x in (rows, files.fasta_ranges(files.fasta_records(lines))))
+    want, seen = set(), {}
+    for r in sorted(lines.collect(), key=lambda r: (r.file or "", r.line_no)):
+        seen[r.file] = seen.get(r.file, 0) + r.value.startswith(">")
+        if seen[r.file]:
+            want.add((r.file, r.line_no, seen[r.file]))
+    assert {(r.file, r.line_no, r.ord) for r in rows.collect()} == want
+    ranges = sorted((r.file, r.ord, r.start, r.end) for r in files.fasta_ranges(files.fasta_records(lines)).collect())
+    assert [x for x in ranges if x[0] == "b"] == [("b", 1, 0, 9), ("b", 2, 9, 12)]
+
+
+def test_usable_intervals_are_made_once(spark, monkeypatch):
+    from strandloom.plans import annotation_queries as a
+
+    rows = spark.createDataFrame([("s", 1, 0, 2, "AC", "BB")], "species string, scaffold long, start long, end long, seq string, states string")
+    monkeypatch.setattr(a, "scaffolds", lambda *x: None)
+    monkeypatch.setattr(a, "features", lambda *x: None)
+    monkeypatch.setattr(a.labels, "usable_intervals", lambda *x: rows)
+    assert hasattr(a.training(spark, ""), "_stored_at")
