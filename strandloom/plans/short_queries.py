@@ -30,8 +30,8 @@ def sequences(spark, sf) -> DataFrame:
     return with_scores(texts.where(F.length("sequence") > 0)).withColumnRenamed("sequence", "seq")
 
 
-def decoded(spark, sf, penalty: float = PENALTY, **kw) -> DataFrame:
-    return decode.decode(sequences(spark, sf), fitted(spark, sf, start_bias=START_BIAS), penalty, **kw)
+def decoded(spark, sf, penalty: float = PENALTY, intervals: DataFrame | None = None, **kw) -> DataFrame:
+    return decode.decode(sequences(spark, sf), fitted(spark, sf, intervals, start_bias=START_BIAS), penalty, **kw)
 
 
 WHOLE = "(round(({}) * 16777216) / 16777216)"
@@ -147,10 +147,11 @@ pmf as materialized (select length, {WHOLE.format("ln(c / sum(c) over ())")} as
 @query("dec_intron_length_short", recursive(f"{EMISSIONS}, {LENGTHS}, {best_paths('vb', PENALTY, True)} select scaffold, path from vb"))
 def dec_intron_length_short(spark, sf):
     """Also dec_duration."""
-    lengths = model.intron_lengths(training(spark, sf))
+    iv = training(spark, sf)
+    lengths = stored(model.intron_lengths(iv))
     cap = model.length_percentile(lengths, 0.95).first()[0]
     pmf = [r["log_p"] for r in model.length_pmf(lengths, cap).orderBy("length").collect()]  # cap + 1 numbers
-    return decoded(spark, sf, with_confidence=False, longest=cap, pmf=pmf).select("scaffold", "path")
+    return decoded(spark, sf, intervals=iv, with_confidence=False, longest=cap, pmf=pmf).select("scaffold", "path")
 
 
 ADD = "list_max(xs) + ln(list_sum(list_transform(xs, lambda y: exp(y - list_max(xs)))))"
