@@ -94,3 +94,21 @@ def test_usable_intervals_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(a, "features", lambda *x: None)
     monkeypatch.setattr(a.labels, "usable_intervals", lambda *x: rows)
     assert hasattr(a.training(spark, ""), "_stored_at")
+
+
+def test_batches_of_scaffolds_stay_small(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandloom.sources import adapters
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        text = F.concat(F.col("id").cast("string"), F.repeat(F.lit("abcd"), 4000))
+        spark.range(2000).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+        rows = adapters.scaffolds(spark, str(tmp_path)).select("sequence")
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"]) for b in batches), "size long").collect()
+        # 2,000 texts of 16 KB, 32 MB, came as one batch before
+        assert max(r.size for r in sizes) <= adapters.BATCH_BYTES + 20_000 and sum(r.size for r in sizes) > 30_000_000
+    finally:
+        spark.conf.set(key, before)
