@@ -1,5 +1,6 @@
 import random
 
+from strandloom.llm import minhash
 from strandloom.llm.minhash import components, drop_near_duplicates, near_duplicates
 
 
@@ -142,3 +143,19 @@ def test_clashing_columns(spark):
     names = "kept_id long, kept_text long, text_key long, class string, doc_id long, text string"
     got = drop_near_duplicates(spark.createDataFrame([(7, 8, 9, "c", i, "a b c d e f g") for i in range(3)], names))
     assert got.columns == [n.split()[0] for n in names.split(", ")] and [tuple(r) for r in got.collect()] == [(7, 8, 9, "c", 0, "a b c d e f g")]
+
+
+def test_texts_and_shingles_are_dealt_once_and_short(spark):
+    rows = [(i // 2, i.to_bytes(16, "big"), 3, f"w{i} a b c d", 100 + i) for i in range(40)]
+    bodies = spark.createDataFrame([(c, n, t) for _, c, n, t, _ in rows], "class binary, n long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # a class of 16 bytes went along with every shingle before, which only a sort can group
+    found = minhash.shared_counts(bodies, 3)
+    assert "SortAggregate" not in plan(found)
+    # 'a b c' and 'b c d' are in all, 'w<i> a b' in one
+    assert {(bytes(r["class"]), r.common) for r in found.collect()} == {(c, 2) for _, c, *_ in rows}
+    keyed = spark.createDataFrame([(k, t) for _, _, _, t, k in rows for _ in range(3)], "text_key long, text string")
+    wanted = spark.createDataFrame([(c, n, k) for _, c, n, _, k in rows[::2]], "class binary, n long, text_key long")
+    one = minhash.one_text(keyed.hint("merge"), wanted)
+    assert plan(one).count("Exchange") == 2  # texts went through a third one before
+    assert sorted((bytes(r["class"]), r.n, r.text) for r in one.collect()) == sorted((c, n, t) for _, c, n, t, _ in rows[::2])
