@@ -112,3 +112,24 @@ def test_batches_of_scaffolds_stay_small(spark, tmp_path):
         assert max(r.size for r in sizes) <= adapters.BATCH_BYTES + 20_000 and sum(r.size for r in sizes) > 30_000_000
     finally:
         spark.conf.set(key, before)
+
+
+def test_paints_are_gathered_by_transcripts(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        at, strand = rng.randint(-30, 700), rng.choice("++-")
+        for _ in range(rng.randint(1, 5)):
+            size = 3 * rng.randint(1, 30) + (rng.random() < 0.05)
+            rows.append((i % 3, None if i == 4 else f"t{i}", strand if rng.random() < 0.95 else "-", at, at + size - 1))
+            at += size + rng.choice([-2, 0, 20, 25, 40, 60])
+    f = spark.createDataFrame(rows, "scaffold long, parent string, strand string, start0 long, end0 long")
+    seq = spark.createDataFrame([("s", i, "ACGT" * 200, 800) for i in range(4)] + [("s", 9, "", 0)], "species string, scaffold long, sequence string, n int")
+    for strand in "+-":
+        tiles = lambda painted: sorted(map(tuple, intervals.paint(seq, painted).collect()))
+        want = tiles(intervals.paints(f, strand))
+        assert tiles(intervals.transcript_paints(f, strand)) == want and {r[3] for r in want} == {0, 1, 2, 3}
+        assert {r.scaffold: r.states for r in labels.paths(seq, f, strand).collect()} == {r.scaffold: r.states for r in labels.labelled(seq, f, strand).collect()}
+    # each paint was a row of its own before, and the letters went along where only their number counts
+    rows = labels.with_paints(seq, f, "+", "n")
+    assert "sequence" not in rows.columns and "explode" not in rows._jdf.queryExecution().optimizedPlan().toString()
