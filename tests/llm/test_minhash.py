@@ -159,3 +159,28 @@ def test_texts_and_shingles_are_dealt_once_and_short(spark):
     one = minhash.one_text(keyed.hint("merge"), wanted)
     assert plan(one).count("Exchange") == 2  # texts went through a third one before
     assert sorted((bytes(r["class"]), r.n, r.text) for r in one.collect()) == sorted((c, n, t) for _, c, n, t, _ in rows[::2])
+
+
+def test_texts_travel_packed_and_components_are_found_twice(spark, monkeypatch):
+    tables, calls, plain, found = [], [], minhash.stored, minhash.components
+    monkeypatch.setattr(minhash, "stored", lambda df: tables.append(df.schema) or plain(df))
+    monkeypatch.setattr(minhash, "components", lambda links: calls.append(1) or found(links))
+    texts = family(2, 250, 110, 0, (3, 4, 5))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 0.85).collect()}
+    assert [got[i] for i in range(250)] == by_matrix([shingles(t, 3) for t in texts], 85)
+    # texts were dealt as strings, and lists known to be open were labelled anew before
+    assert [t["text"].dataType.simpleString() for t in tables if "text" in t.names] == ["binary"] and len(calls) == 2
+
+
+def test_classes_that_share_enough_postings(spark):
+    rng = random.Random(4)
+    sets = [(i.to_bytes(16, "big"), 9, i, [rng.randrange(-3, 3) if rng.random() < 0.4 else 10 * i + k for k in range(12)]) for i in range(60)]
+    sets.append((b"z" * 16, 9, 99, [-(10**9) - k for k in range(12)]))
+    df = spark.createDataFrame(sets, "class binary, n long, text_key long, signature array<int>")
+    times = {}
+    for *_, s in sets:
+        for k, v in enumerate(s):
+            times[k, v] = times.get((k, v), 0) + 1
+    want = {t for _, _, t, s in sets if sum(times[k, v] > 1 for k, v in enumerate(s)) >= 5}
+    assert {r.text_key for r in minhash.with_shared(df, 5).collect()} == want and 0 < len(want) < 60
