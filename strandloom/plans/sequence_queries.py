@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -186,8 +190,27 @@ def prj_reverse_complement(spark, sf):
 
 @query("prj_revcomp_per_scaffold", f"with {SEQ} select species, md5(string_agg(translate(reverse(sequence), 'ACGT', 'TGCA'), '' order by scaffold)) as digest from seqs group by species")
 def prj_revcomp_per_scaffold(spark, sf):
-    s = scaffolds(spark, sf).select("species", F.struct("scaffold", sq.reverse_complement(F.col("sequence")).alias("s")).alias("x"))
-    return s.groupBy("species").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "")).alias("digest"))
+    return joined_digests(scaffolds(spark, sf).select("species", "scaffold", sq.reverse_complement(F.col("sequence")).alias("s")))
+
+
+def joined_digests(rows: DataFrame) -> DataFrame:
+    """(species, digest): MD5 of the strings `s` of each species one after the other, by scaffold. A digest is made in order, so a species goes through one task, which
+    sorts on disk and holds a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, of = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([of], pa.string()), pa.array([made.hexdigest()])], ["species", "digest"])
+        for batch in batches:
+            for species, s in zip(batch.column("species").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                if made is None or species != of:
+                    if made is not None:
+                        yield out()
+                    made, of = hashlib.md5(usedforsecurity=False), species
+                made.update((s or "").encode())
+        if made is not None:
+            yield out()
+
+    return rows.repartition("species").sortWithinPartitions("species", "scaffold", "s").select("species", "s").mapInArrow(run, "species string, digest string")
 
 
 @query("prj_slice", f"with {SEQ} select scaffold, substr(sequence, 11, 30) as part from seqs")

@@ -1,5 +1,6 @@
 """Steps whose work must grow with their input and whose vectors must stay small, against plain versions."""
 
+import math
 import random
 import time
 
@@ -133,3 +134,34 @@ def test_paints_are_gathered_by_transcripts(spark):
     # each paint was a row of its own before, and the letters went along where only their number counts
     rows = labels.with_paints(seq, f, "+", "n")
     assert "sequence" not in rows.columns and "explode" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_digests_of_joined_strings_hold_a_batch(spark):
+    import hashlib
+
+    from strandloom.plans.sequence_queries import joined_digests
+
+    rows = [(s, k, x) for s, k, x in (("a", 2, "CC"), ("a", 1, "T" * 9), ("b", 5, "G"), (None, 3, "AC"), ("a", None, "GG"), ("a", 2, "CA"), ("b", 4, ""))]
+    found = joined_digests(spark.createDataFrame(rows, "species string, scaffold long, s string").repartition(4))
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()  # a species' strings were gathered in one row before
+    want = {"a": "GG" + "T" * 9 + "CACC", "b": "G", None: "AC"}
+    assert {r.species: r.digest for r in found.collect()} == {k: hashlib.md5(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_lines_of_scores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandloom.plans import decode_queries as q
+    from strandloom.sinks import files
+    from strandloom.sources import adapters
+
+    values = [0.0, -0.0, 1.5, -4.0, 0.004, 1e-9, -1e-12, 123456.123456789, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "pos long, x double")
+    got = {r.pos: r.value for r in files.dense_scores(rows, ("x",)).collect()}
+    assert got == {r.pos: f"{r.pos}\t{r.v}" for r in rows.select("pos", F.format_string("%.8f", "x").alias("v")).collect()} and got[1] == "1\t-0.00000000"
+    seq = spark.createDataFrame([(7, "AGTAGGTG"), (2, "G"), (None, "CAGT"), (3, "")], "scaffold long, sequence string")
+    score = lambda p, k, f: 0.0 if k is None else int(math.fmod(p * f + k * 31, 2001) - 1000) / 250
+    want = {(k, p, None if k is None and s[p : p + 2] == "GT" else score(p, k, adapters.DONOR) if s[p : p + 2] == "GT" else 0.0, None if k is None and s[max(0, p - 1) : p + 1] == "AG" else score(p, k, adapters.ACCEPTOR) if s[max(0, p - 1) : p + 1] == "AG" else 0.0) for k, s in ((r.scaffold, r.sequence) for r in seq.collect()) for p in range(len(s))}
+    assert {tuple(r) for r in adapters.base_scores(seq).collect()} == want
+    spark.range(3).select(F.col("id").alias("doc_id"), F.lit("ab cd").alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert "explode" not in q.snk_scores_dense(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()  # letters became arrays and rows of strings before
