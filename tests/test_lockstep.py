@@ -87,3 +87,26 @@ def test_mean_confidence_by_label(spark):
     plan = label_confidence(rows)
     assert "explode" not in plan._jdf.queryExecution().optimizedPlan().toString()  # each base was a row before
     assert {r.label: (r.bases, round(r.confidence, 12)) for r in plan.collect()} == {"Intergenic": (3, 0.3), "Start": (3, 0.3), "UTR": (1, 0.5), "Stop": (1, 1.0)}
+
+
+def test_genes_are_scored_where_they_are_found(spark, monkeypatch):
+    from strandloom.operators import genes
+    from strandloom.operators.emission import Model
+
+    rng, m = random.Random(2), random_model(6)
+    seqs = [with_genes(rng, n) for n in (60, 200, 90)]
+    rows = spark.createDataFrame([(None if k == 2 else "s", k, s, *[[(p, rng.uniform(-3, 3)) for p in range(len(s))] for _ in range(6)]) for k, s in enumerate(seqs)], "species string, scaffold long, sequence string, " + ", ".join(f"{c}{x} array<struct<pos:int,score:double>>" for x in ("", "_minus") for c in d.SCORES))
+    seen = []
+    monkeypatch.setattr(genes, "stored", lambda rows, *_: seen.append(rows.columns) or d.stored(rows))
+    got = genes.predict(rows, m, 0.5).collect()
+    # paths of all bases with their confidences were written for each strand before, and records joined with their scores
+    assert len(seen) == 1 and "path" not in seen[0] and "exons" in seen[0]
+    assert got and {r.scaffold for r in got} <= {0, 1} and sorted(r.id for r in got) == [f"pred_{i + 1:04d}" for i in range(len(got))]
+    data = {r.scaffold: r for r in rows.collect()}
+    for r in got:
+        own, suffix = data[r.scaffold], "_minus" if r.strand == "-" else ""
+        s = own.sequence if r.strand == "+" else own.sequence[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        e = matrix(m, s, *({x.pos: x.score for x in own[f"{c}{suffix}"]} for c in d.SCORES))
+        path = d.viterbi(m, [e], 0.5)[0]
+        assert r.sequence == s[r.path_start : r.path_end] and len(r.confidence) == len(r.sequence) and isinstance(m, Model)
+        assert np.isclose(r.score, d.path_score(m, e, path, 0.5, r.path_start, r.path_end))
