@@ -327,22 +327,26 @@ def confidences(lanes: Lanes, paths: np.ndarray, penalty: float = 0.0, kind: typ
     return np.ascontiguousarray(np.clip(sure, 0.0, 1.0, out=sure).astype(float, copy=False).T), unknown
 
 
-def sure_of(lanes: Lanes, paths: np.ndarray, penalty: float, batch: pa.RecordBatch) -> np.ndarray:
+def sure_of(lanes: Lanes, paths: np.ndarray, penalty: float, batch: pa.RecordBatch, logs: bool = False) -> np.ndarray:
     """(lanes, steps) posteriors along the paths; 0 where there is no path. Lanes that numbers don't suffice for are done again with a wider range, and, if that
-    doesn't do either, by sums of logarithms."""
+    doesn't do either (or with `logs` at once), by sums of logarithms."""
     from .decode import confidence, posteriors
     from .emission import loaded_scores, matrix
 
-    sure, unknown = confidences(lanes, paths, penalty)
-    again = np.flatnonzero(unknown & (paths[0] != NOWHERE))
-    if len(again):
-        part, steps = batch.take(pa.array(again)), int(lanes.sizes[again[0]])
-        own, still = confidences(Lanes(lanes.model, part), paths[:steps, again], penalty, np.longdouble)
-        sure[again, :steps] = own
-        for k in again[still]:
-            scores = {c: loaded_scores(batch.column(c).slice(k, 1))[0] for c in ("donor", "acceptor", "start") if c in batch.schema.names}
-            codes = LETTER[paths[: lanes.sizes[k], k]].astype(np.int64) - 65
-            sure[k, : len(codes)] = confidence(posteriors(lanes.model, [matrix(lanes.model, batch.column("seq")[int(k)].as_py(), **scores)], penalty)[0], codes)
+    there = paths[0] != NOWHERE
+    if logs:
+        sure, left = np.zeros(paths.shape[::-1]), np.flatnonzero(there)
+    else:
+        sure, unknown = confidences(lanes, paths, penalty)
+        left = np.flatnonzero(unknown & there)
+        if len(left):
+            steps = int(lanes.sizes[left[0]])
+            sure[left, :steps], still = confidences(Lanes(lanes.model, batch.take(pa.array(left))), paths[:steps, left], penalty, np.longdouble)
+            left = left[still]
+    for k in left.tolist():
+        scores = {c: loaded_scores(batch.column(c).slice(k, 1))[0] for c in ("donor", "acceptor", "start") if c in batch.schema.names}
+        codes = LETTER[paths[: lanes.sizes[k], k]].astype(np.int64) - 65
+        sure[k, : len(codes)] = confidence(posteriors(lanes.model, [matrix(lanes.model, batch.column("seq")[k].as_py(), **scores)], penalty)[0], codes)
     return sure
 
 
@@ -365,7 +369,7 @@ def path_scores(lanes: Lanes, states: np.ndarray, penalty: float, piece: int) ->
     return out
 
 
-def solved(model: Model, batch: pa.RecordBatch, penalty: float, shortest: int, longest: int, pmf: np.ndarray | None, with_confidence: bool, piece: int) -> pa.RecordBatch:
+def solved(model: Model, batch: pa.RecordBatch, penalty: float, shortest: int, longest: int, pmf: np.ndarray | None, with_confidence: bool, piece: int, logs: bool = False) -> pa.RecordBatch:
     """The rows of a batch, from the longest to the shortest, with `path`, `score` and `confidence`."""
     lanes = Lanes(model, batch)
     rows, letters, sure = batch.num_rows, np.zeros(0, np.uint8), np.zeros(0)
@@ -374,7 +378,7 @@ def solved(model: Model, batch: pa.RecordBatch, penalty: float, shortest: int, l
         there = np.arange(lanes.steps) < lanes.sizes[: lanes.n, None]
         letters = LETTER[np.ascontiguousarray(paths.T)[there]]
         if with_confidence:
-            sure = sure_of(lanes, paths, penalty, batch)[there]
+            sure = sure_of(lanes, paths, penalty, batch, logs)[there]
     offsets = pa.array(lanes.offsets.astype(np.int32))
     path = pa.StringArray.from_buffers(rows, pa.py_buffer(lanes.offsets.astype(np.int32)), pa.py_buffer(letters))
     score = path_scores(lanes, letters.astype(np.int64) - 65, penalty, piece)

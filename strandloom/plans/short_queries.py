@@ -188,7 +188,7 @@ def prj_confidence_short(spark, sf):
 @query("snk_prediction_document")
 def snk_prediction_document(spark, sf):
     """The whole JSON document of the benchmark texts' predictions, written to files and read back: a row for each of its lines with the line's digest."""
-    paths = stored(decoded(spark, sf))
+    paths = stored(decoded(spark, sf, logs=True))  # all digits are written
     rows = sinks.prediction_document(genes.number_genes(genes.gene_records(paths, "+")), paths, "benchmark.fna")
     folder = f"{shared_folder(spark)}/document-{uuid.uuid4().hex}"
     sinks.write_document(rows, folder)
