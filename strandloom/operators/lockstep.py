@@ -20,8 +20,8 @@ from .. import topology as t
 from .counting import flat
 from .emission import CODES, HALF, QUARTER, Model
 
-AREA = 3_000_000  # steps times lanes of those that go together
-POOL = 6_000_000  # letters of a task among which like lengths are looked for
+AREA = 2_000_000  # steps times lanes of those that go together
+POOL = 5_000_000  # letters of a task among which like lengths are looked for
 CELLS = 8_192  # steps times lanes whose emissions are made at a time
 SCALE = 8  # steps between scalings
 UNLIMITED = np.iinfo(np.int64).max

@@ -100,7 +100,9 @@ def test_genes_are_scored_where_they_are_found(spark, monkeypatch):
     monkeypatch.setattr(genes, "stored", lambda rows, *_: seen.append(rows.columns) or d.stored(rows))
     got = genes.predict(rows, m, 0.5).collect()
     # paths of all bases with their confidences were written for each strand before, and records joined with their scores
-    assert len(seen) == 1 and "path" not in seen[0] and "exons" in seen[0]
+    assert len(seen) == 4 and not any("path" in c for c in seen) and "exons" in seen[1] and "exons" in seen[3]
+    bare = genes.predict(rows, m, 0.5, with_confidence=False)
+    assert "confidence" not in bare.columns and sorted(tuple(r[c] for c in bare.columns) for r in got) == sorted(map(tuple, bare.collect()))
     assert got and {r.scaffold for r in got} <= {0, 1} and sorted(r.id for r in got) == [f"pred_{i + 1:04d}" for i in range(len(got))]
     data = {r.scaffold: r for r in rows.collect()}
     for r in got:
